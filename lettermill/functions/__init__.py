@@ -1 +1 @@
-"""Spark-native message and text analytics."""
+"""Column functions."""
