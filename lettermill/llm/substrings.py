@@ -34,11 +34,13 @@ from pyspark.sql import types as T
 from .common import flat, mix, shared_dir, stored, tune
 
 WINDOW = 400
+#: Bytes of a whole window's name that are sent; with its range's, 60 bits and more tell names apart.
+NAME_BYTES = 7
 #: The cover's modulus is PRIME**2 + PRIME + 1, of which PRIME + 1 residues are sampled.
 PRIME = 13
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: Bytes of text for each range of names, which one task sorts at a time.
-RANGE_BYTES = 12 << 20
+RANGE_BYTES = 4 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
@@ -240,9 +242,9 @@ def repeated(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> Data
     def remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x in each(b):
-                yield rows(x["chunk"], list(_send(merged(x)[2], ranges, 8)))
+                yield rows(x["chunk"], list(_send(merged(x)[2], ranges, NAME_BYTES)))
 
-    second = _exchange(spark, chunks.join(first, "chunk", "left").select("chunk", "lengths", "data", "sampled").mapInArrow(remaining, sent), 8, "windows")
+    second = _exchange(spark, chunks.join(first, "chunk", "left").select("chunk", "lengths", "data", "sampled").mapInArrow(remaining, sent), NAME_BYTES, "windows")
     field = docs.schema["doc_id"]
     out = T.StructType([field, *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
 
