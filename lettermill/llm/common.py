@@ -49,10 +49,12 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def stored(spark: SparkSession, df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors."""
+def stored(spark: SparkSession, df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors. rows: about how many it has; few rows are made by fewer tasks."""
+    if rows is not None:
+        df = df.coalesce(max(24, rows // 2000))
     at = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(at)
+    df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
