@@ -1,11 +1,330 @@
-"""The registered queries and their SQL."""
+"""The registered queries, each with the SQL that gives the same rows on the same tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import fake
+from ..functions import text as X
+from ..operators import classify, pii, route
+from ..operators import rules as R
+from ..sources import mail
+
+_Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        _Q[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- SQL pieces: the message view, cleaning and features, in DuckDB's dialect ---
+_BLANK = r"[\x{09}-\x{0d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_NOT_BLANK = _BLANK.replace("[", "[^", 1)
+_WORDS = r"\p{L}\p{Nl}\p{M}\p{Nd}\p{Pc}\x{200c}\x{200d}"
+_MAIL = "m AS (SELECT CAST(doc_id AS VARCHAR) AS id, split_part(text, chr(10), 1) AS subject, substring(text, 1, 200) AS snippet, source || '@' || lang || '.example.com' AS sender, text AS body FROM documents)"
+
+
+def _sql_clean(x: str) -> str:
+    spaces = _BLANK[1:-1]
+    no = spaces
+    for pattern, by in ((X.ENTITY, " "), (X.EMAIL, "[EMAIL]"), (f"https?://{_NOT_BLANK}+|www\\.{_NOT_BLANK}+", "[URL]"), (f"utm_[^&{no}]*|[?&][^=]*=[^&{no}]*", ""), (r"[\x{00}-\x{08}\x{0e}-\x{1f}\x{7f}-\x{84}\x{86}-\x{9f}]", ""), (f"[^{_WORDS}{spaces}.,!?;:()\\-'\\[\\]]", " "), (f"{_BLANK}+", " ")):
+        pattern = pattern.replace("'", "''")
+        x = f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
+    return f"trim(regexp_replace({x}, '[\\x{{200b}}-\\x{{200d}}\\x{{2060}}\\x{{feff}}\\x{{ad}}\\x{{200e}}]', '', 'g'))"
+
+
+def _sql_noise(w: str) -> str:
+    words = ", ".join(f"'{x}'" for x in X.NOISE)
+    return f"(NOT ({w} LIKE '[%' AND {w} LIKE '%]') AND (lower({w}) IN ({words}) OR octet_length(encode(lower({w}))) < 2 OR NOT regexp_matches({w}, '[\\p{{L}}\\p{{Nl}}]')))"
+
+
+def _sql_words(t: str) -> str:
+    return f"list_filter(string_split_regex({t}, '{_BLANK}+'), lambda w: w <> '')"
+
+
+def _sql_prepared(n: int) -> str:
+    whole = f"(CASE WHEN subject <> '' THEN subject || ' ' || subject || ' ' ELSE '' END || CASE WHEN snippet <> '' THEN {_sql_clean('snippet')} || ' ' ELSE '' END || {_sql_clean('body')})"
+    return f"array_to_string(list_slice(list_filter({_sql_words(whole)}, lambda w: NOT {_sql_noise('w')}), 1, {n}), ' ')"
+
+
+_FEATURES = f"{_MAIL}, f AS MATERIALIZED (SELECT *, lower({_sql_prepared(100)}) AS c, lower(split_part(sender, '@', 2)) AS d, lower(subject) || chr(10) || lower(snippet) AS raw, lower(subject) AS sub FROM m)"
+_RULED = f"{_FEATURES}, r AS MATERIALIZED (SELECT *, {R.sql(R.DETERMINISTIC, 'category', chr(39) + 'Reference' + chr(39))} AS category, {R.sql(R.DETERMINISTIC, 'score', '0.6')} AS score FROM f)"
+_URGENT = lambda words: "(" + " OR ".join(f"contains(lower(subject || ' ' || snippet || ' ' || body), '{w}')" for w in words) + ")"
+
+
+def _ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.by_rules(mail.messages(spark, sf_dir))
+
+
+@_query(f"SELECT doc_id, {_sql_clean('text')} AS cleaned FROM documents")
+def clean_text(spark, sf_dir):
+    return mail.table(spark, sf_dir, "documents").select("doc_id", X.clean(F.col("text")).alias("cleaned"))
+
+
+@_query(f"SELECT doc_id, array_to_string(list_slice(list_filter({_sql_words('text')}, lambda w: NOT {_sql_noise('w')}), 1, 50), ' ') AS words FROM documents")
+def meaningful_words(spark, sf_dir):
+    return mail.table(spark, sf_dir, "documents").select("doc_id", X.meaningful(F.col("text"), 50).alias("words"))
+
+
+@_query(f"WITH {_MAIL} SELECT id, {_sql_prepared(100)} AS prepared FROM m")
+def prepared_text(spark, sf_dir):
+    return mail.messages(spark, sf_dir).select("id", X.prepared(100).alias("prepared"))
+
+
+@_query("SELECT doc_id, lower(split_part(source || '@' || lang || '.example.com', '@', 2)) AS sender_domain FROM documents")
+def sender_domain_first_at(spark, sf_dir):
+    return mail.messages(spark, sf_dir).select(F.col("id").cast("long").alias("doc_id"), X.rule_domain(F.col("from")).alias("sender_domain"))
+
+
+@_query("SELECT doc_id, 'from_domain:' || lang || '.example.com to_domain:list.example.com' AS metadata FROM documents")
+def recipient_domain_last_at(spark, sf_dir):
+    return mail.messages(spark, sf_dir).select(F.col("id").cast("long").alias("doc_id"), X.metadata(F.col("from"), F.col("to")).alias("metadata"))
+
+
+@_query("SELECT page_id, regexp_replace(regexp_replace(replace(replace(replace(replace(replace(html, '<br>', chr(10)), '<br/>', chr(10)), '<br />', chr(10)), '</p>', chr(10)), '</div>', chr(10)), '<[^>]*>', '', 'g'), '^" + _BLANK + "+|" + _BLANK + "+$', '', 'g') AS stripped FROM pages")
+def strip_html_basic(spark, sf_dir):
+    return mail.table(spark, sf_dir, "pages").select("page_id", X.strip_html(F.col("html")).alias("stripped"))
+
+
+@_query()
+def html_to_text(spark, sf_dir):
+    return mail.table(spark, sf_dir, "pages").select("page_id", X.html_text(F.col("html")).alias("plain"))
+
+
+@_query(f"SELECT w AS word, count(*) AS n FROM (SELECT unnest({_sql_words('text')}) AS w FROM documents) WHERE {_sql_noise('w')} GROUP BY w")
+def noise_word_counts(spark, sf_dir):
+    return mail.table(spark, sf_dir, "documents").select(F.explode(X.words(F.col("text"))).alias("word")).filter(X.is_noise(F.col("word"))).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@_query(f"WITH {_MAIL} SELECT id FROM m WHERE {_URGENT(route.URGENT)}")
+def urgent_filter(spark, sf_dir):
+    return mail.messages(spark, sf_dir).filter(route.urgent()).select("id")
+
+
+@_query(f"WITH {_RULED} SELECT id, category, score FROM r")
+def classify_rules(spark, sf_dir):
+    return _ruled(spark, sf_dir).select("id", "category", "score")
+
+
+_SURE = R.sql(R.HIGH_CONFIDENCE, "category", "NULL")
+_FALL = R.sql(R.FALLBACK, "category", "'Reference'")
+
+
+@_query(f"WITH {_FEATURES} SELECT id, {_SURE} AS category, {R.sql(R.HIGH_CONFIDENCE, 'score', 'NULL')} AS score FROM f WHERE {_SURE} IS NOT NULL")
+def classify_hybrid_rules(spark, sf_dir):
+    f = classify.features(mail.messages(spark, sf_dir)).withColumn("r", R.decide(R.HIGH_CONFIDENCE, (None, None)))
+    return f.filter(F.col("r.category").isNotNull()).select("id", "r.category", "r.score")
+
+
+@_query(f"WITH {_FEATURES} SELECT id, {_FALL} AS category, {R.sql(R.FALLBACK, 'score', '0.6')} AS score FROM f")
+def classify_hybrid_fallback(spark, sf_dir):
+    return classify.features(mail.messages(spark, sf_dir)).withColumn("r", R.decide(R.FALLBACK)).select("id", "r.category", "r.score")
+
+
+@_query(f"WITH {_FEATURES} SELECT id, coalesce({_SURE}, {_FALL}) AS category, coalesce({R.sql(R.HIGH_CONFIDENCE, 'score', 'NULL')}, {R.sql(R.FALLBACK, 'score', '0.6')}) AS score FROM f")
+def classify_hybrid(spark, sf_dir):
+    return classify.hybrid(mail.messages(spark, sf_dir)).select("id", "category", "score")
+
+
+@_query(f"WITH {_FEATURES} SELECT id, CASE WHEN contains(c, 'login') AND contains(c, 'secure') THEN 'Reference' WHEN contains(sub, 'tomorrow') AND NOT contains(c, 'meeting') AND NOT contains(c, 'deadline') THEN 'Reference' WHEN contains(c, 'purchased') OR contains(c, 'pair with') THEN 'Noise' ELSE 'ActionRequired' END AS from_action, CASE WHEN contains(c, 'login') AND (contains(c, 'claude') OR contains(c, 'anthropic')) THEN 'Reference' WHEN contains(c, 'newsletter') OR contains(c, 'unsubscribe') THEN 'Noise' ELSE 'Spam' END AS from_spam FROM f")
+def post_process(spark, sf_dir):
+    return classify.features(mail.messages(spark, sf_dir)).select("id", classify.corrected(F.lit("ActionRequired")).alias("from_action"), classify.corrected(F.lit("Spam")).alias("from_spam"))
+
+
+@_query()
+def classify_random(spark, sf_dir):
+    return classify.random(mail.messages(spark, sf_dir)).select("id", "category", "score")
+
+
+_HUMAN = "CASE category WHEN 'ActionRequired' THEN 'Action Required' WHEN 'InterestingInfo' THEN 'Interesting' WHEN 'Noise' THEN 'Low Priority' ELSE category END"
+
+
+@_query(f"WITH {_RULED} SELECT id, CASE WHEN {_URGENT(route.URGENT)} THEN 'Mark as important; Escalate: High priority email (priority 4); ' ELSE '' END || CASE WHEN score < 0.7 THEN 'Label as ''needs-review''' ELSE 'Label as ''' || {_HUMAN} || '''' || CASE WHEN category IN ('Reference', 'Noise', 'Spam') THEN '; Archive' ELSE '' END END AS actions FROM r")
+def route_actions(spark, sf_dir):
+    return route.route(_ruled(spark, sf_dir)).select("id", F.array_join(F.transform("actions", route.described), "; ").alias("actions"))
+
+
+_KEEP = f"(category = 'ActionRequired' OR {_URGENT(route.URGENT_MAIN)} OR score < 0.7)"
+
+
+@_query(f"WITH {_RULED} SELECT id, {_KEEP} AS stay_in_inbox, category <> 'ActionRequired' AS archived FROM r")
+def stay_in_inbox(spark, sf_dir):
+    return route.decided(_ruled(spark, sf_dir)).select("id", "stay_in_inbox", "archived")
+
+
+_LABEL = "CASE category WHEN 'ActionRequired' THEN 'Agentic/Action Required' WHEN 'InterestingInfo' THEN 'Agentic/Interesting' WHEN 'Reference' THEN 'Agentic/Reference' WHEN 'Noise' THEN 'Agentic/Low Priority' WHEN 'Spam' THEN 'Agentic/Spam' END"
+
+
+@_query(f"WITH {_RULED} SELECT id, {_LABEL} AS label_applied, category <> 'ActionRequired' AS archived, 'Applied label ''' || {_LABEL} || '''' || CASE WHEN category <> 'ActionRequired' THEN ' and archived email' ELSE '' END AS summary FROM r")
+def execute_summary(spark, sf_dir):
+    return route.executed(_ruled(spark, sf_dir)).select("id", "label_applied", "archived", "summary")
+
+
+@_query(f"WITH {_RULED} SELECT category, count(*) AS n, round(avg(score), 6) AS mean_score FROM r GROUP BY category")
+def category_counts(spark, sf_dir):
+    return _ruled(spark, sf_dir).groupBy("category").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
+
+
+@_query(f"WITH {_RULED} SELECT category, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS share FROM r GROUP BY category")
+def category_share(spark, sf_dir):
+    c = _ruled(spark, sf_dir).groupBy("category").agg(F.count("*").alias("n"))
+    return c.crossJoin(F.broadcast(c.agg(F.sum("n").alias("t")))).select("category", F.round(F.lit(100.0) * F.col("n") / F.col("t"), 6).alias("share"))
+
+
+@_query(f"WITH {_RULED} SELECT count(*) AS total, count(*) FILTER ({_KEEP}) AS kept, count(*) FILTER (NOT {_KEEP}) AS archived, count(*) FILTER ({_URGENT(route.URGENT_MAIN)}) AS urgent, count(*) FILTER ({_KEEP} AND score < 0.7) AS needs_review FROM r")
+def processing_stats(spark, sf_dir):
+    return route.stats(route.decided(_ruled(spark, sf_dir)))
+
+
+@_query(f"WITH {_RULED} SELECT id, score FROM r WHERE score < 0.7")
+def review_needed(spark, sf_dir):
+    return _ruled(spark, sf_dir).filter("score < 0.7").select("id", "score")
+
+
+@_query(f"WITH {_RULED} SELECT quality, count(*) AS n, round(avg(CASE WHEN (category = 'Reference') = (quality = 1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM r JOIN labels l ON CAST(l.doc_id AS VARCHAR) = r.id GROUP BY quality")
+def accuracy_by_label(spark, sf_dir):
+    t = mail.table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"), "quality")
+    right = ((F.col("category") == "Reference") == (F.col("quality") == 1)).cast("double")
+    return _ruled(spark, sf_dir).select("id", "category").join(t, "id").groupBy("quality").agg(F.count("*").alias("n"), F.round(F.avg(right), 6).alias("accuracy"))
+
+
+@_query("SELECT round(count(text) * 1.0 / count(*), 6) AS text_share, round(count(lang) * 1.0 / count(*), 6) AS lang_share, round(count(source) * 1.0 / count(*), 6) AS source_share FROM documents")
+def field_completeness(spark, sf_dir):
+    return mail.table(spark, sf_dir, "documents").agg(*[F.round(F.count(c) * 1.0 / F.count("*"), 6).cast("double").alias(f"{c}_share") for c in ("text", "lang", "source")])
+
+
+@_query("SELECT round(avg(octet_length(encode(text))), 6) AS text_bytes, round(avg(octet_length(encode(source))), 6) AS source_bytes FROM documents")
+def avg_field_bytes(spark, sf_dir):
+    return mail.table(spark, sf_dir, "documents").agg(*[F.round(F.avg(F.octet_length(c)), 6).alias(f"{c}_bytes") for c in ("text", "source")])
+
+
+@_query("SELECT count(*) - count(DISTINCT doc_id) AS duplicates FROM documents")
+def duplicate_ids(spark, sf_dir):
+    return mail.table(spark, sf_dir, "documents").agg((F.count("*") - F.count_distinct("doc_id")).alias("duplicates"))
+
+
+@_query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
+def audit_counts(spark, sf_dir):
+    return mail.table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@_query("SELECT * FROM (VALUES ('ActionRequired', 'Agentic/Action Required', 'TEST_Agentic/Action Required'), ('InterestingInfo', 'Agentic/Interesting', 'TEST_Agentic/Interesting'), ('Reference', 'Agentic/Reference', 'TEST_Agentic/Reference'), ('Noise', 'Agentic/Low Priority', 'TEST_Agentic/Low Priority'), ('Spam', 'Agentic/Spam', 'TEST_Agentic/Spam')) t(category, label, test_label)")
+def label_dim_lookup(spark, sf_dir):
+    c = spark.createDataFrame([(x,) for x in classify.CATEGORIES], "category string")
+    return c.select("category", route.label_for(F.col("category")).alias("label"), route.test_label(F.col("category")).alias("test_label"))
+
+
+@_query("SELECT conv_id, array_to_string(list_sort(list(DISTINCT 'label_' || role)), ',') AS labels FROM conversations GROUP BY conv_id")
+def explode_labels_join(spark, sf_dir):
+    m = mail.table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.collect_set("role").alias("label_ids"))
+    dim = mail.table(spark, sf_dir, "conversations").select(F.col("role").alias("id"), F.concat(F.lit("label_"), "role").alias("name")).distinct()
+    return route.label_names(m, dim).select(F.col("id").alias("conv_id"), F.array_join("labels", ",").alias("labels"))
+
+
+@_query("SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN 'Archived' ELSE 'Email was already archived' END AS description, 'UNREAD' AS labels FROM (SELECT DISTINCT conv_id FROM conversations)")
+def archive_state(spark, sf_dir):
+    m = mail.table(spark, sf_dir, "conversations").select("conv_id").distinct().withColumn("label_ids", F.when(F.col("conv_id") % 2 == 0, F.array(F.lit("INBOX"), F.lit("UNREAD"))).otherwise(F.array(F.lit("UNREAD"))))
+    return route.archive(m).select("conv_id", "description", F.array_join("label_ids", ",").alias("labels"))
+
+
+@_query("SELECT CAST(conv_id AS VARCHAR) AS id, 'INBOX,' || array_to_string(list_sort(list(DISTINCT 'label_agentic/' || role)), ',') AS labels FROM conversations GROUP BY conv_id")
+def label_apply_idempotent(spark, sf_dir):
+    c = mail.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("id"), "role")
+    m = c.select("id").distinct().withColumn("label_ids", F.array(F.lit("INBOX")))
+    w = c.select(F.col("id").alias("message_id"), F.concat(F.lit("Agentic/"), "role").alias("label"))
+    dim = spark.createDataFrame([("INBOX", "INBOX")], "id string, name string")
+    return route.apply_labels(m, dim, w)[0].select("id", F.array_join("label_ids", ",").alias("labels"))
+
+
+@_query("SELECT source FROM (SELECT DISTINCT source FROM documents) WHERE NOT (source IN ('src1', 'src2') OR source LIKE 'Agentic/%' OR source LIKE 'TEST\\_%' ESCAPE '\\')")
+def agentic_label_filter(spark, sf_dir):
+    return mail.table(spark, sf_dir, "documents").select("source").distinct().filter(~route.own_label(F.col("source"), ("src1", "src2")))
+
+
+@_query("SELECT CAST(d.doc_id AS VARCHAR) AS id, CASE WHEN l.quality = 1 THEN 'Reference' WHEN l.quality = 0 THEN 'Noise' END AS category, l.doc_id IS NULL AS missing FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def replay_join(spark, sf_dir):
+    m = mail.messages(spark, sf_dir)
+    labels = mail.table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"), F.when(F.col("quality") == 1, "Reference").otherwise("Noise").alias("category"), F.lit(1.0).alias("score"), F.lit("").alias("response"), F.lit("2020-01-01").alias("recorded_at"))
+    return classify.replay(m, m.select(*classify.SIGNATURE).join(labels, "id")).select("id", "category", F.col("error").isNotNull().alias("missing"))
+
+
+@_query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Noise' END AS category FROM documents")
+def llm_json_parse(spark, sf_dir):
+    reply = F.when(F.col("doc_id") % 3 == 0, 'Sure: {"category": "Noise", "score": 0.5, "explanation": "x"} .').when(F.col("doc_id") % 3 == 1, '{"category": "Odd", "score": 0.5, "explanation": "x"}').otherwise("no object")
+    return mail.table(spark, sf_dir, "documents").select("doc_id", classify.parse_reply(reply)["category"].alias("category"))
+
+
+_FOUND = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
+
+
+@_query(f"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_FOUND}')) AS e FROM documents) GROUP BY doc_id")
+def email_spans_text(spark, sf_dir):
+    return pii.detect(mail.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.size(F.filter("entities", lambda e: e["pii_type"] == "email")).cast("long").alias("n")).filter("n > 0")
+
+
+@_query()
+def pii_spans(spark, sf_dir):
+    return pii.detect(mail.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode("entities").alias("e"), "text").select("doc_id", "e.pii_type", F.col("e.text").alias("found"), "e.start", "e.end", pii.byte_offset(F.col("text"), F.col("e.start").cast("int")).alias("byte_start"))
+
+
+@_query()
+def pii_counts_by_type(spark, sf_dir):
+    return pii.detect(mail.table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.explode("entities.pii_type").alias("pii_type")).groupBy("pii_type").agg(F.count("*").alias("n"))
+
+
+@_query()
+def replacement_map(spark, sf_dir):
+    return pii.mapping(pii.detect(mail.table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id").select("text", "pii_type", "seed", "stand_in")
+
+
+@_query()
+def replaced_text(spark, sf_dir):
+    return pii.replaced(pii.detect(mail.table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
+
+
+_LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+_AT = lambda words, by: f"list_extract({_LIST(words)}, CAST(doc_id * {by} % {len(words)} + 1 AS INTEGER))"
+
+
+@_query(f"SELECT doc_id, {_AT(fake.FIRST, 7)} || ' ' || {_AT(fake.LAST, 13)} AS name, {_AT(fake.USERS, 11)} || CAST(doc_id % 999 + 1 AS VARCHAR) || '@' || {_AT(fake.DOMAINS, 7)} AS email, '(' || {_AT(fake.AREAS, 11)} || ') ' || CAST(1000 + doc_id % 900 AS VARCHAR) || '-' || CAST(1000 + doc_id * 17 % 9000 AS VARCHAR) AS phone, CAST(100 + doc_id % 900 AS VARCHAR) || ' ' || {_AT(fake.STREETS, 19)} || ', ' || {_AT(fake.CITIES, 23)} || ', ' || {_AT(fake.STATES, 29)} || ' ' || CAST(10000 + doc_id % 90000 AS VARCHAR) AS address, {_AT(fake.PLACES, 17)} AS place, {_AT(fake.COMPANIES, 31)} AS company FROM documents")
+def fake_values(spark, sf_dir):
+    s = F.col("doc_id")
+    return mail.table(spark, sf_dir, "documents").select("doc_id", fake.name(s).alias("name"), fake.email(F.lit("a@b.c"), s).alias("email"), fake.phone(s).alias("phone"), fake.address(s).alias("address"), fake.location(F.lit("Bern"), s).alias("place"), fake.company(s).alias("company"))
+
+
+@_query(f"SELECT doc_id, len(list_filter(regexp_extract_all(text, '{_FOUND}'), lambda e: NOT contains(e, 'example.com') AND NOT contains(e, 'user'))) > 0 AS real_email FROM documents")
+def spot_check_pii(spark, sf_dir):
+    return mail.table(spark, sf_dir, "documents").select("doc_id", pii.suspicious_emails(F.col("text")).alias("real_email"))
+
+
+@_query(f"WITH {_MAIL} SELECT id FROM m ORDER BY id LIMIT 10")
+def first_n_limit(spark, sf_dir):
+    return mail.inbox(mail.messages(spark, sf_dir), 10).select("id")
+
+
+@_query("SELECT source, row_number() OVER (ORDER BY min(doc_id)) - 1 AS seed FROM documents GROUP BY source")
+def first_seen_seed(spark, sf_dir):
+    return route.first_seen(mail.table(spark, sf_dir, "documents"), "source", ["doc_id"])
+
+
+@_query(f"WITH {_MAIL} SELECT id, subject IS NOT NULL AS has_subject, CASE WHEN length(subject) > 50 THEN substring(subject, 1, 47) || '...' ELSE subject END AS shown FROM m")
+def manifest_preview(spark, sf_dir):
+    return mail.messages(spark, sf_dir).select("id", F.col("subject").isNotNull().alias("has_subject"), X.truncated(F.col("subject")).alias("shown"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
