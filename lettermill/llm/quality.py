@@ -97,6 +97,8 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEP
         _tree(x, p - y, p * (1 - p), cuts, np.arange(len(y)), depth, (), rules, step)
         score += 0.3 * step
     rules = sorted(set(rules))
+    if not rules:
+        return start, []
     a = np.stack([holds(r, x) for r in rules], 1).astype(np.float32)
     _, first = np.unique(a, axis=1, return_index=True)
     rules, a = [rules[k] for k in sorted(first)], a[:, sorted(first)]
