@@ -4,8 +4,9 @@ A text's word 5-grams are labelled by their occurrence (the second of a kind dif
 of BANDS hash functions the KEPT least of them, put back into text order, make one band: order counts, so
 bands agree as texts agree in edit similarity. Texts of one band are linked to its leader, never to each
 other; links are verified by aligning words inside the band that a similarity of 0.8 leaves. Texts that the
-leader's verification turned down elect a new leader among themselves, until a whole round links nothing.
-Links make classes by connected components.
+leader's verification turned down elect MORE times as many leaders among themselves, until no band has two
+texts left that are neither a leader nor near to one. Links make classes by connected components; n_links
+counts the links verified.
 
 Equal texts are one text throughout, so a group of copies costs one row. Defined results: a null text is an
 empty one; texts without a word are near to nothing but equal texts; a text of fewer than five words is one
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +30,8 @@ from .common import mix, stored, tune
 SHINGLE, BANDS, KEPT, LEAST = 5, 16, 3, 0.8
 #: A list of ids of at most so many rows is broadcast; a longer one is shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Leaders of a band in one round, for each of the round before: bands of unlike texts end after few rounds.
+MORE = 8
 _SEEDS = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _TURN = mix(np.arange(101, 101 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
 
@@ -192,20 +195,21 @@ def classes(spark: SparkSession, docs: DataFrame, least: float = LEAST) -> tuple
     open_ = stored(spark, _shared(own.select("key", F.explode("bands").alias("band"))), "bands")
     own = own.drop("bands")
     seen: DataFrame | None = None
-    while True:
-        leaders = open_.groupBy("band").agg(F.min("key").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        asked = open_.join(leaders, "band").filter("key != leader")
+    leaders_each = 1
+    while seen is None or open_.limit(1).count():
+        leaders = _leaders(open_, leaders_each)
+        # leaders are a band's least texts, so each pair of a leader and an open text is asked once
+        asked = stored(spark, open_.join(leaders, "band").filter("key > leader"), "asked")
         pairs = asked.select("key", "leader").distinct()
         if seen is not None:
             pairs = pairs.join(seen.select("key", "leader"), ["key", "leader"], "left_anti")
         tried = stored(spark, _verified(spark, keyed, own, pairs, least), "tried")
         seen = tried if seen is None else seen.unionByName(tried)
-        if not tried.filter("near").limit(1).count():
-            break
-        # in a band, the leader and those that are near to it are done
-        done = seen.filter("near").select("key", "leader")
-        left = open_.join(leaders, "band").filter("key != leader").join(done, ["key", "leader"], "left_anti").select("key", "band")
-        open_ = _shared(stored(spark, left, "open"))
+        # in a band, the leaders and those that are near to one are done
+        near = asked.join(seen.filter("near").select("key", "leader"), ["key", "leader"], "left_semi").select("band", "key")
+        done = near.union(leaders.select("band", F.col("leader").alias("key"))).distinct()
+        open_ = stored(spark, _shared(open_.join(done, ["band", "key"], "left_anti").select("key", "band")), "open")
+        leaders_each *= MORE
     links = seen.filter("near").select("key", "leader")
     both = stored(spark, links.union(links.select(F.col("leader").alias("key"), F.col("key").alias("leader"))).distinct(), "links")
     labels = components(spark, both)
@@ -221,6 +225,14 @@ def _shared(bands: DataFrame) -> DataFrame:
     return bands.join(bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "band")
 
 
+def _leaders(open_: DataFrame, each: int) -> DataFrame:
+    """band, leader: the `each` least texts of each band."""
+    if each == 1:
+        return open_.groupBy("band").agg(F.min("key").alias("leader"))
+    place = F.row_number().over(Window.partitionBy("band").orderBy("key"))
+    return open_.withColumn("place", place).filter(F.col("place") <= each).select("band", F.col("key").alias("leader"))
+
+
 def _verified(spark: SparkSession, keyed: DataFrame, own: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     """key, leader, near of the pairs."""
     pairs = stored(spark, pairs, "pairs")

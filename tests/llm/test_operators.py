@@ -113,6 +113,19 @@ def _keys(spark, texts):
     return [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").select(neardup._key(F.col("text")), "k").orderBy("k").collect()]
 
 
+def test_unlike_texts_of_a_band_are_all_asked(spark, monkeypatch):
+    unlike = [prose(200, 300 + k) for k in range(12)]
+    copies = [t.replace(" ", " zzz ", 1) for t in unlike]
+    keys, other = _keys(spark, unlike), _keys(spark, copies)
+    k = max(range(12), key=lambda k: min(keys[k], other[k]))
+    texts = [t for t, x in zip(unlike, keys, strict=True) if x < min(keys[k], other[k])] + [unlike[k], copies[k]]
+    n = len(texts)
+    assert n >= 5  # the only two that are alike come after three leaders that turn all down
+    monkeypatch.setattr(neardup, "sketch", lambda words: np.array([7], np.uint64))
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark, docs(spark, texts)).collect()}
+    assert [got[i] for i in range(n)] == [*range(n - 1), n - 2]
+
+
 def test_every_member_of_a_star_is_asked(spark, monkeypatch):
     def changed(words, at, by):
         return [f"{by}{i}" if i in at else w for i, w in enumerate(words)]
