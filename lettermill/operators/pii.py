@@ -18,8 +18,10 @@ PHONE = [r"\d{3}-\d{3}-\d{4}\s+ext\s+\d{1,4}", r"\+\d{1,4}\s\d{1,4}\s\d{1,4}\s\d
 _ADDRESS = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 EMAIL = [rf"\b{_ADDRESS}\b", rf"<{_ADDRESS}>", rf'"{_ADDRESS}"', _ADDRESS, r"\b[a-zA-Z0-9._%-]+\s*\[at\]\s*[a-zA-Z0-9.-]+\s*\[dot\]\s*[a-zA-Z]{2,}\b", r"\b[a-zA-Z0-9._%-]+\s*\(at\)\s*[a-zA-Z0-9.-]+\s*\(dot\)\s*[a-zA-Z]{2,}\b"]
 LOCATION = [r"\b[A-ZÄÖÜa-zäöüß]+(?:mann|berg|hof|weg|gasse|strasse|str\.)\s+\d{1,3}[a-z]?\b", r"\b[A-Z]-\d{5}\b", r"\b\d{5}\s+[A-ZÄÖÜa-zäöüß]+\b"]
+CITIES = ["Zürich", "Zurich", "Geneva", "Genève", "Basel", "Bern", "Lausanne", "Winterthur", "Luzern", "Lucerne", "St. Gallen", "Sankt Gallen", "Lugano", "Biel", "Bienne", "Thun", "Köniz", "La Chaux-de-Fonds", "Schaffhausen", "Fribourg", "Chur", "Vernier", "Neuchâtel", "Uster", "Sion", "Lancy", "Yverdon-les-Bains", "Emmen", "Zug", "Kriens", "Rapperswil-Jona", "Dübendorf", "Dietikon", "Riehen", "Montreux", "Frauenfeld", "Küsnacht", "Küssnacht", "Thalwil", "Wetzikon", "Baar", "Meyrin", "Carouge", "Wädenswil", "Allschwil"]
 FIRST_NAMES = "John Jane Michael Sarah David Maria Peter Anna Thomas Laura Daniel Julia Robert Emma James Lisa".split()
 _COMPILED = [("phone", [re.compile(p) for p in PHONE]), ("email", [re.compile(p) for p in EMAIL]), ("location", [re.compile(p) for p in LOCATION])]
+_CITY = re.compile(rf"\b(?:{'|'.join(map(re.escape, CITIES))})\b")
 SPANS = T.ArrayType(T.StructType([T.StructField("pii_type", T.StringType()), T.StructField("text", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 _ARROW = pa.list_(pa.struct([("pii_type", pa.string()), ("text", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
@@ -65,12 +67,16 @@ def merged(found: list[Span]) -> list[Span]:
 
 def detect_text(text: str) -> list[Span]:
     """Spans of all detectors, overlaps between them resolved: the longer wins, and a pattern's span wins over a name."""
-    if "@" not in text and not any(c.isdigit() for c in text) and "[at]" not in text and "(at)" not in text:
+    cities = [("location", m[0], m.start(), m.end()) for m in _CITY.finditer(text)]
+    if not cities and "@" not in text and not any(c.isdigit() for c in text) and "[at]" not in text and "(at)" not in text:
         return []
     every: list[Span] = []
     for kind, patterns in _COMPILED:
         ok = {"phone": phone_ok, "email": email_ok}.get(kind, lambda _: True)
-        every += merged([(kind, m[0], m.start(), m.end()) for p in patterns for m in p.finditer(text) if ok(m[0])])
+        found = merged([(kind, m[0], m.start(), m.end()) for p in patterns for m in p.finditer(text) if ok(m[0])])
+        if kind == "location":
+            found += [c for c in cities if all(c[3] <= o[2] or o[3] <= c[2] for o in found)]
+        every += found
     out: list[Span] = []
     for s in sorted(every, key=lambda s: s[2]):
         k = next((k for k, o in enumerate(out) if s[2] < o[3] and o[2] < s[3]), None)

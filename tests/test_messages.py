@@ -89,3 +89,9 @@ def test_entry_imports():
     import __spark_entry__
 
     assert "category_counts" in __spark_entry__.queries() and "category_counts" in __spark_entry__.oracle_sql()
+
+
+@pytest.mark.parametrize("text, found", [("I live in 8700 Küsnacht, Switzerland.", ["Küsnacht"]), ("Visit me at Weinmanngasse 15 tomorrow.", ["Weinmanngasse 15"]), ("Meeting in Zürich next week.", ["Zürich"]), ("Shipping to 10115 Berlin, Germany.", ["10115 Berlin"]), ("from St. Gallen to Yverdon-les-Bains", ["St. Gallen", "Yverdon-les-Bains"]), ("10115 Bern and Bernese", ["10115 Bern"])])
+def test_detect_cities(text, found):
+    assert [s[1] for s in pii.detect_text(text) if s[0] == "location"] == found
+    assert len(set(pii.CITIES)) == 45
