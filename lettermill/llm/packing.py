@@ -49,7 +49,8 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(json_path)
-        self.exact.encode_special_tokens = True
+        # a text that holds an added token's string has that token's one id, which the ranks file does not know
+        self.added = [t.content for t in self.exact.get_added_tokens_decoder().values()]
         self.fast = None
         if ranks_path:
             import tiktoken
@@ -59,7 +60,7 @@ class ByteBpe:
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
-        if self.fast and _PLAIN.fullmatch(text):
+        if self.fast and _PLAIN.fullmatch(text) and not any(t in text for t in self.added):
             return self.fast.encode_ordinary(text)
         return self.exact.encode(text, add_special_tokens=False).ids
 

@@ -235,3 +235,13 @@ def test_lm_counts_keep_their_ratio(spark):
     coder = lm.Coder([b"a", b""], [200_000, 1], 0)
     table = lm.context_tables(spark, train, spark.sparkContext.broadcast(coder), lm.LEAST_BITS)[0]
     assert max(lm._VALUE[table >> 8].max(), lm._VALUE[table & 255].max()) == pytest.approx(200_000, rel=0.05)
+
+
+def test_added_tokens_are_the_plain_tokenizers():
+    import public_tokenizers as files
+    from tokenizers import Tokenizer
+
+    plain, encode = Tokenizer.from_file(files.path("byte_bpe_50k.json")), packing.default_tokenizer()
+    for t in ["a <|endoftext|> b", "<|endoftext|>", "日本 <|endoftext|>", "<|endoftext|><|endoftext|>x", "<|endoftext", "a b"]:
+        assert encode(t) == plain.encode(t, add_special_tokens=False).ids
+    assert encode("a <|endoftext|> b") == [64, 220, 50256, 275]
