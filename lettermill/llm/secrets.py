@@ -2,7 +2,9 @@
 
 A candidate string near a sensitive word is compressed on its own and behind a dictionary of the corpus'
 identifiers and the code around it. What it still costs, in bytes for each byte of the string, is its
-novelty: names, paths and repeated values nearly vanish, random keys stay as they are and are reported.
+novelty: names, paths and repeated values nearly vanish, random keys stay as they are. What novelty is enough to be
+reported depends on how far the string's characters follow one another as in the dictionary's words: new names
+have to be more novel than random keys. No candidate is left out for its characters.
 
 Defined results: a null or empty text has no spans; repeated rows are scanned each on their own; an empty
 table gives no rows; extra columns are ignored; where spans of two kinds tie they follow the order of KINDS.
@@ -10,6 +12,7 @@ table gives no rows; extra columns are ignored; where spans of two kinds tie the
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -27,6 +30,8 @@ KINDS = ("assign", "access", "hex", "novel")
 DICTIONARY_WORDS = 2000
 #: Bytes that a candidate costs behind the dictionary, for each byte that it would cost as random text of its alphabet.
 LEAST_NOVELTY = 0.8
+#: Bits of a character behind the one before it, by the dictionary's words: random strings cost more. Each bit less adds STEEP to the novelty asked for.
+RANDOM_BITS, STEEP = 5.0, 3.0
 AROUND = 200
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A | re.I)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -80,11 +85,22 @@ def _counts(seen: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
 
 
+def _pairs(word: str) -> list[tuple[str, str]]:
+    """Each letter or digit and what comes before it; signs are breaks."""
+    w = f" {re.sub('[^a-z0-9]+', ' ', word.lower())}"
+    return [(a, b) for a, b in zip(w, w[1:], strict=False) if b != " "]
+
+
 class Novelty:
     """Marginal compressed bytes of a string behind a dictionary and its surroundings."""
 
     def __init__(self, words: list[str]) -> None:
         self.known = " ".join([*COMMON, *reversed(words)]).encode()
+        pairs = Counter(p for w in [*COMMON, *words] for p in _pairs(w))
+        firsts: Counter[str] = Counter()
+        for (a, _), n in pairs.items():
+            firsts[a] += n
+        self.pairs, self.firsts = pairs, firsts
 
     def __call__(self, text: str, lo: int, hi: int) -> float:
         # the surroundings come last, where matches are nearest; the string itself is cut out of them
@@ -96,11 +112,15 @@ class Novelty:
         bits = 4 if re.fullmatch(r"[0-9a-fA-F]+", key) else 5 if key.upper() == key or key.lower() == key else 6
         return cost / (len(key) * bits / 8)
 
+    def bits(self, key: str) -> float:
+        """Bits of a character of key, behind the one before it, by the dictionary's words."""
+        pairs = _pairs(key)
+        # 36 letters and digits, each seen once in five beforehand; a pair that comes again costs nothing
+        return sum(math.log2((self.firsts[a] + 7.2) / (self.pairs[a, b] + 0.2)) for a, b in set(pairs)) / max(len(pairs), 1)
 
-def _random_looking(key: str) -> bool:
-    """Letters and digits in turn, no single character or ending that repeats."""
-    turns = sum(a.isdigit() != b.isdigit() for a, b in zip(key, key[1:], strict=False))
-    return any(c.isdigit() for c in key) and any(c.isalpha() for c in key) and turns >= 3 and len(set(key)) >= 8
+    def enough(self, key: str, least: float) -> float:
+        """The novelty from which key is reported."""
+        return least + STEEP * max(0.0, RANDOM_BITS - self.bits(key))
 
 
 def scan_text(text: str, novelty: Novelty, least: float = LEAST_NOVELTY) -> list[tuple[str, int, int]]:
@@ -108,7 +128,7 @@ def scan_text(text: str, novelty: Novelty, least: float = LEAST_NOVELTY) -> list
     base = base_spans(text)
     taken = sorted((lo, hi) for _, lo, hi in base)
     for lo, hi in _candidates(text, text.lower()):
-        if all(hi <= a or b <= lo for a, b in taken) and _random_looking(text[lo:hi]) and novelty(text, lo, hi) >= least:
+        if all(hi <= a or b <= lo for a, b in taken) and novelty(text, lo, hi) >= novelty.enough(text[lo:hi], least):
             base.append(("novel", lo, hi))
     return sorted(base, key=lambda x: (x[1], KINDS.index(x[0])))
 

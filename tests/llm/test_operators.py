@@ -245,3 +245,14 @@ def test_added_tokens_are_the_plain_tokenizers():
     for t in ["a <|endoftext|> b", "<|endoftext|>", "日本 <|endoftext|>", "<|endoftext|><|endoftext|>x", "<|endoftext", "a b"]:
         assert encode(t) == plain.encode(t, add_special_tokens=False).ids
     assert encode("a <|endoftext|> b") == [64, 220, 50256, 275]
+
+
+def test_random_keys_are_novel():
+    novelty, r = secrets.Novelty([]), random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    for alphabet in (letters + "0123456789", letters):
+        keys = ["".join(r.choices(alphabet, k=n)) for n in range(16, 41) for _ in range(40)]
+        found = [secrets.scan_text(f"bearer {k} end", novelty) == [("novel", 7, 7 + len(k))] for k in keys]
+        assert sum(found) >= 0.99 * len(found)
+    for name in ("AuthenticationManagerBuilder", "/usr/local/share/certificates", "a" * 16, "-" * 20, "0" * 16, "authorization_header_content"):
+        assert secrets.scan_text(f"auth {name} end", novelty) == []
