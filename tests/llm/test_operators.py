@@ -6,7 +6,6 @@ import zlib
 
 import numpy as np
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from lettermill.llm import decontaminate, fingerprint, langid, lm, neardup, packing, quality, secrets, substrings, toxicity
@@ -109,43 +108,6 @@ def test_near_duplicates(spark):
     assert sorted(r.doc_id for r in neardup.keep_one(spark, d.unionByName(d)).collect()) == [0, 12, 13, 14, 15, 16]
 
 
-def _keys(spark, texts):
-    return [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").select(neardup._key(F.col("text")), "k").orderBy("k").collect()]
-
-
-def test_unlike_texts_of_a_band_are_all_asked(spark, monkeypatch):
-    unlike = [prose(200, 300 + k) for k in range(12)]
-    copies = [t.replace(" ", " zzz ", 1) for t in unlike]
-    keys, other = _keys(spark, unlike), _keys(spark, copies)
-    k = max(range(12), key=lambda k: min(keys[k], other[k]))
-    texts = [t for t, x in zip(unlike, keys, strict=True) if x < min(keys[k], other[k])] + [unlike[k], copies[k]]
-    n = len(texts)
-    assert n >= 5  # the only two that are alike come after three leaders that turn all down
-    monkeypatch.setattr(neardup, "sketch", lambda words: np.array([7], np.uint64))
-    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark, docs(spark, texts)).collect()}
-    assert [got[i] for i in range(n)] == [*range(n - 1), n - 2]
-
-
-def test_every_member_of_a_star_is_asked(spark, monkeypatch):
-    def changed(words, at, by):
-        return [f"{by}{i}" if i in at else w for i, w in enumerate(words)]
-
-    base = [f"w{i}" for i in range(200)]
-    members = [changed(base, range(15 * k, 15 * k + 15), f"m{k}x") for k in range(6)]
-    texts = [" ".join(m) for m in members]
-    key = _keys(spark, texts)
-    band = np.array([5], np.uint64).view(np.int64)[0].item()
-    draws = [r[0] for r in spark.createDataFrame([(k, x) for k, x in enumerate(key)], "k int, key long").select(F.xxhash64("key", F.lit(band)), "k").orderBy("k").collect()]
-    silent = max(range(6), key=lambda k: draws[k] if key[k] != min(key) else -(1 << 63))
-    edges = [" ".join(changed(members[silent], range(100, 130), f"t{v}x")) for v in range(40)]
-    e = min(zip(_keys(spark, edges), edges, strict=True))
-    assert e[0] < min(key)  # the text near to one member alone is what all others ask
-    apart = e[1].split()[100]
-    monkeypatch.setattr(neardup, "sketch", lambda words: np.array([4 if xxhash.xxh64_intdigest(apart) in words.tolist() else 3, 3, 3, 3, 5], np.uint64)[[0, 0, 0, 0, 4]])
-    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark, docs(spark, [*texts, e[1]])).collect()}
-    assert [got[k] for k in range(7)] == [0] * 7
-
-
 def test_substituted_passages_are_found(spark):
     item = prose(30, 20).split()
     spoilt = [("qqq" if k in (4, 13, 22) else w) for k, w in enumerate(item)]
