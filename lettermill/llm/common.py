@@ -58,6 +58,14 @@ def stored(spark: SparkSession, df: DataFrame, label: str, rows: int | None = No
     return spark.read.schema(df.schema).parquet(at)
 
 
+def table_of(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of the driver's rows."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
+    columns = [pa.array([r[k] for r in rows], kinds[x.split()[1]]) for k, x in enumerate(schema.split(", "))]
+    return spark.createDataFrame(pa.table(columns, names=names))
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

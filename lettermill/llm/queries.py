@@ -47,7 +47,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(spark, table(spark, sf_dir, "documents")).drop("source", "ids")
+    return packing.pack(spark, table(spark, sf_dir, "documents"), with_ids=False).drop("source")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
