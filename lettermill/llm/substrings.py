@@ -207,7 +207,10 @@ def _exchange(spark: SparkSession, sent: DataFrame, width: int, label: str) -> D
 
 
 def repeated(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed byte ranges, end exclusive), one row for each document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared, spans (removed byte ranges, end exclusive), one row for each document.
+
+    n_shared counts the document's sampled strings (window - v + 1 bytes) that start elsewhere too: passages that repeat but are shorter than a window show there alone.
+    """
     tune(spark)
     v, _ = difference_cover()
     if window < v + 8:
@@ -233,11 +236,12 @@ def repeated(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> Data
 
     first = _exchange(spark, chunks.select("chunk", "lengths", "data").mapInArrow(sample, sent), 4, "sampled")
 
-    def merged(x: dict) -> tuple[Chunk, np.ndarray, np.ndarray]:
+    def merged(x: dict) -> tuple[Chunk, np.ndarray, np.ndarray, np.ndarray]:
         c = _open(x["data"], x["lengths"])
         at, length = c.sampled(window)
-        p = c.candidates(at, _received(c.name(at, length), x["sampled"] or []), window)
-        return c, p, c.name(p, window)
+        again = _received(c.name(at, length), x["sampled"] or [])
+        p = c.candidates(at, again, window)
+        return c, p, c.name(p, window), at[again]
 
     def remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -246,12 +250,12 @@ def repeated(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> Data
 
     second = _exchange(spark, chunks.join(first, "chunk", "left").select("chunk", "lengths", "data", "sampled").mapInArrow(remaining, sent), NAME_BYTES, "windows")
     field = docs.schema["doc_id"]
-    out = T.StructType([field, *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
+    out = T.StructType([field, *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType()), T.StructField("n_shared", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k, x in enumerate(each(b)):
-                c, p, names = merged(x)
+                c, p, names, shared = merged(x)
                 hit = p[_received(names, x["windows"] or [])]
                 cover = np.zeros(len(c.data) + 1, np.int32)
                 cover[hit] += 1
@@ -265,7 +269,7 @@ def repeated(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> Data
                     spans.append([{"start": int(a), "end": int(z)} for a, z in zip(edge[::2], edge[1::2], strict=True)])
                     sha.append(hashlib.sha256(c.data[lo:hi][~g].tobytes() if len(edge) else c.data[lo:hi].tobytes()).hexdigest())
                 ids = b.column("ids")[k].values
-                yield pa.RecordBatch.from_arrays([ids, pa.array(c.lengths), pa.array(removed, pa.int64()), pa.array([len(s) for s in spans], pa.int64()), pa.array(sha), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], out.names)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(c.lengths), pa.array(removed, pa.int64()), pa.array([len(s) for s in spans], pa.int64()), pa.array(sha), pa.array(np.searchsorted(shared, c.ends) - np.searchsorted(shared, c.starts), pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], out.names)
 
     return chunks.join(first, "chunk", "left").join(second, "chunk", "left").select("chunk", "ids", "lengths", "data", "sampled", "windows").mapInArrow(remove, out)
 

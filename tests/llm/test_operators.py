@@ -68,6 +68,27 @@ def test_substrings_are_brute_force(spark):
     assert [got[k] for k in range(len(texts))] == substrings.brute_force(texts)
 
 
+def test_whole_documents_are_brute_force(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = substrings.repeated(spark, d).collect()
+    texts = {r.doc_id: r.text for r in d.collect()}
+    ids = sorted(texts)
+    want = dict(zip(ids, substrings.brute_force([texts[k] for k in ids]), strict=True))
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == want
+    # every passage of 300 bytes and more that repeats holds a sampled string that repeats
+    starts = {}
+    for k in ids:
+        b = (texts[k] or "").encode()
+        for x in {b[i : i + 300] for i in range(max(0, len(b) - 299))} if len(b) >= 400 else ():
+            starts.setdefault(x, set()).add(k)
+    shared = {k for s in starts.values() if len(s) > 1 for k in s}
+    assert shared <= {r.doc_id for r in rows if r.n_shared}
+    for r in rows:
+        b = (texts[r.doc_id] or "").encode()
+        assert sum(s.end - s.start for s in r.spans) == r.n_removed and len(b) == r.n_bytes
+
+
+
 def test_fingerprints(spark):
     texts = [prose(k * 40 + 1, k) for k in range(12)] + ["", None, prose(41, 1)]
     got = {r.doc_id: r for r in fingerprint.fingerprint_with_edits(spark, docs(spark, texts), 3).collect()}
