@@ -48,38 +48,40 @@ def _seeds(h: Column) -> Column:
 
 def _items(bench: DataFrame) -> DataFrame:
     h = bench.select("item_id", _hashes(F.col("text")).alias("item"))
-    return h.filter(F.size("item") > 0)
+    return h.filter(F.size("item") > 0).select("item_id", "item", F.size("item").alias("size"), F.xxhash64("item").alias("name"))
 
 
 def overlaps(spark: SparkSession, docs: DataFrame, bench: DataFrame, stretch: int = STRETCH, least: float = LEAST, block_seeds: int = BLOCK_SEEDS) -> DataFrame:
     """doc_id, item_id, matched (most tokens that agree in one alignment), item_tokens, stretch_matched (most in a stretch): the pairs that overlap.
 
-    Documents are read once for each block of items and never shuffled; only hits are.
+    Documents are read once for each block of seeds and never shuffled; only hits are. A seed is broadcast with its item's name, place and size alone; items meet their hits by a join.
     """
     items = _items(bench)
     shortest = min(m[-1] for m in MASKS) + 1
-    long = items.filter(F.size("item") >= shortest)
-    n_seeds = long.agg(F.sum(F.size("item")) * len(MASKS)).first()[0] or 0
+    long = items.filter(F.col("size") >= shortest)
+    n_seeds = long.agg(F.sum("size") * len(MASKS)).first()[0] or 0
     blocks = max(1, -(-n_seeds // block_seeds))
     # explode of one array: a projection alone would be merged into the lambdas below, which would hash the whole text again at each token
     read = docs.select("doc_id", F.explode(F.array(_hashes(F.col("text")))).alias("h"))
     out = []
     for k in range(blocks):
-        part = long if blocks == 1 else long.filter(F.pmod(F.xxhash64("item_id", "item"), F.lit(blocks)) == k)
-        seeds = part.select("item_id", "item", F.explode(_seeds(F.col("item"))).alias("s")).select("item_id", "item", F.col("s.seed").alias("seed"), F.col("s.at").alias("item_at"))
+        seeds = long.select("item_id", "name", "size", F.explode(_seeds(F.col("item"))).alias("s")).select("item_id", "name", "size", F.col("s.seed").alias("seed"), F.col("s.at").alias("item_at"))
+        seeds = seeds if blocks == 1 else seeds.filter(F.pmod("seed", F.lit(blocks)) == k)
         # the lambdas stay in a projection of their own: what follows up to the join is generated code, in which h is passed on and not copied
         placed = read.select("doc_id", "h", _seeds(F.col("h")).alias("s")).select("doc_id", "h", F.explode("s").alias("s")).select("doc_id", "h", F.col("s.seed").alias("seed"), F.col("s.at").alias("at"))
         hits = placed.join(F.broadcast(seeds), "seed").withColumn("shift", F.col("at") - F.col("item_at"))
-        under = F.slice("h", F.greatest("shift", F.lit(0)) + 1, F.size("item") + F.least("shift", F.lit(0)))
-        # the hits of one alignment are one row; past an aggregate no predicate on the lambdas below is pushed into the join
-        hits = hits.select("doc_id", "item_id", "item", "shift", under.alias("under")).groupBy("doc_id", "item_id", "shift").agg(F.max_by("item", F.size("under")).alias("item"), F.max_by("under", F.size("under")).alias("under"))
-        hits = hits.select("doc_id", "item_id", "item", _laid(F.col("under"), F.col("item"), F.col("shift")).alias("laid"))
-        out.append(_judged(hits, stretch, least))
+        under = F.slice("h", F.greatest("shift", F.lit(0)) + 1, F.col("size") + F.least("shift", F.lit(0)))
+        out.append(hits.select("doc_id", F.xxhash64("h").alias("text"), "item_id", "name", "shift", under.alias("under")))
+    # the hits of one alignment are one row, also those of several blocks; rows of one doc_id and different texts keep apart
+    hits = reduce(DataFrame.unionByName, out).groupBy("doc_id", "text", "item_id", "name", "shift").agg(F.max_by("under", F.size("under")).alias("under"))
+    its = long.select(F.col("item_id").alias("i"), F.col("name").alias("n"), "item").dropDuplicates(["i", "n"])
+    hits = hits.join(its, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("name") == F.col("n")))
+    found = [_judged(hits.select("doc_id", "item_id", "item", _laid(F.col("under"), F.col("item"), F.col("shift")).alias("laid")), stretch, least)]
     # items too short for a mask: as one run of tokens in the document's, tested for all documents with those items as a bounded literal set
-    brief = items.filter(F.size("item") < shortest)
+    brief = items.filter(F.col("size") < shortest)
     if brief.limit(1).count():
-        out.append(_brief(read, brief))
-    return reduce(DataFrame.unionByName, out).groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("item_tokens").alias("item_tokens"), F.max("stretch_matched").alias("stretch_matched"))
+        found.append(_brief(read, brief))
+    return reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("item_tokens").alias("item_tokens"), F.max("stretch_matched").alias("stretch_matched"))
 
 
 def _laid(under: Column, item: Column, shift: Column) -> Column:
@@ -112,7 +114,29 @@ def clean(spark: SparkSession, docs: DataFrame, bench: DataFrame) -> DataFrame:
     Rows are keyed by a hash of their text, not by doc_id, so repeated ids of different texts keep apart.
     """
     key = F.sha2(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 256)
-    keyed = docs.select(key.alias("doc_id"), "text")
-    found = overlaps(spark, keyed, bench).select(F.col("doc_id").alias("leak_key")).distinct()
-    return docs.join(found, key == F.col("leak_key"), "left_anti")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), key.alias("doc_id"), "text")
+    found = overlaps(spark, rows.select("doc_id", "text"), bench).select("doc_id").distinct()
+    return rows.join(found, "doc_id", "left_anti").select("doc.*")
 
+
+def _sql_tokens(text: str) -> str:
+    return f"list_filter(string_split_regex(lower(coalesce({text}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+
+
+def _sql_seeds(source: str, id_: str, h: str) -> str:
+    """Seeds as text: the mask's number and the tokens that it reads."""
+    one = lambda k, m: f"SELECT {id_}, pos, '{k} ' || " + " || ' ' || ".join(f"{h}[pos + {d + 1}]" for d in m) + f" AS seed FROM (SELECT {id_}, {h}, unnest(range(len({h}) - {m[-1]})) AS pos FROM {source} WHERE len({h}) > {m[-1]})"
+    return " UNION ALL ".join(one(k, m) for k, m in enumerate(MASKS))
+
+
+def oracle(stretch: int = STRETCH, least: float = LEAST) -> str:
+    """overlaps() in DuckDB's SQL, over documents and benchmark of distinct ids."""
+    shortest = min(m[-1] for m in MASKS) + 1
+    return f"""WITH d AS MATERIALIZED (SELECT doc_id, {_sql_tokens("text")} AS h FROM documents),
+b AS MATERIALIZED (SELECT item_id, item FROM (SELECT item_id, {_sql_tokens("text")} AS item FROM benchmark) WHERE len(item) > 0),
+s AS MATERIALIZED (SELECT * FROM b WHERE len(item) >= {shortest}),
+hits AS MATERIALIZED (SELECT DISTINCT x.doc_id, y.item_id, x.pos - y.pos AS shift FROM ({_sql_seeds("d", "doc_id", "h")}) x JOIN ({_sql_seeds("s", "item_id", "item")}) y USING (seed)),
+laid AS (SELECT doc_id, item_id, list_transform(range(1, len(item) + 1), lambda i: CASE WHEN i + shift >= 1 AND i + shift <= len(h) AND h[i + shift] = item[i] THEN 1 ELSE 0 END) AS laid, least(len(item), {stretch}) AS width FROM hits JOIN d USING (doc_id) JOIN s USING (item_id)),
+judged AS (SELECT doc_id, item_id, list_sum(laid) AS matched, len(laid) AS item_tokens, width, list_max(list_transform(range(1, len(laid) - width + 2), lambda i: list_sum(list_slice(laid, i, i + width - 1)))) AS stretch_matched FROM laid),
+brief AS (SELECT doc_id, item_id, len(item) AS n FROM d, (SELECT * FROM b WHERE len(item) < {shortest}) WHERE contains(' ' || array_to_string(h, ' ') || ' ', ' ' || array_to_string(item, ' ') || ' '))
+SELECT doc_id, item_id, CAST(max(matched) AS INTEGER) AS matched, CAST(max(item_tokens) AS INTEGER) AS item_tokens, CAST(max(stretch_matched) AS INTEGER) AS stretch_matched FROM (SELECT doc_id, item_id, matched, item_tokens, stretch_matched FROM judged WHERE stretch_matched >= {least} * width UNION ALL SELECT doc_id, item_id, n, n, n FROM brief) GROUP BY doc_id, item_id"""

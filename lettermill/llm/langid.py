@@ -24,6 +24,8 @@ ORDERS = (1, 2, 3)
 #: About so many labelled documents are learned from, chosen by a hash of their id.
 FIT_ROWS = 20_000
 MAX_LANGS = 512
+#: Tasks that count n-grams; each sends one vector for each language.
+COUNT_TASKS = 32
 _STEP = 1 << 19
 
 
@@ -62,7 +64,8 @@ def fit(spark: SparkSession, train: DataFrame, fit_rows: int = FIT_ROWS) -> tupl
     Counts are summed on the executors; one vector of bounded size for each language reaches the driver.
     """
     known = train.filter(F.col("lang").isNotNull())
-    sample = known.filter(fraction_at_most(known.select("doc_id"), fit_rows)).select(F.coalesce("text", F.lit("")).alias("text"), "lang")
+    # the sample is bounded, so a few tasks count it, and a language's vectors are as few
+    sample = known.filter(fraction_at_most(known.select("doc_id"), fit_rows)).select(F.coalesce("text", F.lit("")).alias("text"), "lang").repartition(COUNT_TASKS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
