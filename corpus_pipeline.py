@@ -15,9 +15,13 @@ from lettermill.llm import decontaminate, langid, neardup, packing, secrets
 from lettermill.llm.common import shared_dir, table
 
 
+#: A document whose language is no likelier than this is rejected.
+LANGUAGE_LEAST = 0.5
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a language that the corpus names; those without a letter go."""
-    return langid.keep_language(spark, docs)
+    """Documents of a language that the corpus names, by a score of LANGUAGE_LEAST at least; those without a letter go."""
+    return langid.keep_language(spark, docs, LANGUAGE_LEAST)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +41,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of full windows, each window in the sources' proportions."""
-    return packing.pack(spark, docs).drop("ids")
+    return packing.pack(spark, docs, with_ids=False)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secret_scan), ("packing", packed)]
