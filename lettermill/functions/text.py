@@ -118,10 +118,26 @@ def read_html(html: str | None) -> str | None:
     return "\n".join([text.strip(), *[f"[{k}]: {v}" for k, v in enumerate(r.links, 1)]])
 
 
+def strip_html_text(html: str) -> str:
+    """strip_html() of one text."""
+    for tag in ("<br>", "<br/>", "<br />", "</p>", "</div>"):
+        html = html.replace(tag, "\n")
+    return re.sub(r"<[^>]*>", "", html).strip()
+
+
+def meaningful_text(text: str, n: int) -> str:
+    """meaningful() of one text."""
+    noise = lambda w: not (w.startswith("[") and w.endswith("]")) and (w.lower() in NOISE or len(w.lower().encode()) < 2 or not any(c.isalpha() for c in w))
+    return " ".join([w for w in text.split() if not noise(w)][:n])
+
+
 @F.pandas_udf(StringType())
 def html_text(html: pd.Series) -> pd.Series:
     return html.map(read_html)
 
 
 def truncated(subject: Column, n: int = 50) -> Column:
-    return F.when(F.length(subject) > n, F.concat(F.substring(subject, 1, n - 3), F.lit("..."))).otherwise(subject)
+    """Texts of more than n bytes are cut after n - 3 bytes; a character that would be cut in two goes too."""
+    raw = F.encode(subject, "utf-8")
+    cut = F.decode(F.substring(raw, 1, n - 3), "utf-8")
+    return F.when(F.octet_length(subject) > n, F.concat(F.regexp_replace(cut, "\ufffd+$", ""), F.lit("..."))).otherwise(subject)

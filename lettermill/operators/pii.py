@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fake
+from ..sources.store import stored
 from .route import first_seen
 
 # Patterns in order of priority.
@@ -19,11 +20,13 @@ _ADDRESS = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 EMAIL = [rf"\b{_ADDRESS}\b", rf"<{_ADDRESS}>", rf'"{_ADDRESS}"', _ADDRESS, r"\b[a-zA-Z0-9._%-]+\s*\[at\]\s*[a-zA-Z0-9.-]+\s*\[dot\]\s*[a-zA-Z]{2,}\b", r"\b[a-zA-Z0-9._%-]+\s*\(at\)\s*[a-zA-Z0-9.-]+\s*\(dot\)\s*[a-zA-Z]{2,}\b"]
 LOCATION = [r"\b[A-ZÄÖÜa-zäöüß]+(?:mann|berg|hof|weg|gasse|strasse|str\.)\s+\d{1,3}[a-z]?\b", r"\b[A-Z]-\d{5}\b", r"\b\d{5}\s+[A-ZÄÖÜa-zäöüß]+\b"]
 CITIES = ["Zürich", "Zurich", "Geneva", "Genève", "Basel", "Bern", "Lausanne", "Winterthur", "Luzern", "Lucerne", "St. Gallen", "Sankt Gallen", "Lugano", "Biel", "Bienne", "Thun", "Köniz", "La Chaux-de-Fonds", "Schaffhausen", "Fribourg", "Chur", "Vernier", "Neuchâtel", "Uster", "Sion", "Lancy", "Yverdon-les-Bains", "Emmen", "Zug", "Kriens", "Rapperswil-Jona", "Dübendorf", "Dietikon", "Riehen", "Montreux", "Frauenfeld", "Küsnacht", "Küssnacht", "Thalwil", "Wetzikon", "Baar", "Meyrin", "Carouge", "Wädenswil", "Allschwil"]
-FIRST_NAMES = "John Jane Michael Sarah David Maria Peter Anna Thomas Laura Daniel Julia Robert Emma James Lisa".split()
+FIRST_NAMES = "John Jane Michael Sarah David Emily Robert Jessica William Ashley Richard Amanda Joseph Stephanie Thomas Michelle".split()
+REAL_EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
+REAL_PHONE = r"\b(?:\+?1[-.\s]?)?\(?[0-9]{3}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}\b"
 _COMPILED = [("phone", [re.compile(p) for p in PHONE]), ("email", [re.compile(p) for p in EMAIL]), ("location", [re.compile(p) for p in LOCATION])]
 _CITY = re.compile(rf"\b(?:{'|'.join(map(re.escape, CITIES))})\b")
 SPANS = T.ArrayType(T.StructType([T.StructField("pii_type", T.StringType()), T.StructField("text", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-_ARROW = pa.list_(pa.struct([("pii_type", pa.string()), ("text", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+ARROW = pa.list_(pa.struct([("pii_type", pa.string()), ("text", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 Span = tuple[str, str, int, int]
 
@@ -65,8 +68,8 @@ def merged(found: list[Span]) -> list[Span]:
     return sorted(out, key=lambda s: s[2])
 
 
-def detect_text(text: str) -> list[Span]:
-    """Spans of all detectors, overlaps between them resolved: the longer wins, and a pattern's span wins over a name."""
+def pattern_spans(text: str) -> list[Span]:
+    """Spans of the three pattern detectors, one after the other."""
     cities = [("location", m[0], m.start(), m.end()) for m in _CITY.finditer(text)]
     if not cities and "@" not in text and not any(c.isdigit() for c in text) and "[at]" not in text and "(at)" not in text:
         return []
@@ -77,12 +80,21 @@ def detect_text(text: str) -> list[Span]:
         if kind == "location":
             found += [c for c in cities if all(c[3] <= o[2] or o[3] <= c[2] for o in found)]
         every += found
+    return every
+
+
+def detect_text(text: str) -> list[Span]:
+    return resolved(pattern_spans(text))
+
+
+def resolved(every: list[Span]) -> list[Span]:
+    """Overlaps between detectors resolved: the longer wins, and a pattern's span wins over a name."""
     out: list[Span] = []
     for s in sorted(every, key=lambda s: s[2]):
         k = next((k for k, o in enumerate(out) if s[2] < o[3] and o[2] < s[3]), None)
         if k is None:
             out.append(s)
-        elif _longer(s, out[k]) or (s[0] != "name" and out[k][0] == "name"):
+        elif _longer(s, out[k]) or (s[0] in ("phone", "email", "location") and out[k][0] == "name"):
             out[k] = s
     return out
 
@@ -93,7 +105,7 @@ def detect(df: DataFrame, column: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [[dict(zip(("pii_type", "text", "start", "end"), s, strict=True)) for s in detect_text(t)] if t else [] for t in b.column(column).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, _ARROW)], [*b.schema.names, "entities"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, ARROW)], [*b.schema.names, "entities"])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("entities", SPANS)]))
 
@@ -112,22 +124,39 @@ def mapping(detected: DataFrame, order: str) -> DataFrame:
 
 
 def replaced(detected: DataFrame, key: str, column: str = "text") -> DataFrame:
-    """key, replaced text: the parts between spans and the stand-ins in turn. Rows without a span stay out of the shuffle."""
+    """key, replaced text: the parts between spans and the stand-ins in turn, one row for each row of detected, whatever its key.
+
+    Rows have a number of their own, which is drawn once; rows without a span stay out of the shuffle. Spans that begin before the one before ends are left as they are.
+    """
+    detected = stored(detected.select(key, column, "entities"), "entities")
     m = mapping(detected, key).select("text", "stand_in")
-    has = detected.filter(F.size("entities") > 0).select(key, column, "entities")
-    parts = has.select(key, F.explode("entities").alias("e")).select(key, F.col("e.start").alias("start"), F.col("e.end").alias("end"), F.col("e.text").alias("text")).join(m, "text").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "end", "stand_in"))).alias("p"))
-    cut = F.aggregate("p", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), lambda acc, x: F.struct(F.concat(acc["out"], F.substring(F.col(column), acc["at"].cast("int") + 1, (x["start"] - acc["at"]).cast("int")), x["stand_in"]).alias("out"), x["end"].alias("at")))
-    done = has.join(parts, key).withColumn("_c", cut).select(key, F.concat("_c.out", F.substring(F.col(column), F.col("_c.at").cast("int") + 1, F.length(column))).alias("replaced"))
+    numbered = detected.filter(F.size("entities") > 0).select(F.monotonically_increasing_id().alias("_n"), F.struct(F.col(key).alias("k"), F.col(column).alias("t")).alias("_row"), "entities")
+    numbered = numbered.select("_n", "_row", F.posexplode("entities").alias("_p", "_e"))
+    # the first of a row's spans alone carries the text
+    spans = numbered.select("_n", F.when(F.col("_p") == 0, F.col("_row")).alias("_row"), F.col("_e.start").alias("start"), F.col("_e.end").alias("end"), F.col("_e.text").alias("text"))
+    whole = spans.join(m, "text").groupBy("_n").agg(F.first("_row", ignorenulls=True).alias("_row"), F.sort_array(F.collect_list(F.struct("start", "end", "stand_in"))).alias("p"))
+    t = F.col("_row.t")
+    cut = F.aggregate("p", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), lambda acc, x: F.when(x["start"] >= acc["at"], F.struct(F.concat(acc["out"], F.substring(t, acc["at"].cast("int") + 1, (x["start"] - acc["at"]).cast("int")), x["stand_in"]).alias("out"), x["end"].alias("at"))).otherwise(acc))
+    done = whole.withColumn("_c", cut).select(F.col("_row.k").alias(key), F.concat("_c.out", F.substring(t, F.col("_c.at").cast("int") + 1, F.length(t))).alias("replaced"))
     return detected.filter(F.size("entities") == 0).select(key, F.col(column).alias("replaced")).unionByName(done)
 
 
+def replacement_rate(detected: DataFrame) -> DataFrame:
+    """detected, replaced, rate (whole per cent) over all rows: an entity counts as replaced where the text at its place is its own."""
+    e = detected.select(F.col("text").alias("t"), F.explode("entities").alias("e"))
+    there = F.substring(F.col("t"), (F.col("e.start") + 1).cast("int"), (F.col("e.end") - F.col("e.start")).cast("int")) == F.col("e.text")
+    return e.agg(F.count("*").alias("detected"), F.count_if(there).alias("replaced")).withColumn("rate", F.when(F.col("detected") > 0, F.floor(F.col("replaced") * 100 / F.col("detected"))))
+
+
 def suspicious_emails(text: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), F.lit(0))
-    return F.exists(found, lambda e: ~e.contains("example.com") & ~e.contains("user"))
+    """An address that is none of the stand-ins': example.com, user with one @, userN."""
+    found = F.regexp_extract_all(text, F.lit(f"(?U){REAL_EMAIL}"), F.lit(0))
+    known = lambda e: e.contains("example.com") | (e.contains("user") & (F.length(e) - F.length(F.replace(e, F.lit("@"), F.lit(""))) == 1)) | e.rlike("^user[0-9]")
+    return F.exists(found, lambda e: ~known(e))
 
 
 def suspicious_phones(text: Column) -> Column:
-    return F.exists(F.regexp_extract_all(text, F.lit(r"\(?[0-9]{3}\)?[-. ]?[0-9]{3}[-. ]?[0-9]{4}"), F.lit(0)), lambda p: ~p.contains("555"))
+    return F.exists(F.regexp_extract_all(text, F.lit(REAL_PHONE), F.lit(0)), lambda p: ~p.contains("555"))
 
 
 def suspicious_names(text: Column) -> Column:
@@ -135,6 +164,20 @@ def suspicious_names(text: Column) -> Column:
     return F.exists(F.array(*map(F.lit, FIRST_NAMES)), lambda n: F.contains(text, n) & F.array_contains(words, F.lower(n)))
 
 
+def text_fields(messages: DataFrame) -> DataFrame:
+    """id, field, text: subject, sender, body and snippet of each message, as far as it has them."""
+    fields = F.array(*[F.struct(F.lit(k).alias("place"), F.lit(c).alias("field"), F.col(c).alias("text")) for k, c in enumerate(("subject", "from", "body", "snippet"))])
+    return messages.select("id", F.explode(F.filter(fields, lambda x: x["text"].isNotNull())).alias("f")).select("id", "f.place", "f.field", "f.text")
+
+
+def spot_check(messages: DataFrame, files: int = 10) -> DataFrame:
+    """id, field, warning of the first messages by id: the number of messages is the feature."""
+    first = messages.select("id").distinct().orderBy("id").limit(files)
+    t = F.col("text")
+    kinds = F.array(*[F.when(f(t), F.lit(w)) for f, w in ((suspicious_emails, "email"), (suspicious_phones, "phone"), (suspicious_names, "name"))])
+    return text_fields(messages).join(F.broadcast(first), "id").select("id", "field", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("warning"))
+
+
 def register(spark: SparkSession) -> None:
     """detect_pii(text) for SQL."""
-    spark.udf.register("detect_pii", F.udf(lambda t: [dict(zip(("pii_type", "text", "start", "end"), s, strict=True)) for s in detect_text(t or "")], SPANS))
+    spark.udf.register("detect_pii", F.udf(lambda t: [dict(zip(("pii_type", "text", "start", "end"), s, strict=True)) for s in detect_text(t or "")], SPANS, useArrow=True))
