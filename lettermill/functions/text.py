@@ -139,5 +139,5 @@ def html_text(html: pd.Series) -> pd.Series:
 def truncated(subject: Column, n: int = 50) -> Column:
     """Texts of more than n bytes are cut after n - 3 bytes; a character that would be cut in two goes too."""
     raw = F.encode(subject, "utf-8")
-    cut = F.decode(F.substring(raw, 1, n - 3), "utf-8")
+    cut = F.make_valid_utf8(F.substring(raw, 1, n - 3).cast("string"))
     return F.when(F.octet_length(subject) > n, F.concat(F.regexp_replace(cut, "\ufffd+$", ""), F.lit("..."))).otherwise(subject)

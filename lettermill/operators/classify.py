@@ -75,3 +75,22 @@ def random(messages: DataFrame, seed: int = 0) -> DataFrame:
     """A category and a score of 0.5 to 1 drawn from a hash of the id: the same on every run and partitioning."""
     u = lambda k: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(1 << 30)) / float(1 << 30)
     return messages.withColumns({"category": F.element_at(F.array(*map(F.lit, CATEGORIES)), (F.floor(u(1) * 5) + 1).cast("int")), "score": 0.5 + u(2) / 2})
+
+
+def result(category: str, score: float | None = None) -> Column:
+    """category, score, response of a single classification."""
+    text = f"Category: {category}" if score is None else f"Category: {category} (score: {score:.2f})"
+    return F.struct(F.lit(category).alias("category"), F.lit(score).cast("double").alias("score"), F.lit(text).alias("response"))
+
+
+def prompt(n: int = 200, html: bool = False) -> Column:
+    """What a model is asked about a message: its prepared words and the domains of its addresses."""
+    return F.concat(F.lit(f"Sort this message into one of {', '.join(CATEGORIES)}. Answer with a JSON object of category, score (0 to 1) and explanation.\n"), X.metadata(F.col("from"), F.col("to")), F.lit("\n"), X.prepared(n, html))
+
+
+def by_model(messages: DataFrame, ask: Callable[[DataFrame], DataFrame], html: bool = False) -> DataFrame:
+    """category, score, response and error by a model: `ask` adds `reply` to a table with `prompt` (a null reply is a failed call)."""
+    got = ask(messages.withColumn("prompt", prompt(html=html)))
+    answer = parse_reply(F.col("reply"))
+    error = F.when(F.col("reply").isNull(), F.lit("no reply")).when(answer.isNull(), F.lit("no valid answer in the reply"))
+    return got.select(*messages.columns, answer["category"].alias("category"), answer["score"].alias("score"), answer["response"].alias("response"), error.alias("error"))

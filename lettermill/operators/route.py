@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.mail import DEFAULTS
+from ..sources.store import numbered
 
 # Keywords, labels and actions.
 URGENT = ("urgent", "asap", "emergency", "critical", "immediate", "deadline", "time sensitive", "action required", "important")
@@ -13,6 +14,8 @@ URGENT_MAIN = (*URGENT, "breaking")
 HUMAN = {"ActionRequired": "Action Required", "InterestingInfo": "Interesting", "Reference": "Reference", "Noise": "Low Priority", "Spam": "Spam"}
 LABELS = {"actionrequired": "Agentic/Action Required", "action_required": "Agentic/Action Required", "interestinginfo": "Agentic/Interesting", "interesting_info": "Agentic/Interesting", "reference": "Agentic/Reference", "noise": "Agentic/Low Priority", "spam": "Agentic/Spam", "work": "Agentic/Work", "personal": "Agentic/Personal", "promotional": "Agentic/Promotional", "urgent": "Agentic/Urgent", "newsletter": "Agentic/Newsletter", "notification": "Agentic/Notification", "needsreview": "Agentic/Needs Review", "needs_review": "Agentic/Needs Review"}
 TEST_PREFIX = "TEST_"
+DESCRIPTIONS = {"ActionRequired": "Emails that require user action or response", "InterestingInfo": "Emails with valuable information but no action needed", "Reference": "Reference material to keep for later", "Noise": "Low priority emails or noise", "Spam": "Spam or unwanted emails"}
+LEGACY = ("Action Required", "Interesting", "Reference", "Low Priority", "Spam", "Work", "Personal", "Promotional", "Urgent", "Newsletter", "Notification", "Needs Review", "AGENT_URGENT", "AGENT_PERSONAL", "AGENT_PROMOTIONAL", "AGENT_SPAM", "AGENT_NEEDS_REVIEW", "AGENT_WORK", "AGENT_INTERESTING", "AGENT_REFERENCE", "AGENT_NOISE", "AGENT_ACTION_REQUIRED")
 
 
 def urgent(words: tuple[str, ...] = URGENT) -> Column:
@@ -49,11 +52,74 @@ def without_runs(actions: Column) -> Column:
 
 
 def described(a: Column) -> Column:
-    return F.when(a["kind"] == "Label", F.concat(F.lit("Label as '"), a["label"], F.lit("'"))).when(a["kind"] == "Archive", F.lit("Archive")).when(a["kind"] == "MarkImportant", F.lit("Mark as important")).when(a["kind"] == "Escalate", F.concat(F.lit("Escalate: "), a["reason"], F.lit(" (priority "), a["priority"].cast("string"), F.lit(")"))).otherwise(F.lit("No action"))
+    """Forward, MoveTo and Custom keep their target in label; a custom action's priority is the number of its parameters."""
+    quoted = lambda head: F.concat(F.lit(f"{head} '"), a["label"], F.lit("'"))
+    texts = {"Label": quoted("Apply label"), "Archive": F.lit("Archive email"), "MarkImportant": F.lit("Mark as important"), "MarkAsRead": F.lit("Mark as read"), "MoveTo": quoted("Move to folder")}
+    texts["Forward"] = F.concat(F.lit("Forward to "), a["label"], F.coalesce(F.concat(F.lit(" with note: "), a["reason"]), F.lit("")))
+    texts["Escalate"] = F.concat(F.lit("Escalate (priority "), a["priority"].cast("string"), F.lit("): "), a["reason"])
+    texts["Custom"] = F.concat(quoted("Custom action"), F.lit(" with "), a["priority"].cast("string"), F.lit(" parameters"))
+    out = F.lit("No action needed")
+    for kind, text in texts.items():
+        out = F.when(a["kind"] == kind, text).otherwise(out)
+    return out
+
+
+def high_priority(a: Column) -> Column:
+    return a["kind"].isin("MarkImportant", "Forward") | ((a["kind"] == "Escalate") & (a["priority"] >= 4))
+
+
+def any_high_priority(actions: Column) -> Column:
+    return F.exists(actions, high_priority)
+
+
+def summary(actions: Column) -> Column:
+    texts = F.transform(actions, described)
+    return F.when(F.size(actions) == 0, F.lit("No actions")).when(F.size(actions) == 1, texts[0]).otherwise(F.concat(F.size(actions).cast("string"), F.lit(" actions: "), F.array_join(texts, ", ")))
+
+
+def escalation(reason: str, priority: int) -> Column:
+    """Priorities are 1 to 5."""
+    return _action("Escalate", None, reason, min(5, max(1, priority)))
+
+
+def unit(x: float) -> float:
+    """Thresholds and confidences are 0 to 1."""
+    return min(1.0, max(0.0, x))
+
+
+def single(action: Column) -> Column:
+    return F.struct(F.array(action).alias("actions"), F.lit(1.0).alias("confidence"))
+
+
+def category_error(category: Column) -> Column:
+    """Null for a category, else what is wrong with it; names are told apart by case."""
+    return F.when(~F.coalesce(category.isin(*HUMAN), F.lit(False)), F.concat(F.lit("Invalid email category '"), F.coalesce(category, F.lit("")), F.lit(f"'. Valid categories: {', '.join(HUMAN)}")))
+
+
+def category_description(category: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in DESCRIPTIONS.items() for x in kv]), category)
+
+
+def production_labels() -> list[str]:
+    return list(dict.fromkeys(LABELS.values()))
+
+
+def test_labels(prefix: str = TEST_PREFIX) -> list[str]:
+    return [f"{prefix}{c}" for c in HUMAN]
+
+
+def is_test_label(name: Column) -> Column:
+    return name.startswith(TEST_PREFIX)
+
+
+def agentic(name: Column) -> Column:
+    """Labels that this or an older version has made."""
+    return own_label(name, LEGACY)
 
 
 def route(classified: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Adds actions, confidence, reasoning."""
+    threshold = unit(threshold)
     confidence = F.coalesce("score", F.lit(1.0))
     human = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in HUMAN.items() for x in kv]), F.col("category")), F.col("category"))
     usual = F.when(F.col("category").isin("Reference", "Noise", "Spam"), F.array(_action("Label", human), _action("Archive"))).otherwise(F.array(_action("Label", human)))
@@ -91,8 +157,22 @@ def apply_labels(messages: DataFrame, labels: DataFrame, wanted: DataFrame) -> t
 
 
 def archive(messages: DataFrame) -> DataFrame:
+    """Messages without INBOX and what was done; one without an id (the first column) is left as it is, with an error."""
     there = F.array_contains("label_ids", "INBOX")
-    return messages.withColumns({"description": F.when(there, "Archived").otherwise("Email was already archived"), "label_ids": F.array_remove("label_ids", "INBOX")})
+    no_id = F.coalesce(F.col(messages.columns[0]).cast("string"), F.lit("")) == ""
+    return messages.withColumns({"description": F.when(no_id, "Email ID cannot be empty").when(there, "Archived").otherwise("Email was already archived"), "label_ids": F.when(no_id, F.col("label_ids")).otherwise(F.array_remove("label_ids", "INBOX"))})
+
+
+def is_archived() -> Column:
+    return ~F.coalesce(F.array_contains("label_ids", "INBOX"), F.lit(False))
+
+
+def by_label(messages: DataFrame, labels: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(messages that have the label, labels; a label that is missing is made)."""
+    new = labels.sparkSession.createDataFrame([("label_" + name.lower().replace(" ", "_"), name)], "id string, name string")
+    all_ = labels.select("id", "name").unionByName(new.join(labels.select("name"), "name", "left_anti").select("id", "name"))
+    ids = all_.filter(F.col("name") == name).select(F.col("id").alias("label_id"))
+    return messages.join(F.broadcast(ids), F.array_contains(messages["label_ids"], F.col("label_id")), "left_semi"), all_
 
 
 def label_names(messages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -109,6 +189,6 @@ def drop_labels(messages: DataFrame, labels: DataFrame, which: Column) -> tuple[
 
 
 def first_seen(values: DataFrame, value: str, order: list[str]) -> DataFrame:
-    """value, seed: 0, 1, ... by the first place in `order`; the window is over distinct values alone."""
+    """value, seed: 0, 1, ... by the first place in `order`; distinct values alone are numbered."""
     first = values.groupBy(value).agg(F.min(F.struct(*order)).alias("_first"))
-    return first.select(value, (F.row_number().over(Window.orderBy("_first")) - 1).alias("seed"))
+    return numbered(first, ["_first"], "seed").select(value, "seed")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fake
 from ..functions import text as X
-from ..operators import classify, pii, route
+from ..operators import analysis, classify, pii, route
 from ..operators import rules as R
 from ..sources import mail
 
@@ -62,6 +62,11 @@ _RULED = f"{_FEATURES}, r AS MATERIALIZED (SELECT *, {R.sql(R.DETERMINISTIC, 'ca
 _URGENT = lambda words: "(" + " OR ".join(f"contains(lower(subject || ' ' || snippet || ' ' || body), '{w}')" for w in words) + ")"
 
 
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    truth = mail.table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"), F.when(F.col("quality") == 1, "Reference").otherwise("Noise").alias("truth"))
+    return analysis.with_truth(_ruled(spark, sf_dir), truth)
+
+
 def _ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.by_rules(mail.messages(spark, sf_dir))
 
@@ -149,7 +154,7 @@ def classify_random(spark, sf_dir):
 _HUMAN = "CASE category WHEN 'ActionRequired' THEN 'Action Required' WHEN 'InterestingInfo' THEN 'Interesting' WHEN 'Noise' THEN 'Low Priority' ELSE category END"
 
 
-@_query(f"WITH {_RULED} SELECT id, CASE WHEN {_URGENT(route.URGENT)} THEN 'Mark as important; Escalate: High priority email (priority 4); ' ELSE '' END || CASE WHEN score < 0.7 THEN 'Label as ''needs-review''' ELSE 'Label as ''' || {_HUMAN} || '''' || CASE WHEN category IN ('Reference', 'Noise', 'Spam') THEN '; Archive' ELSE '' END END AS actions FROM r")
+@_query(f"WITH {_RULED} SELECT id, CASE WHEN {_URGENT(route.URGENT)} THEN 'Mark as important; Escalate (priority 4): High priority email; ' ELSE '' END || CASE WHEN score < 0.7 THEN 'Apply label ''needs-review''' ELSE 'Apply label ''' || {_HUMAN} || '''' || CASE WHEN category IN ('Reference', 'Noise', 'Spam') THEN '; Archive email' ELSE '' END END AS actions FROM r")
 def route_actions(spark, sf_dir):
     return route.route(_ruled(spark, sf_dir)).select("id", F.array_join(F.transform("actions", route.described), "; ").alias("actions"))
 
@@ -178,7 +183,8 @@ def category_counts(spark, sf_dir):
 @_query(f"WITH {_RULED} SELECT category, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS share FROM r GROUP BY category")
 def category_share(spark, sf_dir):
     c = _ruled(spark, sf_dir).groupBy("category").agg(F.count("*").alias("n"))
-    return c.crossJoin(F.broadcast(c.agg(F.sum("n").alias("t")))).select("category", F.round(F.lit(100.0) * F.col("n") / F.col("t"), 6).alias("share"))
+    # a window over the few categories: messages are classified once
+    return c.select("category", F.round(F.lit(100.0) * F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("share"))
 
 
 @_query(f"WITH {_RULED} SELECT count(*) AS total, count(*) FILTER ({_KEEP}) AS kept, count(*) FILTER (NOT {_KEEP}) AS archived, count(*) FILTER ({_URGENT(route.URGENT_MAIN)}) AS urgent, count(*) FILTER ({_KEEP} AND score < 0.7) AS needs_review FROM r")
@@ -302,9 +308,69 @@ def fake_values(spark, sf_dir):
     return mail.table(spark, sf_dir, "documents").select("doc_id", fake.name(s).alias("name"), fake.email(F.lit("a@b.c"), s).alias("email"), fake.phone(s).alias("phone"), fake.address(s).alias("address"), fake.location(F.lit("Bern"), s).alias("place"), fake.company(s).alias("company"))
 
 
-@_query(f"SELECT doc_id, len(list_filter(regexp_extract_all(text, '{_FOUND}'), lambda e: NOT contains(e, 'example.com') AND NOT contains(e, 'user'))) > 0 AS real_email FROM documents")
+@_query(f"SELECT doc_id, len(list_filter(regexp_extract_all(text, '{pii.REAL_EMAIL}'), lambda e: NOT contains(e, 'example.com') AND NOT contains(e, 'user'))) > 0 AS real_email, len(list_filter(regexp_extract_all(text, '{pii.REAL_PHONE}'), lambda p: NOT contains(p, '555'))) > 0 AS real_phone FROM documents")
 def spot_check_pii(spark, sf_dir):
-    return mail.table(spark, sf_dir, "documents").select("doc_id", pii.suspicious_emails(F.col("text")).alias("real_email"))
+    t = F.col("text")
+    return mail.table(spark, sf_dir, "documents").select("doc_id", pii.suspicious_emails(t).alias("real_email"), pii.suspicious_phones(t).alias("real_phone"))
+
+
+_TRIMMED = f"list_transform(string_split_regex(text, '{_BLANK}+'), lambda w: lower(regexp_replace(w, '^[^\\p{{L}}]+|[^\\p{{L}}]+$', '', 'g')))"
+
+
+@_query("SELECT doc_id, " + " OR ".join(f"(contains(text, '{n}') AND list_contains({_TRIMMED}, '{n.lower()}'))" for n in pii.FIRST_NAMES) + " AS real_name FROM documents")
+def spot_check_names(spark, sf_dir):
+    return mail.table(spark, sf_dir, "documents").select("doc_id", pii.suspicious_names(F.col("text")).alias("real_name"))
+
+
+@_query(f"WITH {_MAIL} SELECT field, count(*) AS n, CAST(sum(length(value)) AS BIGINT) AS chars FROM (SELECT unnest(['subject', 'from', 'body', 'snippet']) AS field, unnest([subject, sender, body, snippet]) AS value FROM m) WHERE value IS NOT NULL GROUP BY field")
+def text_fields(spark, sf_dir):
+    return pii.text_fields(mail.messages(spark, sf_dir)).groupBy("field").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+_JUDGED = "j AS (SELECT r.id, category, CASE WHEN quality = 1 THEN 'Reference' ELSE 'Noise' END AS truth FROM r JOIN labels l ON CAST(l.doc_id AS VARCHAR) = r.id)"
+
+
+@_query(f"WITH {_RULED}, {_JUDGED} SELECT truth, count(*) AS n, count(*) FILTER (category = truth) AS correct, round(avg(CASE WHEN category = truth THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM j GROUP BY ROLLUP (truth)")
+def accuracy_overall(spark, sf_dir):
+    return analysis.accuracy(_judged(spark, sf_dir))
+
+
+@_query(f"WITH {_RULED}, {_JUDGED} SELECT * FROM j WHERE category <> truth")
+def misclassified(spark, sf_dir):
+    return analysis.misclassified(_judged(spark, sf_dir))
+
+
+@_query(f"WITH {_RULED}, {_JUDGED} SELECT count(*) FILTER (category = 'Spam' AND truth <> 'Spam') AS false_spam FROM j")
+def false_spam(spark, sf_dir):
+    return analysis.false_spam(_judged(spark, sf_dir))
+
+
+@_query(f"WITH {_RULED} SELECT CAST(sum(k) AS BIGINT) AS n, count(*) AS categories, round(max(k) / sum(k), 6) AS largest_share FROM (SELECT category, count(*) AS k FROM r GROUP BY category)")
+def largest_share(spark, sf_dir):
+    return analysis.largest_share(_ruled(spark, sf_dir))
+
+
+@_query("SELECT lang || '.example.com' AS domain, split_part(text, chr(10), 1) AS subject, count(*) AS n FROM documents GROUP BY ALL")
+def subjects_by_domain(spark, sf_dir):
+    return analysis.subjects_by_domain(mail.messages(spark, sf_dir))
+
+
+@_query("SELECT count(*) AS n, array_to_string(list_sort(list(DISTINCT CASE WHEN quality = 1 THEN 'Reference' ELSE 'Noise' END)), ',') AS categories FROM labels")
+def recording_stats(spark, sf_dir):
+    return analysis.recording_stats(mail.table(spark, sf_dir, "labels").select(F.when(F.col("quality") == 1, "Reference").otherwise("Noise").alias("category")))
+
+
+_QUIET = "category IN ('Reference', 'Noise', 'Spam') AND score >= 0.7"
+
+
+@_query(f"WITH {_RULED}, u AS (SELECT id, {_URGENT(route.URGENT)} AS high, CASE WHEN score < 0.7 THEN ['Apply label ''needs-review'''] ELSE ['Apply label ''' || {_HUMAN} || ''''] END || CASE WHEN {_QUIET} THEN ['Archive email'] ELSE [] END AS texts FROM r), w AS (SELECT id, high, CASE WHEN high THEN ['Mark as important', 'Escalate (priority 4): High priority email'] ELSE [] END || texts AS texts FROM u) SELECT id, high, CASE WHEN len(texts) = 1 THEN texts[1] ELSE CAST(len(texts) AS VARCHAR) || ' actions: ' || array_to_string(texts, ', ') END AS summary FROM w")
+def actions_summary(spark, sf_dir):
+    return route.route(_ruled(spark, sf_dir)).select("id", route.any_high_priority(F.col("actions")).alias("high"), route.summary(F.col("actions")).alias("summary"))
+
+
+@_query("SELECT doc_id, CASE WHEN lang IN ('ActionRequired', 'InterestingInfo', 'Reference', 'Noise', 'Spam') THEN NULL ELSE 'Invalid email category ''' || coalesce(lang, '') || '''. Valid categories: ActionRequired, InterestingInfo, Reference, Noise, Spam' END AS error FROM documents")
+def category_errors(spark, sf_dir):
+    return mail.table(spark, sf_dir, "documents").select("doc_id", route.category_error(F.col("lang")).alias("error"))
 
 
 @_query(f"WITH {_MAIL} SELECT id FROM m ORDER BY id LIMIT 10")
@@ -317,7 +383,7 @@ def first_seen_seed(spark, sf_dir):
     return route.first_seen(mail.table(spark, sf_dir, "documents"), "source", ["doc_id"])
 
 
-@_query(f"WITH {_MAIL} SELECT id, subject IS NOT NULL AS has_subject, CASE WHEN length(subject) > 50 THEN substring(subject, 1, 47) || '...' ELSE subject END AS shown FROM m")
+@_query(f"WITH {_MAIL} SELECT id, subject IS NOT NULL AS has_subject, CASE WHEN octet_length(encode(subject)) > 50 THEN substring(subject, 1, len(list_filter(range(1, 48), lambda n: octet_length(encode(substring(subject, 1, n))) <= 47))) || '...' ELSE subject END AS shown FROM m")
 def manifest_preview(spark, sf_dir):
     return mail.messages(spark, sf_dir).select("id", F.col("subject").isNotNull().alias("has_subject"), X.truncated(F.col("subject")).alias("shown"))
 

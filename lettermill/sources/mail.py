@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import numbered
+
 S = T.StringType()
 MESSAGE = T.StructType([T.StructField("id", S, False), T.StructField("subject", S), T.StructField("snippet", S), T.StructField("from", S), T.StructField("to", T.ArrayType(S)), T.StructField("sent", S), T.StructField("body", S)])
 DEFAULTS = {"subject": "(No Subject)", "snippet": "(No Preview)", "from": "(Unknown Sender)", "sent": "(Unknown Date)", "body": "(No Body)"}
@@ -29,12 +31,15 @@ def read_json(spark: SparkSession, path: str, manifest: DataFrame | None = None)
     return got.join(manifest.select("filename").distinct(), "filename", "left_semi") if manifest is not None else got
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    """file_index and filename (email_001.json and so on, by id) added; JSON lines, a file for each task."""
-    from pyspark.sql import Window
+def named(df: DataFrame) -> DataFrame:
+    """df with file_index (from 1, by id) and filename (email_001.json and so on)."""
+    return numbered(df, ["id"], "file_index", 1).withColumn("filename", F.format_string("email_%03d.json", "file_index"))
+
 
-    numbered = df.withColumn("file_index", F.row_number().over(Window.orderBy("id")))
-    numbered.withColumn("filename", F.format_string("email_%03d.json", "file_index")).write.json(path)
+def write_json(df: DataFrame, path: str) -> None:
+    """One pretty-printed object for each message, each in a folder of its file's name."""
+    n = named(df)
+    n.select(F.to_json(F.struct(*[c for c in n.columns if c != "filename"]), {"pretty": "true"}).alias("value"), "filename").write.partitionBy("filename").text(path)
 
 
 def manifest(df: DataFrame) -> DataFrame:
@@ -42,6 +47,59 @@ def manifest(df: DataFrame) -> DataFrame:
     return df.select("id", *[F.col(c).isNotNull().alias(f"has_{c}") for c in ("snippet", "from", "to", "sent", "body")])
 
 
+def manifest_totals(df: DataFrame, created_at: str) -> DataFrame:
+    """created_at, total_emails, and how many messages have each field."""
+    return df.agg(F.lit(created_at).alias("created_at"), F.count("*").alias("total_emails"), *[F.count(c).alias(f"with_{c}") for c in ("snippet", "from", "to", "sent", "body")])
+
+
+def count_json(spark: SparkSession, path: str) -> int:
+    """Files of a folder that end in .json; folders below don't count."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path).select("path").count()
+
+
+def read_recordings(spark: SparkSession, path: str) -> DataFrame:
+    """Recorded answers from JSON files {"responses": [...], "metadata": {...}}, a row for each signature: the last recorded wins."""
+    answer = "struct<category:string,score:double,llm_response:string>"
+    rows = spark.read.schema(f"responses array<struct<email_id:string,email_subject:string,email_snippet:string,email_from:string,classification:{answer},recorded_at:string>>").option("multiLine", True).json(path)
+    flat = rows.select(F.explode("responses").alias("r")).select(F.col("r.email_id").alias("id"), F.col("r.email_subject").alias("subject"), F.col("r.email_snippet").alias("snippet"), F.col("r.email_from").alias("from"), F.col("r.classification.category").alias("category"), F.col("r.classification.score").alias("score"), F.col("r.classification.llm_response").alias("response"), F.col("r.recorded_at").alias("recorded_at"))
+    return keep_last(flat)
+
+
+def keep_last(recordings: DataFrame) -> DataFrame:
+    signature = ["id", "subject", "snippet", "from"]
+    return recordings.groupBy(*signature).agg(F.max_by(F.struct("category", "score", "response", "recorded_at"), "recorded_at").alias("a")).select(*signature, "a.*")
+
+
+def record(recordings: DataFrame, classified: DataFrame, recorded_at: str) -> DataFrame:
+    """recordings with the answers of classified messages added; an answer to a known signature takes the old one's place."""
+    new = classified.select("id", "subject", "snippet", "from", "category", "score", "response", F.lit(recorded_at).alias("recorded_at"))
+    return keep_last(recordings.unionByName(new))
+
+
+def stub(spark: SparkSession, rows: list[tuple], error: str | None = None) -> DataFrame:
+    """Fixed messages, or a fixed error."""
+    if error:
+        raise OSError(error)
+    return spark.createDataFrame(rows, MESSAGE)
+
+
+def message(id_: str, subject: str | None = None, snippet: str | None = None, sender: str | None = None, to: list[str] | None = None, sent: str | None = None, body: str | None = None) -> tuple:
+    """A row of MESSAGE; what is not given is null."""
+    return (id_, subject, snippet, sender, to, sent, body)
+
+
+def flattened() -> Column:
+    """A message as lines of fields, without those that are null."""
+    line = lambda head, c: F.concat(F.lit(f"{head}: "), c)
+    return F.concat_ws("\n", line("Subject", F.col("subject")), line("From", F.col("from")), line("To", F.array_join("to", ", ")), line("Body", F.col("body")), line("Snippet", F.col("snippet")))
+
+
+def rebuilt(df: DataFrame, column: str) -> DataFrame:
+    """subject, from, to, body, snippet from such lines; of a body of several lines the first is found."""
+    got = lambda head: F.nullif(F.regexp_extract(column, rf"(?m)^{head}: (.*)$", 1), F.lit(""))
+    return df.withColumns({"subject": got("Subject"), "from": got("From"), "to": F.split(got("To"), ", "), "body": got("Body"), "snippet": got("Snippet")})
+
+
 def headers(df: DataFrame) -> DataFrame:
     """subject, from, sent, to from an array of (name, value) structs `headers`: the first of each name in any case."""
     first = lambda n: F.get(F.filter("headers", lambda h: F.lower(h["name"]) == n), 0)["value"]

@@ -8,7 +8,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark) -> str:
@@ -28,3 +29,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     at = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def numbered(df: DataFrame, order: list[str], name: str, first: int = 0) -> DataFrame:
+    """df with a running number by `order`. Rows are dealt by ranges of `order` and counted there; the window is over the ranges alone."""
+    dealt = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))
+    before = counts.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))
+    return dealt.withColumn("_part", part).join(F.broadcast(before), "_part").select(*df.columns, (F.col("_before") + place + first).alias(name))
