@@ -31,8 +31,10 @@ SLOTS = 128
 PHASES = 4096
 CLASSES = 256
 SEED = 20_011
-#: A band is so many slots; pairs that agree in one are verified.
-BAND = 8
+#: A band is BAND slots; pairs that agree in one of BANDS are verified, BLOCK_PRINTS against as many.
+BAND, BANDS, BLOCK_PRINTS = 8, 40, 1024
+#: Bytes of input files for each range of documents, and how many ranges there are at most.
+RANGE_BYTES, MOST_RANGES = 32 << 20, 1 << 17
 #: Documents that walk in step; below NARROW of them, each goes on alone.
 _TOGETHER, _NARROW = 4096, 48
 
@@ -163,42 +165,46 @@ def _both(rows: list[str], others: list[str]) -> tuple[np.ndarray, np.ndarray, l
     return _read(codes, start, length, after), _read(e_codes, e_start, e_length, e_after), new
 
 
-def with_next(docs: DataFrame, parts: int) -> DataFrame:
-    """docs (doc_id, text) dealt to ranges of descending doc_id; each range ends with a copy of the document that follows it (ghost).
+def ranges(spark: SparkSession, docs: DataFrame) -> int:
+    """Ranges of about RANGE_BYTES of the input's files, and no fewer than there are shuffle partitions: their size does not grow with the input."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return int(min(MOST_RANGES, max(shuffle_parts(spark), size // RANGE_BYTES)))
 
-    The ranges' bounds and first ids, one of each for a range, are all that the driver sees; no row is alone in a global order.
+
+def with_next(spark: SparkSession, docs: DataFrame, parts: int) -> tuple[DataFrame, int]:
+    """(docs (doc_id, text) dealt to ranges of descending doc_id, null last, then by text (order: null, ~doc_id, hash of the text); each range ends with a copy of the rows that begin the one after it (ghost); the number of ranges).
+
+    The ranges' bounds and first rows, one of each for a range, are all that the driver sees; no row is alone in a global order. Rows without a doc_id are dealt by their text's hash.
     """
-    key = F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf")))
-    keyed = docs.withColumn("key", key)
-    cuts = keyed.filter(F.col("key") > float("-inf")).agg(F.percentile_approx("key", [k / parts for k in range(1, parts)], 10_000 + 20 * parts)).first()[0] if parts > 1 else []
+    wide = isinstance(docs.schema["doc_id"].dataType, T.LongType | T.IntegerType | T.ShortType | T.ByteType)
+    # ids are compared as they are: a double holds no more than 53 bits of them
+    key = F.bitwise_not(F.col("doc_id").cast("long")) if wide else -F.col("doc_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), key.alias("k"), F.sha2(F.encode("text", "utf-8"), 256).alias("h"))
+    keyed = docs.withColumn("o", order)
+    known, nulls = docs.agg(F.count("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    cuts = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 10_000 + 20 * parts)).first()[0] if parts > 1 and known else []
     cuts = sorted(set(cuts or []))
-    # range 0 has the largest ids
-    part = F.lit(len(cuts)) - F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col("key"))) if len(cuts) <= 64 else None
-    if part is None:
-        part = F.lit(len(cuts)) - _rank(cuts, F.col("key"))
-    ranged = keyed.withColumn("part", part.cast("int"))
-    order = F.struct((-F.col("key")).alias("k"), F.sha2(F.encode(F.col("text"), "utf-8"), 256).alias("h"))
-    tops = ranged.groupBy("part").agg(F.min(F.struct((-F.col("key")).alias("k"))).alias("top"), F.count("*").alias("n")).collect()
-    tops = sorted((r.part, -r.top.k) for r in tops)
+    of_none = max(1, -(-nulls * parts // max(known + nulls, 1)))
+    hashed = F.floor(F.conv(F.substring("o.h", 1, 8), 16, 10).cast("long") * of_none / F.lit(1 << 32)).cast("int")
+    ranged = keyed.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1) + hashed).otherwise(F.lit(len(cuts)) - _rank(cuts, F.col("doc_id"))).cast("int"))
+    tops = ranged.groupBy("part").agg(F.min("o").alias("top")).orderBy("part").collect()
     if not tops:
-        return ranged.withColumn("ghost", F.lit(False)).withColumn("h", F.lit(""))
-    # the range that each range's first row ends; the first range's ends the last one
-    ends = {tops[k][0]: (tops[k - 1][0], tops[k][1]) for k in range(len(tops))}
-    table = F.create_map(*[x for p, (to, _) in ends.items() for x in (F.lit(p), F.lit(to))])
-    first = F.create_map(*[x for p, (_, k) in ends.items() for x in (F.lit(p), F.lit(float(k)))])
-    own = ranged.withColumn("h", order["h"]).withColumn("ghost", F.lit(False))
-    ghosts = own.filter(F.col("key") == first[F.col("part")]).withColumn("part", table[F.col("part")]).withColumn("ghost", F.lit(True))
-    return own.unionByName(ghosts)
+        return ranged.withColumn("ghost", F.lit(False)), 1
+    # the range that each range's first rows end; the first range's end the last one
+    kind = ranged.schema["o"].dataType
+    ends = spark.createDataFrame([(r.part, tops[k - 1].part, r.top) for k, r in enumerate(tops)], T.StructType([T.StructField("part", T.IntegerType()), T.StructField("to", T.IntegerType()), T.StructField("top", kind)]))
+    ghosts = ranged.join(F.broadcast(ends), "part").filter(F.col("o").eqNullSafe(F.col("top"))).withColumn("part", F.col("to")).drop("to", "top").select(*ranged.columns)
+    return ranged.withColumn("ghost", F.lit(False)).unionByName(ghosts.withColumn("ghost", F.lit(True))), tops[-1].part + 1
 
 
-def _rank(cuts: list[float], key):
+def _rank(cuts: list, key):
     """How many cuts are less than key, by halving."""
 
     def go(lo: int, hi: int):
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(F.lit(float(cuts[mid])) < key, go(mid + 1, hi)).otherwise(go(lo, mid))
+        return F.when(F.lit(cuts[mid]) < key, go(mid + 1, hi)).otherwise(go(lo, mid))
 
     return go(0, len(cuts))
 
@@ -207,14 +213,13 @@ def fingerprint_with_edits(spark: SparkSession, docs: DataFrame, parts: int | No
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. One shuffle of the texts."""
     tune(spark)
     docs = texts(docs)
-    parts = parts or shuffle_parts(spark)
-    dealt = with_next(docs, parts)
-    # rows of a range in its order; of several ghosts that tie, the first by text is the next document
-    sorted_ = dealt.repartition(parts, "part").sortWithinPartitions("part", F.col("ghost"), F.col("key").desc(), "h").select("doc_id", "text", "part", "ghost")
+    parts = parts or ranges(spark, docs)
+    dealt, parts = with_next(spark, docs, parts)
+    # rows of a range in its order; of several ghosts that tie, any is the next document, as their texts are equal
+    sorted_ = dealt.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "ghost", "o").select("doc_id", "text", "part", "ghost")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the last row, which waits for its next document
-        ended = None
         for b in batches:
             ids, rows, nexts = [], [], []
             for i, t, p, ghost in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
@@ -222,12 +227,7 @@ def fingerprint_with_edits(spark: SparkSession, docs: DataFrame, parts: int | No
                     ids.append(held[0])
                     rows.append(held[1])
                     nexts.append(t)
-                if ghost:
-                    held, ended = None, p
-                elif ended != p or held is not None:
-                    held = (i, t, p)
-                if not ghost:
-                    held = (i, t, p)
+                held = None if ghost else (i, t, p)
             if rows:
                 yield _digest(b.schema.field(0), ids, rows, nexts)
 
@@ -261,13 +261,69 @@ def fingerprint(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def near_pairs(spark: SparkSession, docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """text_id (least doc_id of a text), near_id, likeness: links from each text to the first of each band that it shares, verified on whole fingerprints.
+    """text_id, near_id (least doc_id of two texts' fingerprints), likeness: every pair that shares a band of sampled steps, verified on whole fingerprints.
 
-    Equal texts are one row of the search, whatever their number; a band's members are linked to its first, not to each other.
+    Equal fingerprints are one row of the search, whatever their number. BANDS bands of BAND slots are drawn by the seed and may share slots. A band's rows are dealt to blocks of BLOCK_PRINTS, and every two
+    blocks of a band are laid against each other; a pair is verified in the first band that it shares, so it is one row.
     """
-    found = stored(spark, fingerprint(spark, docs).filter(F.length("text") > 0).groupBy("fingerprint").agg(F.min("doc_id").alias("id")), "prints")
-    bands = found.select("id", "fingerprint", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(SLOTS // BAND - 1)), lambda k: F.substring(F.col("fingerprint"), k * BAND + 1, F.lit(BAND)))).alias("band", "key"))
-    first = bands.groupBy("band", "key").agg(F.min(F.struct("id", "fingerprint")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    pairs = bands.join(first, ["band", "key"]).filter(F.col("id") != F.col("first.id"))
-    same = F.aggregate(F.sequence(F.lit(1), F.lit(SLOTS)), F.lit(0), lambda s, k: s + (F.substring(F.col("fingerprint"), k, F.lit(1)) == F.substring(F.col("first.fingerprint"), k, F.lit(1))).cast("int")) / F.lit(float(SLOTS))
-    return pairs.select(F.col("id").alias("text_id"), F.col("first.id").alias("near_id"), same.alias("likeness")).distinct().filter(F.col("likeness") >= least)
+    found = stored(spark, fingerprint(spark, docs).filter(F.length("text") > 0).groupBy("fingerprint").agg(F.min("doc_id").alias("id")).withColumn("n", F.monotonically_increasing_id()), "prints")
+    draw = np.random.default_rng(SEED).permuted(np.tile(np.arange(SLOTS), (BANDS, 1)), axis=1)[:, :BAND]
+
+    def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                prints = _prints(b.column("fingerprint"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("n").to_numpy(), BANDS)), pa.array(np.tile(np.arange(BANDS), b.num_rows)), pa.array(_keys(prints, draw).ravel())], ["n", "at", "band"])
+
+    bands = found.select("n", "fingerprint").mapInArrow(band, "n long, at long, band long")
+    shared = bands.groupBy("at", "band").agg(F.count("*").alias("rows")).filter("rows > 1").withColumn("blocks", F.ceil(F.col("rows") / BLOCK_PRINTS))
+    rows = stored(spark, bands.join(shared, ["at", "band"]).withColumn("block", F.pmod(F.xxhash64("n"), F.col("blocks"))), "members")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    sides = rows.withColumn("with", other).select("n", "at", "band", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), F.col("block").alias("own"))
+    dealt = sides.join(found.select("n", "fingerprint"), "n").repartition("at", "band", "lo", "hi").sortWithinPartitions("at", "band", "lo", "hi")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches, ("at", "band", "lo", "hi")):
+            prints, n, own = _prints(t["fingerprint"].combine_chunks()), t["n"].to_numpy(), t["own"].to_numpy()
+            at, cross = t["at"][0].as_py(), t["lo"][0].as_py() != t["hi"][0].as_py()
+            keys = _keys(prints, draw[:at]) if at else np.zeros((len(n), 0), np.int64)
+            for k in range(len(n)):
+                later = np.arange(k + 1, len(n))
+                later = later[own[later] != own[k]] if cross else later
+                like = likeness(prints[later], prints[k])
+                ok = (like >= least) & ~(keys[later] == keys[k]).any(1)
+                if ok.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(ok.sum(), n[k])), pa.array(n[later[ok]]), pa.array(like[ok])], ["a", "b", "likeness"])
+
+    pairs = dealt.select("n", "at", "band", "lo", "hi", "own", "fingerprint").mapInArrow(verify, "a long, b long, likeness double")
+    ids = found.select("n", "id")
+    pairs = pairs.join(ids.withColumnsRenamed({"n": "a", "id": "one"}), "a").join(ids.withColumnsRenamed({"n": "b", "id": "two"}), "b")
+    return pairs.select(F.greatest("one", "two").alias("text_id"), F.least("one", "two").alias("near_id"), "likeness")
+
+
+def _prints(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SLOTS)
+
+
+def _keys(prints: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    """64 bits of each fingerprint's slots in each band."""
+    return np.ascontiguousarray(prints[:, draw]).view("<i8")[:, :, 0].astype(np.int64)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Runs of rows that agree in the columns `by`, which may go over batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if b.num_rows:
+            keys = np.stack([b.column(c).to_numpy() for c in by], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                key = keys[lo].tolist()
+                if held and key != last:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                last = key
+                held.append(b.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)

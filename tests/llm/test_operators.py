@@ -102,6 +102,48 @@ def test_fingerprints(spark):
         assert got[k].near_next == fingerprint.likeness(a, x) and got[k].near_edited == fingerprint.likeness(a, e)
 
 
+def test_neighbours_are_exact_for_wide_and_null_ids(spark):
+    rows = [((1 << 53) + k, prose(30, k)) for k in range(12)] + [(None, prose(20, 50 + k)) for k in range(6)] + [(5, prose(9, 70)), (5, prose(9, 71)), (-(1 << 63), "least")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    hashed = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashed(r[1])))
+    want = sorted((str(i), hashed(fingerprint.edit(t, order[(k + 1) % len(order)][1]))) for k, (i, t) in enumerate(order))
+    for parts in (1, 4, 9):
+        assert sorted((str(r.doc_id), r.edited_sha256) for r in fingerprint.fingerprint_with_edits(spark, d, parts).collect()) == want
+
+
+def test_walk_is_plain():
+    stay = fingerprint._stay().reshape(fingerprint.CLASSES, fingerprint.PHASES)
+    bits = np.random.default_rng(fingerprint.SEED).random((fingerprint.CLASSES, fingerprint.PHASES)) < 0.5
+    texts = [prose(30, k) for k in range(60)] + ["é" * 70, "x"]
+    codes, start, length = fingerprint._codes(texts)
+    classes = fingerprint._classes(codes)
+    after = fingerprint._walk(classes, start, length, np.zeros(len(texts), np.int64))
+    for k in (0, 7, 60, 61):
+        step = 0
+        for i in range(length[k]):
+            c = classes[start[k] + i]
+            while not bits[c, step % fingerprint.PHASES]:  # the pointer stays until a random one bit
+                step += 1
+            step += 1
+            assert after[start[k] + i] == step
+    assert stay.max() < 255
+
+
+def test_near_pairs_are_brute_force(spark, monkeypatch):
+    base = [prose(150, k) for k in range(8)]
+    texts = [t if j == 0 else t.replace(" ", f" z{j} ", j) for t in base for j in range(6)] + [base[0], None, ""]
+    prints = fingerprint.fingerprints([t or "" for t in texts])
+    n = len(base) * 6
+    one = [next(a for a in range(n) if (prints[a] == prints[b]).all()) for b in range(n)]  # equal fingerprints are one
+    want = {(b, a) for a in range(n) for b in range(a + 1, n) if one[a] == a and one[b] == b and fingerprint.likeness(prints[a], prints[b]) >= 0.8}
+    for block in (1024, 5):
+        monkeypatch.setattr(fingerprint, "BLOCK_PRINTS", block)
+        rows = fingerprint.near_pairs(spark, docs(spark, texts)).collect()
+        got = {(r.text_id, r.near_id) for r in rows}
+        assert len(rows) == len(got) and got <= want and len(got) >= 0.98 * len(want) > 50
+
+
 def test_alignment_is_exact():
     r = random.Random(3)
     for _ in range(200):
