@@ -34,7 +34,7 @@ SEED = 20_011
 #: A band is BAND slots; pairs that agree in one of BANDS are verified, BLOCK_PRINTS against as many.
 BAND, BANDS, BLOCK_PRINTS = 8, 40, 1024
 #: Bytes of input files for each range of documents, and how many ranges there are at most.
-RANGE_BYTES, MOST_RANGES = 32 << 20, 1 << 17
+RANGE_BYTES, LEAST_ROWS, MOST_RANGES = 32 << 20, 1000, 1 << 17
 #: Documents that walk in step; below NARROW of them, each goes on alone.
 _TOGETHER, _NARROW = 4096, 48
 
@@ -166,9 +166,9 @@ def _both(rows: list[str], others: list[str]) -> tuple[np.ndarray, np.ndarray, l
 
 
 def ranges(spark: SparkSession, docs: DataFrame) -> int:
-    """Ranges of about RANGE_BYTES of the input's files, and no fewer than there are shuffle partitions: their size does not grow with the input."""
+    """Ranges of about RANGE_BYTES of the input's files (of LEAST_ROWS rows, where its size is not known), and no fewer than there are shuffle partitions: they do not grow with the input."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return int(min(MOST_RANGES, max(shuffle_parts(spark), size // RANGE_BYTES)))
+    return int(max(shuffle_parts(spark), min(MOST_RANGES, size // RANGE_BYTES, docs.count() // LEAST_ROWS)))
 
 
 def with_next(spark: SparkSession, docs: DataFrame, parts: int) -> tuple[DataFrame, int]:

@@ -229,39 +229,6 @@ def test_classifiers_learn(spark):
     assert all(x.predicted == (x.doc_id % 3 != 0) for x in good)
 
 
-def test_swaps_do_not_move_the_score():
-    rows = [{"x", "women"}, {"y", "men"}] * 40
-    _, w = toxicity.fit(rows, np.array([1.0, 0.0] * 40))
-    assert abs(w.get("=women", 0) - w.get("=men", 0)) < abs(w["=x"] - w.get("=y", 0))
-
-
-def test_lm_base_is_plain(spark):
-    texts = [prose(60, k % 7) for k in range(60)] + [None]
-    got = {r.doc_id: r for r in lm.score(spark, docs(spark, texts)).collect()}
-    counts = {}
-    for k, t in enumerate(texts):
-        if zlib.crc32(str(k).encode()) % 7 != 2:
-            for w in [*(t or "").split(), ""]:
-                counts[w] = counts.get(w, 0) + 1
-    n, v = sum(counts.values()), len(counts)
-    for k, t in enumerate(texts):
-        words = [*(t or "").split(), ""]
-        assert got[k].base_score == pytest.approx(sum(np.log10((counts.get(w, 0) + 1) / (n + v + 1)) for w in words))
-        assert got[k].n_known == sum(w in counts for w in words) and got[k].train_tokens == n and got[k].score <= 0
-
-
-def test_lm_counts_keep_their_ratio(spark):
-    q = lm._quantised(np.array([[5_000_000, 300_000], [70, 3], [1 << 40, 1 << 39], [200_000, 9]]))
-    logit = lm._logits()[0]
-    for (a, b), n in zip(q, [(5e6, 3e5), (70, 3), (2.0, 1.0), (2e5, 9)], strict=True):
-        assert logit[int(a) << 8 | int(b)] == pytest.approx(np.log(n[1] / n[0]), abs=0.15)
-    # one task counts more than 65,535 of one decision
-    train = spark.createDataFrame([(b"a " * 200_000,)], "text binary").coalesce(1)
-    coder = lm.Coder([b"a", b""], [200_000, 1], 0)
-    table = lm.context_tables(spark, train, spark.sparkContext.broadcast(coder), lm.LEAST_BITS)[0]
-    assert max(lm._VALUE[table >> 8].max(), lm._VALUE[table & 255].max()) == pytest.approx(200_000, rel=0.05)
-
-
 def test_added_tokens_are_the_plain_tokenizers():
     import public_tokenizers as files
     from tokenizers import Tokenizer
