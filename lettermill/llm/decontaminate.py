@@ -18,12 +18,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Token offsets that each mask reads.
 MASKS = ((0, 1, 2, 4, 5, 7), (0, 2, 3, 6, 7, 8))
 STRETCH = 13
 LEAST = 0.8
 #: Seeds of one block of items, which are broadcast.
 BLOCK_SEEDS = 200_000
+#: Names of overlapping texts, of which at most so many are broadcast.
+BROADCAST_ROWS = 250_000
 
 
 def tokens(text: Column) -> Column:
@@ -115,8 +119,10 @@ def clean(spark: SparkSession, docs: DataFrame, bench: DataFrame) -> DataFrame:
     """
     key = F.sha2(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 256)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), key.alias("doc_id"), "text")
-    found = overlaps(spark, rows.select("doc_id", "text"), bench).select("doc_id").distinct()
-    return rows.join(found, "doc_id", "left_anti").select("doc.*")
+    found = stored(spark, overlaps(spark, rows.select("doc_id", "text"), bench).select("doc_id").distinct(), "leaks")
+    # a short list is sent to the documents, a long one is met by a shuffle
+    small = found.count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(found) if small else found, "doc_id", "left_anti").select("doc.*")
 
 
 def _sql_tokens(text: str) -> str:
