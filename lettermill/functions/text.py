@@ -13,17 +13,34 @@ from pyspark.sql.types import StringType
 # Patterns and words that results depend on.
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
 URL = r"https?://[^\s]+|www\.[^\s]+"
-TRACKING = r"utm_[^&\s]*|[?&][^=]*=[^&\s]*"
+UTM = r"utm_[^&\s]*"
+TRACKING = UTM + r"|[?&][^=]*=[^&\s]*"
 ENTITY = r"&[a-zA-Z0-9#]+;"
 SPECIAL = r"[^\w\s.,!?;:()\-'\[\]]"
 INVISIBLE = "​‌‍⁠﻿­‎"
 NOISE = "unsubscribe click here view browser privacy policy terms conditions copyright reserved rights inc ltd llc corp company follow twitter facebook instagram linkedin subscribe newsletter update preferences".split()
 
 
+def _untracked(text: Column) -> Column:
+    """TRACKING taken out. Behind the last = (and what follows it without a blank or &) only UTM can match, so no ? or & is followed to the text's end in vain."""
+    without = lambda t, pattern: F.regexp_replace(t, "(?U)" + pattern, "")
+
+    def split(t: Column, last: Column) -> Column:
+        return F.transform(F.array(last + F.length(F.regexp_extract(F.substr(t, last + 1), r"(?U)^[^&\s]*", 0))), lambda n: F.concat(without(F.substr(t, F.lit(1), n), TRACKING), without(F.substr(t, n + 1), UTM)))[0]
+
+    def one(t: Column) -> Column:
+        return F.when(~F.contains(t, F.lit("=")), without(t, UTM)).otherwise(F.transform(F.array(F.length(t) + 1 - F.instr(F.reverse(t), "=")), lambda last: split(t, last))[0])
+
+    # lambdas bind what is used more than once
+    return F.transform(F.array(text), one)[0]
+
+
 def clean(text: Column) -> Column:
     """Entities, addresses, links, tracking, control and special characters taken out, blanks collapsed."""
-    steps = [(ENTITY, " "), (EMAIL, "[EMAIL]"), (URL, "[URL]"), (TRACKING, ""), (r"[\p{Cntrl}&&[^\s]]", ""), (SPECIAL, " "), (r"\s+", " ")]
-    for pattern, by in steps:
+    for pattern, by in ((ENTITY, " "), (EMAIL, "[EMAIL]"), (URL, "[URL]")):
+        text = F.regexp_replace(text, "(?U)" + pattern, by)
+    text = _untracked(text)
+    for pattern, by in ((r"[\p{Cntrl}&&[^\s]]", ""), (SPECIAL, " "), (r"\s+", " ")):
         text = F.regexp_replace(text, "(?U)" + pattern, by)
     return F.trim(F.translate(text, INVISIBLE, ""))
 

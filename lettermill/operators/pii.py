@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fake
-from ..sources.store import stored
-from .route import first_seen
+from ..sources.store import numbered, stored
 
 # Patterns in order of priority.
 PHONE = [r"\d{3}-\d{3}-\d{4}\s+ext\s+\d{1,4}", r"\+\d{1,4}\s\d{1,4}\s\d{1,4}\s\d{1,4}", r"\+\d{8,15}", r"\+1-\d{3}-\d{3}-\d{4}", r"\(\d{3}\)\s?\d{3}-\d{4}", r"\d{3}-\d{3}-\d{4}", r"\d{3}\.\d{3}\.\d{4}", r"\b\d{10}\b"]
@@ -117,9 +116,9 @@ def byte_offset(text: Column, at: Column) -> Column:
 def mapping(detected: DataFrame, order: str) -> DataFrame:
     """text, pii_type, seed, stand_in: of each distinct original, by where it is first seen; the first type met counts."""
     spans = detected.select(F.col(order).alias("_o"), F.explode("entities").alias("e")).select("_o", F.col("e.start").alias("_s"), "e.text", "e.pii_type")
-    seeds = first_seen(spans, "text", ["_o", "_s"])
-    kinds = spans.groupBy("text").agg(F.min_by("pii_type", F.struct("_o", "_s")).alias("pii_type"))
-    m = seeds.join(kinds, "text")
+    place = F.struct("_o", "_s")
+    first = stored(spans.groupBy("text").agg(F.min(place).alias("_first"), F.min_by("pii_type", place).alias("pii_type")), "originals")
+    m = numbered(first, ["_first"], "seed").drop("_first")
     return m.withColumn("stand_in", fake.stand_in(F.col("pii_type"), F.col("text"), F.col("seed")))
 
 

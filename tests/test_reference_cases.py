@@ -160,3 +160,18 @@ def test_model_classifier(spark):
 @pytest.mark.parametrize("subject, shown", [("a" * 50, "a" * 50), ("a" * 51, "a" * 47 + "..."), ("é" * 26, "é" * 23 + "...")])
 def test_subjects_are_cut_by_bytes(spark, subject, shown):
     assert spark.range(1).select(X.truncated(F.lit(subject))).first()[0] == shown
+
+
+@pytest.mark.parametrize("text", ["", "a?b", "a?b=c&d e", "x?y z=1 2 ?q utm_a=1&b utm_c", "utm_x utm_y=? &", "=", "?=", "a=b?c?d", "no ? mark & = at?utm_=&", "??==??", "é?è=ù utm_é"])
+def test_tracking_is_the_pattern(spark, text):
+    import re
+
+    assert spark.range(1).select(X._untracked(F.lit(text))).first()[0] == re.sub(X.TRACKING, "", text)
+
+
+def test_tracking_takes_linear_time(spark):
+    import time
+
+    began = time.time()
+    assert len(spark.range(1).select(X._untracked(F.lit("a=b " + "word? " * 60_000))).first()[0]) > 300_000
+    assert time.time() - began < 10
