@@ -1,4 +1,4 @@
-"""The registered queries of the training-data operators: op1 to op10."""
+"""The registered queries of the training-data operators: op1 to op13."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, langid, lm, neardup, packing, quality, secrets, substrings, toxicity
+from . import align, bands, decontaminate, fingerprint, langid, lm, neardup, packing, quality, repair, secrets, substrings, toxicity
 from .common import table
 
 
@@ -50,6 +50,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"), with_ids=False).drop("source")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(spark, table(spark, sf_dir, "documents"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bands.judge(spark, table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digest(spark, repair.damage(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
