@@ -67,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": decontaminate.oracle()}
+    return {"op7_decontamination": decontaminate.oracle(), "op13_conversation_repair": repair.oracle()}

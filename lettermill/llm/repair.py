@@ -233,3 +233,35 @@ def digest(spark: SparkSession, rows: DataFrame) -> DataFrame:
 
     schema = to_arrow_schema(out)
     return short.unionByName(long.repartition("conv_id").sortWithinPartitions("conv_id", "place").mapInArrow(run, out))
+
+
+def oracle() -> str:
+    """DuckDB SQL for the rows of digest(damage(conversations)): one turn of all conversations a step, states as (cost and audit, repaired text)."""
+    blanks = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    crc = "xor(list_reduce([4294967295] || flatten(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda ch: [ascii(ch), -1, -1, -1, -1, -1, -1, -1, -1])), lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, (c & 1) * 3988292384) END), 4294967295)"
+
+    def then(state: str, cost: str, letter: str, line: str = "NULL") -> str:
+        k = f"lpad(CAST(CAST(left({state}.k, 12) AS BIGINT) + {cost} AS VARCHAR), 12, '0') || substr({state}.k, 13) || {letter}"
+        return f"CASE WHEN {state} IS NOT NULL THEN {{'k': {k}, 'o': CASE WHEN {line} IS NULL THEN {state}.o WHEN {state}.o IS NULL THEN {line} ELSE {state}.o || chr(10) || {line} END}} END"
+
+    def stays(state: str, initial: str) -> str:
+        name = {"u": "'user'", "a": "'assistant'", "s": "''"}[initial]
+        return f"CASE WHEN NOT dead THEN {then(state, f'late + CASE WHEN i = {chr(39)}{initial}{chr(39)} THEN 0 ELSE 3 END', f'CASE WHEN i = {chr(39)}{initial}{chr(39)} THEN {chr(39)}K{chr(39)} ELSE {chr(39)}R{chr(39)} END', f'(CASE WHEN i = {chr(39)}{initial}{chr(39)} THEN role ELSE {name} END || {chr(39)}:{chr(39)} || text)')} END"
+
+    def settled(source: str, keys: str) -> str:
+        more = lambda s, r: then(s, "3", "'I'", f"'{r}:'")
+        users = f"SELECT {keys}, n, s, a, least(u, {more('n', 'user')}, {more('s', 'user')}, {more('a', 'user')}) AS u FROM ({source})"
+        return f"SELECT {keys}, n, s, u, least(a, {more('u', 'assistant')}) AS a FROM ({users})"
+
+    none = "CAST(NULL AS STRUCT(k VARCHAR, o VARCHAR))"
+    begin = f"SELECT DISTINCT conv_id, 0 AS k, {{'k': '000000000000', 'o': CAST(NULL AS VARCHAR)}} AS n, {none} AS s, {none} AS u, {none} AS a FROM conversations"
+    taken = f"SELECT w.conv_id, f.k, {then('n', '4', chr(39) + 'D' + chr(39))} AS n, least({then('s', '4', chr(39) + 'D' + chr(39))}, CASE WHEN i = 's' THEN {stays('n', 's')} END) AS s, least({then('u', '4', chr(39) + 'D' + chr(39))}, {stays('n', 'u')}, {stays('s', 'u')}, {stays('a', 'u')}) AS u, least({then('a', '4', chr(39) + 'D' + chr(39))}, {stays('u', 'a')}) AS a FROM w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.k = w.k + 1"
+    return f"""WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc} % 20 AS r FROM conversations),
+hurt AS (SELECT conv_id, turn, CASE WHEN r = 4 THEN 'user' ELSE role END AS role, CASE r WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE r WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM raw),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, rtrim(text, {blanks}) AS kept, left(role, 1) AS i FROM hurt),
+g AS (SELECT *, kept = '' AS blank, kept <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS again, lag(i) OVER (PARTITION BY conv_id ORDER BY k) || i AS pair FROM t),
+f AS (SELECT *, blank OR again AS dead, NOT blank AND NOT again AND right(kept, 1) NOT IN ('.', '!', '?') AS cut, CASE WHEN cut THEN 3 ELSE 0 END AS late FROM g),
+w AS ({settled(begin, 'conv_id, k')} UNION ALL {settled(taken, 'conv_id, k')}),
+last AS (SELECT conv_id, least(arg_max(n, k), arg_max(a, k)) AS best FROM w GROUP BY conv_id),
+found AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again) AS duplicate, count(*) FILTER (cut) AS truncated, count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT last.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(left(best.k, 12) AS BIGINT) AS cost, substr(best.k, 13) AS audit, sha256(coalesce(best.o, '')) AS repaired_sha256 FROM last LEFT JOIN found ON found.conv_id IS NOT DISTINCT FROM last.conv_id"""
