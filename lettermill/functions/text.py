@@ -142,12 +142,6 @@ def strip_html_text(html: str) -> str:
     return re.sub(r"<[^>]*>", "", html).strip()
 
 
-def meaningful_text(text: str, n: int) -> str:
-    """meaningful() of one text."""
-    noise = lambda w: not (w.startswith("[") and w.endswith("]")) and (w.lower() in NOISE or len(w.lower().encode()) < 2 or not any(c.isalpha() for c in w))
-    return " ".join([w for w in text.split() if not noise(w)][:n])
-
-
 @F.pandas_udf(StringType())
 def html_text(html: pd.Series) -> pd.Series:
     return html.map(read_html)

@@ -8,20 +8,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.store import stored
+from . import model
 from . import rules as R
 
 CATEGORIES = ("ActionRequired", "InterestingInfo", "Reference", "Noise", "Spam")
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are made once a row: an exploded array of one keeps the optimiser from putting them into every use."""
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_once")
+    return df.select("*", made).select(*df.columns, *[F.col(f"_once.{n}").alias(n) for n in columns])
+
+
 def features(messages: DataFrame, n: int = 100, html: bool = False) -> DataFrame:
-    """c, d, raw, sub: what the rules read. An exploded array of one keeps the cleaning from being done again by each rule."""
+    """messages with what the rules read, in lower case, as one struct `_f`: prepared text c, sender's domain d, raw (subject and snippet), sub."""
     low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
     made = F.struct(F.lower(X.prepared(n, html)).alias("c"), X.rule_domain(F.col("from")).alias("d"), F.concat(low("subject"), F.lit("\n"), low("snippet")).alias("raw"), low("subject").alias("sub"))
-    return messages.select("*", F.explode(F.array(made)).alias("_f")).select(*messages.columns, "_f.*")
+    return once(messages, _f=made)
 
 
 def by_rules(messages: DataFrame, html: bool = False) -> DataFrame:
-    got = features(messages, html=html).withColumn("_r", R.decide(R.DETERMINISTIC))
+    got = once(features(messages, html=html), _r=R.decide(R.DETERMINISTIC))
     return got.select(*messages.columns, F.col("_r.category").alias("category"), F.col("_r.score").alias("score"), F.concat(F.lit("Deterministic classification based on cleaned content and patterns: "), F.col("_r.category")).alias("response"))
 
 
@@ -32,19 +40,19 @@ def corrected(category: Column) -> Column:
     return out
 
 
-def hybrid(messages: DataFrame, model: Callable[[DataFrame], DataFrame] | None = None, html: bool = False) -> DataFrame:
-    """Sure rules first; only the rest goes to the model (adds category, score, response, error), is corrected, and falls back to rules."""
+def hybrid(messages: DataFrame, judge: Callable[[DataFrame], DataFrame] | None = None, html: bool = False) -> DataFrame:
+    """Sure rules first; only the rest goes to `judge`, as by_model with its model (adds category, score, response, error), is corrected, and falls back to rules."""
     f = features(messages, html=html)
     sure = R.decide(R.HIGH_CONFIDENCE, (None, None))
     fall = R.decide(R.FALLBACK, reason="Default to Reference")
     columns = messages.columns
-    f = f.withColumn("_s", sure).withColumn("_w", fall)
+    f = once(f, _s=sure, _w=fall)
     out = lambda df, pick, prefix: df.select(*columns, pick["category"].alias("category"), pick["score"].alias("score"), F.concat(F.lit(prefix), pick["reason"]).alias("response"))
     ruled = out(f.filter(F.col("_s.category").isNotNull()), F.col("_s"), "High-confidence rule: ")
     rest = f.filter(F.col("_s.category").isNull())
-    if model is None:
+    if judge is None:
         return ruled.unionByName(out(rest, F.col("_w"), "Fallback rule: "))
-    asked = model(rest.drop("_s"))
+    asked = judge(rest.drop("_s"))
     ok = F.col("error").isNull()
     return ruled.unionByName(asked.select(*columns, F.when(ok, corrected(F.col("category"))).otherwise(F.col("_w.category")).alias("category"), F.when(ok, F.col("score")).otherwise(F.col("_w.score")).alias("score"), F.when(ok, F.col("response")).otherwise(F.concat(F.lit("Fallback rule: "), F.col("_w.reason"))).alias("response")))
 
@@ -85,12 +93,13 @@ def result(category: str, score: float | None = None) -> Column:
 
 def prompt(n: int = 200, html: bool = False) -> Column:
     """What a model is asked about a message: its prepared words and the domains of its addresses."""
-    return F.concat(F.lit(f"Sort this message into one of {', '.join(CATEGORIES)}. Answer with a JSON object of category, score (0 to 1) and explanation.\n"), X.metadata(F.col("from"), F.col("to")), F.lit("\n"), X.prepared(n, html))
+    return F.concat(F.lit(f"Sort this message into one of {', '.join(CATEGORIES)}. Answer with a JSON object of category, score (0 to 1) and explanation.\n"), F.coalesce(X.metadata(F.col("from"), F.col("to")), F.lit("")), F.lit("\n"), X.prepared(n, html))
 
 
-def by_model(messages: DataFrame, ask: Callable[[DataFrame], DataFrame], html: bool = False) -> DataFrame:
-    """category, score, response and error by a model: `ask` adds `reply` to a table with `prompt` (a null reply is a failed call)."""
-    got = ask(messages.withColumn("prompt", prompt(html=html)))
+def by_model(messages: DataFrame, ask: model.Ask, html: bool = False, replies: str | None = None, **limits) -> DataFrame:
+    """category, score, response and error by a model (see `model`): equal prompts are asked once, a failed one is its rows' error. replies: where answers are kept."""
+    rows = stored(messages.select(F.struct("*").alias("_m"), prompt(html=html).alias("_prompt")), "asked")
+    got = model.answered(rows, ask, replies, "_prompt", **limits)
     answer = parse_reply(F.col("reply"))
-    error = F.when(F.col("reply").isNull(), F.lit("no reply")).when(answer.isNull(), F.lit("no valid answer in the reply"))
-    return got.select(*messages.columns, answer["category"].alias("category"), answer["score"].alias("score"), answer["response"].alias("response"), error.alias("error"))
+    error = F.when(F.col("reply").isNull(), F.coalesce("error", F.lit("no reply"))).when(answer.isNull(), F.lit("no valid answer in the reply"))
+    return got.select("_m.*", answer["category"].alias("category"), answer["score"].alias("score"), answer["response"].alias("response"), error.alias("error"))

@@ -1,25 +1,26 @@
 """Personal data that a model finds: prompts, replies, positions in the text, and the merge with what patterns find.
 
-A model is a function from prompts to replies; whatever it raises becomes the row's error, and the row has no
-entities. Positions are in characters.
+A model is a function from prompts to replies (see `model`); whatever it raises for a prompt becomes the error of the rows
+with that prompt, and those rows have no entities. Positions are in characters.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import meaningful_text, read_html
-from . import pii
+from ..functions.text import read_html
+from ..sources.store import stored
+from . import model, pii, spans, standins
 
 Found = tuple[str, str]
-Ask = Callable[[list[str]], list[str]]
+Span = tuple[str, str, int, int]
 NAME_WORDS, ADDRESS_WORDS = 50, 100
 # What replies begin with, countries that models add, streets' endings, bounds, and the type that is more specific than another.
 PREFIXES = ("JSON output:", "Here's the JSON:", "```json", "```", "JSON array:")
@@ -45,7 +46,8 @@ def clean_html(html: str) -> str:
 
 
 def prepare(text: str, n: int) -> str:
-    return meaningful_text(clean_html(text), n)
+    """The first n words of the text, whatever they are."""
+    return " ".join(clean_html(text).split()[:n])
 
 
 def json_arrays(text: str) -> list[str]:
@@ -100,7 +102,7 @@ def parse_reply(reply: str) -> list[Found]:
     raise ValueError("no usable array in the reply")
 
 
-def _keeps(old: pii.Span, new: pii.Span) -> bool:
+def _keeps(old: Span, new: Span) -> bool:
     """Whether an older span stays where a new one overlaps it: a span that holds the other, the longer, the more specific, else the older."""
     if old[2] <= new[2] and old[3] >= new[3]:
         return True
@@ -110,15 +112,15 @@ def _keeps(old: pii.Span, new: pii.Span) -> bool:
     return a > b if a != b else (old[0], new[0]) not in LESS
 
 
-def positions(text: str, found: list[Found]) -> list[pii.Span]:
+def positions(text: str, found: list[Found]) -> list[Span]:
     """Every place of each, overlaps resolved."""
     text = text.encode()[:MAX_TEXT].decode("utf-8", "ignore")
-    every: list[pii.Span] = []
+    every: list[Span] = []
     for kind, what in found:
         if what:
             places = (m.start() for m in re.finditer(f"(?={re.escape(what)})", text))
             every += [(kind, what, p, p + len(what)) for _, p in zip(range(MAX_PLACES), places, strict=False)]
-    out: list[pii.Span] = []
+    out: list[Span] = []
     for s in sorted(every, key=lambda s: (s[2], -len(s[1].encode()))):
         rivals = [o for o in out if s[2] < o[3] and o[2] < s[3]]
         if not any(_keeps(o, s) for o in rivals):
@@ -135,7 +137,7 @@ def address_strings(reply: str) -> list[str]:
     return got if all(isinstance(x, str) for x in got) else []
 
 
-def address_spans(text: str, address: str) -> list[pii.Span]:
+def address_spans(text: str, address: str) -> list[Span]:
     """The first place of each part between commas, and a street with the postal lines after it."""
     if len(address.strip().encode()) < 3:
         return []
@@ -155,47 +157,79 @@ def address_spans(text: str, address: str) -> list[pii.Span]:
     return out
 
 
-def detect_all(df: DataFrame, ask: Ask, column: str = "text") -> DataFrame:
-    """df with entities (patterns, addresses and names, overlaps resolved) and error. The model is asked for a batch of rows at a time."""
+def _asking(rows: DataFrame) -> DataFrame:
+    """rows with the two prompts about their text; empty texts are not asked about."""
 
-    def asked(prompts: list[str]) -> list[str]:
-        got = ask(prompts)
-        if len(got) != len(prompts):
-            raise ValueError("a model gives one reply for each prompt")
-        return got
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("_text").to_pylist()
+            made = [pa.array([f(prepare(t, n)) if t else None for t in texts], pa.string()) for f, n in ((address_prompt, ADDRESS_WORDS), (name_prompt, NAME_WORDS))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, "_address", "_name"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("_address", T.StringType()), T.StructField("_name", T.StringType())]))
+
+
+def _read(rows: DataFrame) -> DataFrame:
+    """rows with _found (the spans that the replies name) and _error, from _text, _places and _people (replies) and _fault."""
+    arrow = pa.list_(pa.struct([("pii_type", pa.string()), ("text", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [t or "" for t in b.column(column).to_pylist()]
-            entities, errors = [], []
-            try:
-                addresses = asked([address_prompt(prepare(t, ADDRESS_WORDS)) for t in rows])
-                names = asked([name_prompt(prepare(t, NAME_WORDS)) for t in rows])
-                whole = None
-            except Exception as e:  # noqa: BLE001  whatever a model raises is the rows' error
-                whole = f"{type(e).__name__}: {e}"
-            for k, t in enumerate(rows):
-                try:
-                    if whole:
-                        raise ValueError(whole)
-                    found = [s for a in address_strings(addresses[k]) for s in address_spans(t, a)] + positions(t, parse_reply(names[k]))
-                    entities.append([dict(zip(("pii_type", "text", "start", "end"), s, strict=True)) for s in pii.resolved([*pii.pattern_spans(t), *found])])
-                    errors.append(None)
-                except ValueError as e:
-                    entities.append([])
-                    errors.append(str(e))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(entities, pii.ARROW), pa.array(errors, pa.string())], [*b.schema.names, "entities", "error"])
-
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("entities", pii.SPANS), T.StructField("error", T.StringType())]))
-
-
-def anonymised(df: DataFrame, ask: Ask, key: str, columns: tuple[str, ...] = ("subject", "snippet", "body")) -> tuple[DataFrame, DataFrame]:
-    """(rows with each of the columns replaced, rows of (key, column, error)); fields are read one by one, so no name is lost in a record's syntax."""
-    out, errors = df, None
-    for c in columns:
-        found = detect_all(df.select(key, F.col(c).alias("text")), ask)
-        new = pii.replaced(found.filter("error is null"), key).withColumnRenamed("replaced", c)
-        failed = found.filter("error is not null").select(key, F.lit(c).alias("column"), "error")
-        errors = failed if errors is None else errors.unionByName(failed)
-        out = out.drop(c).join(new, key)
-    return out.select(*df.columns), errors
+            found, errors = [], []
+            for text, places, people, fault in zip(*(b.column(c).to_pylist() for c in ("_text", "_places", "_people", "_fault")), strict=True):
+                got: list[Span] = []
+                if text and not fault:
+                    try:
+                        got = [s for a in address_strings(places) for s in address_spans(text, a)] + positions(text, parse_reply(people))
+                    except ValueError as e:
+                        fault = str(e)
+                found.append([dict(zip(("pii_type", "text", "start", "end"), s, strict=True)) for s in got])
+                errors.append(fault)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, arrow), pa.array(errors, pa.string())], [*b.schema.names, "_found", "_error"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("_found", pii.SPANS), T.StructField("_error", T.StringType())]))
+
+
+def detect_all(df: DataFrame, ask: model.Ask, column: str = "text", replies: str | None = None, patterns: bool = True, **limits) -> DataFrame:
+    """df with entities (addresses and names by the model, and what patterns find, overlaps resolved) and error. replies: where answers are kept; patterns: False for what the model finds alone."""
+    rows = stored(df.select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("_n")), "asked").withColumn("_text", F.col("_row")[column])
+    prompts = stored(_asking(rows.select("_n", "_text")), "prompts")
+    first = model.answered(prompts, ask, replies, "_address", **limits).withColumnsRenamed({"reply": "_places", "error": "_e1"})
+    second = model.answered(first, ask, replies, "_name", **limits).withColumnsRenamed({"reply": "_people", "error": "_e2"})
+    told = _read(second.select("_n", "_text", "_places", "_people", F.coalesce("_e1", "_e2").alias("_fault")))
+    every = F.concat(pii.pattern_spans(F.coalesce(F.col("_text"), F.lit(""))), F.col("_found")) if patterns else F.col("_found")
+    ok = F.col("_error").isNull()
+    got = told.select("_n", F.when(ok, spans.bound(every, pii.resolved)).otherwise(spans.none()).alias("entities"), F.col("_error").alias("error"))
+    return rows.select("_n", "_row").join(got, "_n").select("_row.*", "entities", "error")
+
+
+def anonymised(df: DataFrame, ask: model.Ask, columns: tuple[str, ...] = ("subject", "snippet", "body"), dictionary: str | None = None, replies: str | None = None, patterns: bool = True, order: tuple[str, ...] = (), **limits) -> tuple[DataFrame, DataFrame]:
+    """(rows, errors): rows of df with stand-ins in each of the columns and `replacements`; errors: row, column, error.
+
+    Originals are numbered by the columns of `order`, then as the rows are read, then by field.
+
+    Rows have a number of their own, so that repeated and null keys change nothing. A row of which any field could not be
+    read is kept out and named under errors with its whole `row`. One dictionary serves all fields, so an original has
+    the same stand-in wherever it stands; `dictionary` names the table that carries it on to later runs.
+    """
+    rows = stored(df.select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("_n")), "messages")
+    fields = rows.select("_n", F.posexplode(F.array(*[F.col(f"_row.{c}") for c in columns])).alias("_field", "text")).filter("text IS NOT NULL")
+    found = stored(detect_all(fields, ask, "text", replies, patterns, **limits), "detected")
+    per_row = found.groupBy("_n").agg(F.collect_list(F.struct("_field", "entities")).alias("_all"), F.count("error").alias("_bad"))
+    spans_of = lambda k: F.coalesce(F.get(F.filter("_all", lambda x: x["_field"] == k), 0)["entities"], spans.none())
+    named = {c: f"_e{k}" for k, c in enumerate(columns)}
+    ready = rows.join(per_row, "_n", "left").filter(F.coalesce("_bad", F.lit(0)) == 0).select("_n", "_row.*", *[spans_of(k).alias(e) for k, e in enumerate(named.values())])
+    ready = stored(ready, "ready")
+    seen = standins.of_fields(ready, named, order)
+    place = [*(f"_o{k}" for k in range(len(order))), "_n", "_field", "_start"]
+    table = standins.fresh(seen, place) if dictionary is None else standins.extended(seen, place, dictionary)
+    done = standins.replaced(ready, named, table).select(*df.columns, "replacements")
+    errors = found.filter("error IS NOT NULL").select("_n", F.element_at(F.array(*map(F.lit, columns)), F.col("_field") + 1).alias("column"), "error").join(rows, "_n").select(F.col("_row").alias("row"), "column", "error")
+    return done, errors
+
+
+def summary(df: DataFrame, done: DataFrame) -> DataFrame:
+    """total, processed, errors (rows), replaced of an anonymised set."""
+    one = lambda frame, *values: frame.select(*[v.cast("long").alias(c) for c, v in zip(("total", "processed", "replaced"), values, strict=True)])
+    both = one(df, F.lit(1), F.lit(0), F.lit(0)).unionByName(one(done, F.lit(0), F.lit(1), F.size("replacements")))
+    return both.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in both.columns]).withColumn("errors", F.col("total") - F.col("processed"))

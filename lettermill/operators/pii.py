@@ -3,110 +3,89 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import fake
-from ..sources.store import numbered, stored
+from ..sources.store import stored
+from . import spans, standins
 
 # Patterns in order of priority.
 PHONE = [r"\d{3}-\d{3}-\d{4}\s+ext\s+\d{1,4}", r"\+\d{1,4}\s\d{1,4}\s\d{1,4}\s\d{1,4}", r"\+\d{8,15}", r"\+1-\d{3}-\d{3}-\d{4}", r"\(\d{3}\)\s?\d{3}-\d{4}", r"\d{3}-\d{3}-\d{4}", r"\d{3}\.\d{3}\.\d{4}", r"\b\d{10}\b"]
 _ADDRESS = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 EMAIL = [rf"\b{_ADDRESS}\b", rf"<{_ADDRESS}>", rf'"{_ADDRESS}"', _ADDRESS, r"\b[a-zA-Z0-9._%-]+\s*\[at\]\s*[a-zA-Z0-9.-]+\s*\[dot\]\s*[a-zA-Z]{2,}\b", r"\b[a-zA-Z0-9._%-]+\s*\(at\)\s*[a-zA-Z0-9.-]+\s*\(dot\)\s*[a-zA-Z]{2,}\b"]
-LOCATION = [r"\b[A-ZÄÖÜa-zäöüß]+(?:mann|berg|hof|weg|gasse|strasse|str\.)\s+\d{1,3}[a-z]?\b", r"\b[A-Z]-\d{5}\b", r"\b\d{5}\s+[A-ZÄÖÜa-zäöüß]+\b"]
+LOCATION = [r"\b\d{4}\s+[A-ZÄÖÜa-zäöüß]+(?:\s+[A-ZÄÖÜa-zäöüß]+)*\b", r"\b[A-ZÄÖÜa-zäöüß]+(?:mann|berg|hof|weg|gasse|strasse|str\.)\s+\d+[a-z]?\b", r"\b[A-Z]-\d{4,5}\b", r"\b\d{5}\s+[A-ZÄÖÜa-zäöüß]+\b"]
+STREETS = ("mann", "berg", "hof", "weg", "gasse", "strasse", "str.")
 CITIES = ["Zürich", "Zurich", "Geneva", "Genève", "Basel", "Bern", "Lausanne", "Winterthur", "Luzern", "Lucerne", "St. Gallen", "Sankt Gallen", "Lugano", "Biel", "Bienne", "Thun", "Köniz", "La Chaux-de-Fonds", "Schaffhausen", "Fribourg", "Chur", "Vernier", "Neuchâtel", "Uster", "Sion", "Lancy", "Yverdon-les-Bains", "Emmen", "Zug", "Kriens", "Rapperswil-Jona", "Dübendorf", "Dietikon", "Riehen", "Montreux", "Frauenfeld", "Küsnacht", "Küssnacht", "Thalwil", "Wetzikon", "Baar", "Meyrin", "Carouge", "Wädenswil", "Allschwil"]
 FIRST_NAMES = "John Jane Michael Sarah David Emily Robert Jessica William Ashley Richard Amanda Joseph Stephanie Thomas Michelle".split()
 REAL_EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
 REAL_PHONE = r"\b(?:\+?1[-.\s]?)?\(?[0-9]{3}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}\b"
-_COMPILED = [("phone", [re.compile(p) for p in PHONE]), ("email", [re.compile(p) for p in EMAIL]), ("location", [re.compile(p) for p in LOCATION])]
-_CITY = re.compile(rf"\b(?:{'|'.join(map(re.escape, CITIES))})\b")
+CITY = rf"\b(?:{'|'.join(f'{a}(?:{b})' for a, b in sorted({c[0]: '|'.join(re.escape(x[1:]) for x in CITIES if x[0] == c[0]) for c in CITIES}.items()))})\b"
 SPANS = T.ArrayType(T.StructType([T.StructField("pii_type", T.StringType()), T.StructField("text", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-ARROW = pa.list_(pa.struct([("pii_type", pa.string()), ("text", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+PATTERN_TYPES = ("phone", "email", "location")
 
-Span = tuple[str, str, int, int]
 
+def phone_ok(text: Column) -> Column:
+    number = F.trim(F.split_part(text, F.lit("ext"), F.lit(1)))
+    digits = F.regexp_replace(number, "[^0-9]", "")
+    own = F.when((F.length(digits) == 11) & digits.startswith("1"), F.substring(digits, 2, 10)).otherwise(digits)
+    return (number.startswith("+") & F.length(digits).between(7, 15)) | ((F.length(own) == 10) & ~F.substring(own, 1, 1).isin("0", "1"))
 
-def phone_ok(text: str) -> bool:
-    number = text.split("ext")[0]
-    digits = re.sub(r"[^0-9]", "", number)
-    if number.startswith("+"):
-        return 7 <= len(digits) <= 15
-    if len(digits) == 11 and digits[0] == "1":
-        digits = digits[1:]
-    return len(digits) == 10 and digits[0] not in "01"
 
-
-def email_ok(text: str) -> bool:
-    clean = text.strip('<>"')
+def email_ok(text: Column) -> Column:
+    clean = F.btrim(text, F.lit('<>"'))
     for a, b in (("[at]", "@"), ("(at)", "@"), ("[dot]", "."), ("(dot)", ".")):
-        clean = clean.replace(a, b)
-    parts = clean.split("@")
-    if len(parts) != 2 or not 1 <= len(parts[0].encode()) <= 64 or not 1 <= len(parts[1].encode()) <= 253:
-        return False
-    labels = parts[1].split(".")
-    return len(labels) > 1 and all(labels) and len(labels[-1]) >= 2
-
-
-def _longer(a: Span, b: Span) -> bool:
-    return len(a[1].encode()) > len(b[1].encode())
-
-
-def merged(found: list[Span]) -> list[Span]:
-    """Each in turn: appended, or in place of the first that it overlaps if it is longer; at last by start."""
-    out: list[Span] = []
-    for s in found:
-        k = next((k for k, o in enumerate(out) if s[2] < o[3] and o[2] < s[3]), None)
-        if k is None:
-            out.append(s)
-        elif _longer(s, out[k]):
-            out[k] = s
-    return sorted(out, key=lambda s: s[2])
-
-
-def pattern_spans(text: str) -> list[Span]:
-    """Spans of the three pattern detectors, one after the other."""
-    cities = [("location", m[0], m.start(), m.end()) for m in _CITY.finditer(text)]
-    if not cities and "@" not in text and not any(c.isdigit() for c in text) and "[at]" not in text and "(at)" not in text:
-        return []
-    every: list[Span] = []
-    for kind, patterns in _COMPILED:
-        ok = {"phone": phone_ok, "email": email_ok}.get(kind, lambda _: True)
-        found = merged([(kind, m[0], m.start(), m.end()) for p in patterns for m in p.finditer(text) if ok(m[0])])
-        if kind == "location":
-            found += [c for c in cities if all(c[3] <= o[2] or o[3] <= c[2] for o in found)]
-        every += found
-    return every
-
-
-def detect_text(text: str) -> list[Span]:
-    return resolved(pattern_spans(text))
-
-
-def resolved(every: list[Span]) -> list[Span]:
-    """Overlaps between detectors resolved: the longer wins, and a pattern's span wins over a name."""
-    out: list[Span] = []
-    for s in sorted(every, key=lambda s: s[2]):
-        k = next((k for k, o in enumerate(out) if s[2] < o[3] and o[2] < s[3]), None)
-        if k is None:
-            out.append(s)
-        elif _longer(s, out[k]) or (s[0] in ("phone", "email", "location") and out[k][0] == "name"):
-            out[k] = s
-    return out
+        clean = F.replace(clean, F.lit(a), F.lit(b))
+    parts = F.split(clean, "@", -1)
+    labels = F.split(F.get(parts, 1), "[.]", -1)
+    return (F.size(parts) == 2) & F.octet_length(parts[0]).between(1, 64) & F.octet_length(parts[1]).between(1, 253) & (F.size(labels) > 1) & ~F.exists(labels, lambda x: x == "") & (F.length(F.element_at(labels, -1)) >= 2)
 
 
-def detect(df: DataFrame, column: str = "text") -> DataFrame:
-    """df with entities: (pii_type, text, start, end), in characters. Positions are what needs Python; it is fed Arrow batches."""
+def location_ok(text: Column) -> Column:
+    """No whole number of four digits; a number from 1000 to 99999 before a name, a street, or a short code with a hyphen."""
+    code = F.regexp_extract(text, r"(?U)^([0-9]+)\s+\S", 1)
+    street = text.rlike("|".join(map(re.escape, STREETS)))
+    return ~text.rlike(r"(?U)\b[1-9]\d{3}\b") & (F.coalesce(F.try_to_number(F.nullif(code, F.lit("")), F.lit("99999")).between(1000, 99999), F.lit(False)) | street | (text.contains("-") & (F.octet_length(text) <= 8)))
+
+
+def _of(text: Column, kind: str, patterns: list[str], ok) -> Column:
+    every = F.concat(*[spans.places(text, p, kind) for p in patterns])
+    return spans.bound(F.filter(every, lambda s: ok(s["text"])), spans.settled)
+
+
+def phone_spans(text: Column) -> Column:
+    """Phone numbers, overlaps settled; texts without three digits or a plus before one are passed over."""
+    return F.when(text.rlike(r"(?U)\d{3}|\+\d"), _of(text, "phone", PHONE, phone_ok)).otherwise(spans.none())
+
+
+def email_spans(text: Column) -> Column:
+    there = text.contains("@") | text.contains("[at]") | text.contains("(at)")
+    return F.when(there, _of(text, "email", EMAIL, email_ok)).otherwise(spans.none())
+
+
+def location_spans(text: Column) -> Column:
+    """Places by pattern, then known cities where nothing overlaps, by start."""
+    numbered_ = F.when(text.rlike(r"(?U)\d"), _of(text, "location", LOCATION, location_ok)).otherwise(spans.none())
+    cities = F.when(text.rlike(f"(?U){CITY}"), spans.places(text, CITY, "location")).otherwise(spans.none())
+    return spans.bound(numbered_, lambda s: spans.bound(cities, lambda c: spans.by_start(spans.add_apart(s, c))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [[dict(zip(("pii_type", "text", "start", "end"), s, strict=True)) for s in detect_text(t)] if t else [] for t in b.column(column).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, ARROW)], [*b.schema.names, "entities"])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("entities", SPANS)]))
+def pattern_spans(text: Column) -> Column:
+    """What the three pattern detectors find, one after the other."""
+    return F.concat(phone_spans(text), email_spans(text), location_spans(text))
+
+
+def resolved(every: Column) -> Column:
+    """Overlaps between detectors settled, by start: the longer wins, and a pattern's span wins over a name."""
+    wins = lambda new, old: spans.longer(new, old) | (new["pii_type"].isin(*PATTERN_TYPES) & (old["pii_type"] == "name"))
+    return spans.settled(every, wins, in_order=False)
+
+
+def detect(df: DataFrame, column: str = "text") -> DataFrame:
+    """df with entities: (pii_type, text, start, end), in characters; of a null text none."""
+    found = spans.bound(F.coalesce(F.col(column), F.lit("")), lambda t: spans.bound(pattern_spans(t), resolved))
+    return df.withColumn("entities", found)
 
 
 def byte_offset(text: Column, at: Column) -> Column:
@@ -115,36 +94,17 @@ def byte_offset(text: Column, at: Column) -> Column:
 
 def mapping(detected: DataFrame, order: str) -> DataFrame:
     """text, pii_type, seed, stand_in: of each distinct original, by where it is first seen; the first type met counts."""
-    spans = detected.select(F.col(order).alias("_o"), F.explode("entities").alias("e")).select("_o", F.col("e.start").alias("_s"), "e.text", "e.pii_type")
-    place = F.struct("_o", "_s")
-    first = stored(spans.groupBy("text").agg(F.min(place).alias("_first"), F.min_by("pii_type", place).alias("pii_type")), "originals")
-    m = numbered(first, ["_first"], "seed").drop("_first")
-    return m.withColumn("stand_in", fake.stand_in(F.col("pii_type"), F.col("text"), F.col("seed")))
-
-
-def replaced(detected: DataFrame, key: str, column: str = "text") -> DataFrame:
-    """key, replaced text: the parts between spans and the stand-ins in turn, one row for each row of detected, whatever its key.
-
-    Rows have a number of their own, which is drawn once; rows without a span stay out of the shuffle. Spans that begin before the one before ends are left as they are.
-    """
-    detected = stored(detected.select(key, column, "entities"), "entities")
-    m = mapping(detected, key).select("text", "stand_in")
-    numbered = detected.filter(F.size("entities") > 0).select(F.monotonically_increasing_id().alias("_n"), F.struct(F.col(key).alias("k"), F.col(column).alias("t")).alias("_row"), "entities")
-    numbered = numbered.select("_n", "_row", F.posexplode("entities").alias("_p", "_e"))
-    # the first of a row's spans alone carries the text
-    spans = numbered.select("_n", F.when(F.col("_p") == 0, F.col("_row")).alias("_row"), F.col("_e.start").alias("start"), F.col("_e.end").alias("end"), F.col("_e.text").alias("text"))
-    whole = spans.join(m, "text").groupBy("_n").agg(F.first("_row", ignorenulls=True).alias("_row"), F.sort_array(F.collect_list(F.struct("start", "end", "stand_in"))).alias("p"))
-    t = F.col("_row.t")
-    cut = F.aggregate("p", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), lambda acc, x: F.when(x["start"] >= acc["at"], F.struct(F.concat(acc["out"], F.substring(t, acc["at"].cast("int") + 1, (x["start"] - acc["at"]).cast("int")), x["stand_in"]).alias("out"), x["end"].alias("at"))).otherwise(acc))
-    done = whole.withColumn("_c", cut).select(F.col("_row.k").alias(key), F.concat("_c.out", F.substring(t, F.col("_c.at").cast("int") + 1, F.length(t))).alias("replaced"))
-    return detected.filter(F.size("entities") == 0).select(key, F.col(column).alias("replaced")).unionByName(done)
-
-
-def replacement_rate(detected: DataFrame) -> DataFrame:
-    """detected, replaced, rate (whole per cent) over all rows: an entity counts as replaced where the text at its place is its own."""
-    e = detected.select(F.col("text").alias("t"), F.explode("entities").alias("e"))
-    there = F.substring(F.col("t"), (F.col("e.start") + 1).cast("int"), (F.col("e.end") - F.col("e.start")).cast("int")) == F.col("e.text")
-    return e.agg(F.count("*").alias("detected"), F.count_if(there).alias("replaced")).withColumn("rate", F.when(F.col("detected") > 0, F.floor(F.col("replaced") * 100 / F.col("detected"))))
+    found = detected.select(F.col(order).alias("_o"), F.explode("entities").alias("e")).select("_o", F.col("e.start").alias("_s"), "e.text", "e.pii_type")
+    return standins.fresh(found, ["_o", "_s"])
+
+
+def replaced(detected: DataFrame, key: str, column: str = "text", dictionary: str | None = None) -> DataFrame:
+    """detected with the column replaced, and `replacements`; one row for each row of detected, whatever its key, by which originals are numbered."""
+    rows = stored(detected.withColumn("_n", F.monotonically_increasing_id()), "entities")
+    found = standins.of_fields(rows, {column: "entities"}, (key,))
+    place = ["_o0", "_n", "_start"]
+    table = standins.fresh(found, place) if dictionary is None else standins.extended(found, place, dictionary)
+    return standins.replaced(rows, {column: "entities"}, table).drop("_n")
 
 
 def suspicious_emails(text: Column) -> Column:
@@ -175,8 +135,3 @@ def spot_check(messages: DataFrame, files: int = 10) -> DataFrame:
     t = F.col("text")
     kinds = F.array(*[F.when(f(t), F.lit(w)) for f, w in ((suspicious_emails, "email"), (suspicious_phones, "phone"), (suspicious_names, "name"))])
     return text_fields(messages).join(F.broadcast(first), "id").select("id", "field", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("warning"))
-
-
-def register(spark: SparkSession) -> None:
-    """detect_pii(text) for SQL."""
-    spark.udf.register("detect_pii", F.udf(lambda t: [dict(zip(("pii_type", "text", "start", "end"), s, strict=True)) for s in detect_text(t or "")], SPANS, useArrow=True))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.mail import DEFAULTS
@@ -39,11 +41,51 @@ def own_label(name: Column, legacy: tuple[str, ...] = ()) -> Column:
     return name.isin(*sorted({*LABELS.values(), *legacy})) | name.startswith("Agentic/") | name.startswith(TEST_PREFIX)
 
 
-_ACTION = "struct<kind:string,label:string,reason:string,priority:tinyint>"
+#: An action; `target` is a label, a folder, an address or a custom action's name, by kind. Parameters are sorted by key.
+_ACTION = "struct<kind:string,target:string,note:string,reason:string,priority:tinyint,parameters:array<struct<key:string,value:string>>>"
+
+
+def _action(kind: str, target: Column | str | None = None, note: str | None = None, reason: str | None = None, priority: int | None = None, parameters: dict[str, str] | None = None) -> Column:
+    pairs = [F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in sorted((parameters or {}).items())]
+    target = target if isinstance(target, Column) else F.lit(target)
+    return F.struct(F.lit(kind).alias("kind"), target.cast("string").alias("target"), F.lit(note).cast("string").alias("note"), F.lit(reason).cast("string").alias("reason"), F.lit(priority).cast("tinyint").alias("priority"), (F.array(*pairs) if pairs else F.array().cast("array<struct<key:string,value:string>>")).alias("parameters"))
+
+
+def label(name: Column | str) -> Column:
+    return _action("Label", name)
+
+
+def archived() -> Column:
+    return _action("Archive")
+
+
+def important() -> Column:
+    return _action("MarkImportant")
+
+
+def read() -> Column:
+    return _action("MarkAsRead")
+
+
+def forward(to: str, note: str | None = None) -> Column:
+    return _action("Forward", to, note)
+
+
+def move(folder: str) -> Column:
+    return _action("MoveTo", folder)
+
+
+def nothing() -> Column:
+    return _action("NoAction")
+
 
+def custom(name: str, parameters: dict[str, str] | None = None) -> Column:
+    return _action("Custom", name, parameters=parameters)
 
-def _action(kind: str, label: Column | None = None, reason: str | None = None, priority: int | None = None) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), (label if label is not None else F.lit(None)).cast("string").alias("label"), F.lit(reason).cast("string").alias("reason"), F.lit(priority).cast("tinyint").alias("priority"))
+
+def escalation(reason: str, priority: int) -> Column:
+    """Priorities are 1 to 5."""
+    return _action("Escalate", reason=reason, priority=min(5, max(1, priority)))
 
 
 def without_runs(actions: Column) -> Column:
@@ -52,12 +94,11 @@ def without_runs(actions: Column) -> Column:
 
 
 def described(a: Column) -> Column:
-    """Forward, MoveTo and Custom keep their target in label; a custom action's priority is the number of its parameters."""
-    quoted = lambda head: F.concat(F.lit(f"{head} '"), a["label"], F.lit("'"))
+    quoted = lambda head: F.concat(F.lit(f"{head} '"), a["target"], F.lit("'"))
     texts = {"Label": quoted("Apply label"), "Archive": F.lit("Archive email"), "MarkImportant": F.lit("Mark as important"), "MarkAsRead": F.lit("Mark as read"), "MoveTo": quoted("Move to folder")}
-    texts["Forward"] = F.concat(F.lit("Forward to "), a["label"], F.coalesce(F.concat(F.lit(" with note: "), a["reason"]), F.lit("")))
+    texts["Forward"] = F.concat(F.lit("Forward to "), a["target"], F.coalesce(F.concat(F.lit(" with note: "), a["note"]), F.lit("")))
     texts["Escalate"] = F.concat(F.lit("Escalate (priority "), a["priority"].cast("string"), F.lit("): "), a["reason"])
-    texts["Custom"] = F.concat(quoted("Custom action"), F.lit(" with "), a["priority"].cast("string"), F.lit(" parameters"))
+    texts["Custom"] = F.concat(quoted("Custom action"), F.lit(" with "), F.size(a["parameters"]).cast("string"), F.lit(" parameters"))
     out = F.lit("No action needed")
     for kind, text in texts.items():
         out = F.when(a["kind"] == kind, text).otherwise(out)
@@ -77,11 +118,6 @@ def summary(actions: Column) -> Column:
     return F.when(F.size(actions) == 0, F.lit("No actions")).when(F.size(actions) == 1, texts[0]).otherwise(F.concat(F.size(actions).cast("string"), F.lit(" actions: "), F.array_join(texts, ", ")))
 
 
-def escalation(reason: str, priority: int) -> Column:
-    """Priorities are 1 to 5."""
-    return _action("Escalate", None, reason, min(5, max(1, priority)))
-
-
 def unit(x: float) -> float:
     """Thresholds and confidences are 0 to 1."""
     return min(1.0, max(0.0, x))
@@ -117,22 +153,63 @@ def agentic(name: Column) -> Column:
     return own_label(name, LEGACY)
 
 
-def route(classified: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """Adds actions, confidence, reasoning."""
-    threshold = unit(threshold)
+@dataclass(frozen=True)
+class Routing:
+    """What a router does: actions by category, below the threshold, and for urgent messages. `with_` gives a changed copy."""
+
+    categories: dict[str, list[Column]]
+    low_confidence: list[Column]
+    urgent: list[Column]
+    threshold: float = 0.7
+
+    @classmethod
+    def usual(cls) -> Routing:
+        made = lambda key: label(LABELS[key])
+        kept = {"ActionRequired": [made("actionrequired")], "InterestingInfo": [made("interestinginfo")]}
+        gone = {c: [made(c.lower()), archived()] for c in ("Reference", "Noise", "Spam")}
+        return cls(kept | gone, [made("needs_review")], [important(), escalation("High priority email", 4)])
+
+    def with_(self, *, category: str | None = None, actions: list[Column] | None = None, threshold: float | None = None, low_confidence: list[Column] | None = None, urgent: list[Column] | None = None) -> Routing:
+        categories = self.categories | ({category: actions or []} if category else {})
+        return Routing(categories, self.low_confidence if low_confidence is None else low_confidence, self.urgent if urgent is None else urgent, self.threshold if threshold is None else unit(threshold))
+
+
+def _array(actions: list[Column]) -> Column:
+    return F.array(*actions) if actions else F.array().cast(f"array<{_ACTION}>")
+
+
+def route(classified: DataFrame, routing: Routing | None = None) -> DataFrame:
+    """Adds actions, confidence, reasoning. A category without actions of its own is labelled with its human name; no actions at all are one that says so."""
+    r = routing or Routing.usual()
     confidence = F.coalesce("score", F.lit(1.0))
     human = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in HUMAN.items() for x in kv]), F.col("category")), F.col("category"))
-    usual = F.when(F.col("category").isin("Reference", "Noise", "Spam"), F.array(_action("Label", human), _action("Archive"))).otherwise(F.array(_action("Label", human)))
-    pressing = F.when(urgent(), F.array(_action("MarkImportant"), _action("Escalate", None, "High priority email", 4))).otherwise(F.array().cast(f"array<{_ACTION}>"))
-    actions = without_runs(F.concat(pressing, F.when(confidence < threshold, F.array(_action("Label", F.lit("needs-review")))).otherwise(usual)))
-    parts = F.concat_ws(", ", F.concat(F.lit("category: "), F.col("category")), F.when(urgent(), F.lit("urgent content")), F.when(confidence < threshold, F.lit("low confidence")))
-    return classified.withColumns({"actions": actions, "confidence": confidence, "reasoning": F.format_string("Rule-based routing: %s (confidence: %.2f)", parts, confidence)})
+    own = F.array(label(human))
+    for category, actions in r.categories.items():
+        own = F.when(F.col("category") == category, _array(actions)).otherwise(own)
+    low, pressing = confidence < r.threshold, urgent()
+    chosen = without_runs(F.concat(F.when(pressing, _array(r.urgent)).otherwise(_array([])), F.when(low, _array(r.low_confidence)).otherwise(own)))
+    why = F.concat_ws(", ", F.when(pressing, "urgent content detected"), F.when(low, F.format_string("low confidence (%.2f)", confidence)).otherwise(F.concat(F.lit("category: "), F.col("category"))), F.when(F.size(chosen) == 0, "no matching rules"))
+    return classified.withColumns({"actions": F.when(F.size(chosen) == 0, F.array(nothing())).otherwise(chosen), "confidence": confidence, "reasoning": F.format_string("Rule-based routing: %s (confidence: %.2f)", why, confidence)})
 
 
 def decided(classified: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Adds stay_in_inbox and why (what is reported) and archived (what is done): the two differ by design."""
-    why = F.when(F.col("category") == "ActionRequired", "Action required").when(urgent(URGENT_MAIN), "Urgent content").when(F.col("score") < threshold, "Low confidence")
-    return classified.withColumns({"stay_in_inbox": why.isNotNull(), "why": F.coalesce(why, F.lit("Auto-archive")), "archived": F.col("category") != "ActionRequired"})
+    why = F.when(F.col("category") == "ActionRequired", "Action required").when(urgent(URGENT_MAIN), "Urgent content detected").when(F.col("score") < threshold, F.format_string("Low confidence (%.2f) - needs review", "score"))
+    return classified.withColumns({"stay_in_inbox": why.isNotNull(), "why": F.coalesce(why, F.lit("Archived based on classification")), "archived": F.col("category") != "ActionRequired"})
+
+
+def dry_run(classified: DataFrame) -> DataFrame:
+    """Adds archived and urgent as a run without changes reports them: urgent is a matter of the subject alone."""
+    return classified.withColumns({"archived": F.col("category") != "ActionRequired", "urgent": F.contains(F.lower(F.coalesce("subject", F.lit(""))), F.lit("urgent"))})
+
+
+def inbox_report(run: DataFrame) -> DataFrame:
+    """One row for each category and one (category null) for all, of a run (category, archived, urgent, error): processed, errors, kept, archived, urgent, share (per cent of the processed, one decimal)."""
+    ok = F.col("error").isNull()
+    counts = run.rollup("category").agg(F.grouping("category").alias("_all"), F.count_if(ok).alias("processed"), F.count_if(~ok).alias("errors"), F.count_if(ok & ~F.col("archived")).alias("kept"), F.count_if(ok & F.col("archived")).alias("archived"), F.count_if(ok & F.col("urgent")).alias("urgent"))
+    total = F.max(F.when(F.col("_all") == 1, F.col("processed"))).over(Window.partitionBy())
+    # a window over the few categories; rows without one are errors, which the total alone counts
+    return counts.withColumn("share", F.when(total > 0, F.round(F.col("processed") * 100 / total, 1))).filter((F.col("_all") == 1) | F.col("category").isNotNull()).drop("_all")
 
 
 def stats(decided_: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -140,11 +217,39 @@ def stats(decided_: DataFrame, threshold: float = 0.7) -> DataFrame:
     return decided_.agg(F.count("*").alias("total"), F.count_if("stay_in_inbox").alias("kept"), F.count_if(~F.col("stay_in_inbox")).alias("archived"), F.count_if(urgent(URGENT_MAIN)).alias("urgent"), F.count_if(F.col("stay_in_inbox") & low).alias("needs_review"))
 
 
-def executed(classified: DataFrame) -> DataFrame:
-    """Audit rows: label applied, whether archived, summary."""
-    label = label_for(F.col("category"))
-    gone = F.col("category") != "ActionRequired"
-    return classified.select("id", "category", label.alias("label_applied"), gone.alias("archived"), F.concat(F.lit("Applied label '"), label, F.when(gone, F.lit("' and archived email")).otherwise(F.lit("'"))).alias("summary"))
+#: What errors of a kind begin with: those of reading messages and those of acting on them.
+FETCH_ERRORS = {"network": "Network error", "auth": "Authentication error", "config": "Configuration error", "unknown": "Unknown error"}
+ACTION_ERRORS = {"labeling_failed": "Labeling failed", "archive_failed": "Archive failed", "invalid_category": "Invalid category", "config": "Configuration error", "unknown": "Unknown action execution error"}
+
+
+def typed_error(kind: str, message: Column, kinds: dict[str, str] = ACTION_ERRORS) -> Column:
+    """An error beside the result: kind, message, and the text that is shown."""
+    return F.struct(F.lit(kind).alias("kind"), message.alias("message"), F.concat(F.lit(f"{kinds[kind]}: "), message).alias("shown"))
+
+
+def executed(classified: DataFrame, labels: DataFrame | None = None, order: str = "id") -> DataFrame:
+    """Audit rows: id, category, label_applied, archived, actions_taken, summary, error (kind, message, shown; null: done).
+
+    labels (name): those that a mailbox has; the first message by `order` that needs another one makes it. label_ids, if there,
+    tell messages that were archived before. Messages without an id, or of no known category, have an error and nothing else.
+    """
+    goes = F.col("category") != "ActionRequired"
+    no_id = F.coalesce(F.col("id").cast("string"), F.lit("")) == ""
+    wrong = ~F.coalesce(F.col("category").isin(*HUMAN), F.lit(False))
+    error = F.when(wrong, typed_error("invalid_category", F.coalesce("category", F.lit("")))).when(no_id, typed_error("labeling_failed", F.concat(F.lit("Failed to apply label '"), label_for(F.col("category")), F.lit("': Email ID cannot be empty"))))
+    rows = classified.withColumns({"_error": error, "_label": label_for(F.col("category"))})
+    made = F.lit(False)
+    if labels is not None:
+        missing = rows.filter("_error IS NULL").groupBy(F.col("_label").alias("name")).agg(F.min(order).alias("_first")).join(labels.select("name"), "name", "left_anti")
+        # one row for each label, of which there are as many as categories
+        rows = rows.join(F.broadcast(missing.withColumnRenamed("name", "_name")), F.col("_label") == F.col("_name"), "left")
+        made = F.coalesce(F.col("_first") == F.col(order), F.lit(False))
+    there = F.coalesce(F.array_contains("label_ids", "INBOX"), F.lit(False)) if "label_ids" in classified.columns else F.lit(True)
+    last = F.when(~goes, "Kept in inbox (ActionRequired category)").when(there, "Archived email (removed from inbox)").otherwise("Email was already archived")
+    taken = F.array_compact(F.array(F.concat(F.lit("Applied label: "), "_label"), F.when(made, F.concat(F.lit("Created new label: "), "_label")), last))
+    summary_ = F.concat(F.lit("Applied label '"), "_label", F.when(goes, F.lit("' and archived email")).otherwise(F.lit("' and kept in inbox (ActionRequired)")))
+    done = F.col("_error").isNull()
+    return rows.select("id", "category", F.when(done, F.col("_label")).alias("label_applied"), F.when(done, goes).alias("archived"), F.when(done, taken).alias("actions_taken"), F.when(done, summary_).alias("summary"), F.col("_error").alias("error"))
 
 
 def apply_labels(messages: DataFrame, labels: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -83,11 +83,11 @@ def _terms(term: str) -> tuple[bool, str, list[str]]:
 
 
 def holds(r: Rule) -> Column:
-    """Over columns c, d, raw, sub, all in lower case."""
+    """Over the struct _f of classify.features."""
 
     def one(term: str) -> Column:
         negated, column, options = _terms(term)
-        got = reduce(lambda a, b: a | b, [F.col(column).contains(o) for o in options])
+        got = reduce(lambda a, b: a | b, [F.col(f"_f.{column}").contains(o) for o in options])
         return ~got if negated else got
 
     return reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, map(one, alternative)) for alternative in r.any_of])

@@ -12,6 +12,7 @@ from ..functions import text as X
 from ..operators import analysis, classify, pii, route
 from ..operators import rules as R
 from ..sources import mail
+from . import cases
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -151,30 +152,83 @@ def classify_random(spark, sf_dir):
     return classify.random(mail.messages(spark, sf_dir)).select("id", "category", "score")
 
 
-_HUMAN = "CASE category WHEN 'ActionRequired' THEN 'Action Required' WHEN 'InterestingInfo' THEN 'Interesting' WHEN 'Noise' THEN 'Low Priority' ELSE category END"
+_LABEL = "CASE category WHEN 'ActionRequired' THEN 'Agentic/Action Required' WHEN 'InterestingInfo' THEN 'Agentic/Interesting' WHEN 'Reference' THEN 'Agentic/Reference' WHEN 'Noise' THEN 'Agentic/Low Priority' WHEN 'Spam' THEN 'Agentic/Spam' END"
+_REASON = lambda urgent: f"'Rule-based routing: ' || CASE WHEN {urgent} THEN 'urgent content detected, ' ELSE '' END || CASE WHEN score < 0.7 THEN printf('low confidence (%.2f)', score) ELSE 'category: ' || category END || printf(' (confidence: %.2f)', score)"
+_ACTIONS = lambda urgent: f"CASE WHEN {urgent} THEN 'Mark as important; Escalate (priority 4): High priority email; ' ELSE '' END || CASE WHEN score < 0.7 THEN 'Apply label ''Agentic/Needs Review''' ELSE 'Apply label ''' || {_LABEL} || '''' || CASE WHEN category IN ('Reference', 'Noise', 'Spam') THEN '; Archive email' ELSE '' END END"
+_WHY = lambda urgent: f"CASE WHEN category = 'ActionRequired' THEN 'Action required' WHEN {urgent} THEN 'Urgent content detected' WHEN score < 0.7 THEN printf('Low confidence (%.2f) - needs review', score) ELSE 'Archived based on classification' END"
+
 
+def _routed(messages: DataFrame) -> DataFrame:
+    return route.route(classify.by_rules(messages)).select("id", F.array_join(F.transform("actions", route.described), "; ").alias("actions"), "reasoning")
 
-@_query(f"WITH {_RULED} SELECT id, CASE WHEN {_URGENT(route.URGENT)} THEN 'Mark as important; Escalate (priority 4): High priority email; ' ELSE '' END || CASE WHEN score < 0.7 THEN 'Apply label ''needs-review''' ELSE 'Apply label ''' || {_HUMAN} || '''' || CASE WHEN category IN ('Reference', 'Noise', 'Spam') THEN '; Archive email' ELSE '' END END AS actions FROM r")
+
+@_query(f"WITH {_RULED} SELECT id, {_ACTIONS(_URGENT(route.URGENT))} AS actions, {_REASON(_URGENT(route.URGENT))} AS reasoning FROM r")
 def route_actions(spark, sf_dir):
-    return route.route(_ruled(spark, sf_dir)).select("id", F.array_join(F.transform("actions", route.described), "; ").alias("actions"))
+    return _routed(mail.messages(spark, sf_dir))
 
 
 _KEEP = f"(category = 'ActionRequired' OR {_URGENT(route.URGENT_MAIN)} OR score < 0.7)"
 
 
-@_query(f"WITH {_RULED} SELECT id, {_KEEP} AS stay_in_inbox, category <> 'ActionRequired' AS archived FROM r")
+@_query(f"WITH {_RULED} SELECT id, {_KEEP} AS stay_in_inbox, {_WHY(_URGENT(route.URGENT_MAIN))} AS why, category <> 'ActionRequired' AS archived FROM r")
 def stay_in_inbox(spark, sf_dir):
-    return route.decided(_ruled(spark, sf_dir)).select("id", "stay_in_inbox", "archived")
+    return route.decided(_ruled(spark, sf_dir)).select("id", "stay_in_inbox", "why", "archived")
 
 
-_LABEL = "CASE category WHEN 'ActionRequired' THEN 'Agentic/Action Required' WHEN 'InterestingInfo' THEN 'Agentic/Interesting' WHEN 'Reference' THEN 'Agentic/Reference' WHEN 'Noise' THEN 'Agentic/Low Priority' WHEN 'Spam' THEN 'Agentic/Spam' END"
+_SUMMARY = f"'Applied label ''' || {_LABEL} || '''' || CASE WHEN category <> 'ActionRequired' THEN ' and archived email' ELSE ' and kept in inbox (ActionRequired)' END"
 
 
-@_query(f"WITH {_RULED} SELECT id, {_LABEL} AS label_applied, category <> 'ActionRequired' AS archived, 'Applied label ''' || {_LABEL} || '''' || CASE WHEN category <> 'ActionRequired' THEN ' and archived email' ELSE '' END AS summary FROM r")
+@_query(f"WITH {_RULED} SELECT id, {_LABEL} AS label_applied, category <> 'ActionRequired' AS archived, {_SUMMARY} AS summary FROM r")
 def execute_summary(spark, sf_dir):
     return route.executed(_ruled(spark, sf_dir)).select("id", "label_applied", "archived", "summary")
 
 
+# --- literal messages, each met by a share of the documents ---
+@_query(f"WITH {cases.SQL} SELECT id, category, CAST(score AS DOUBLE) AS score FROM m")
+def rules_of_cases(spark, sf_dir):
+    return classify.by_rules(cases.messages(spark, sf_dir)).select("id", "category", "score")
+
+
+@_query(f"WITH {cases.SQL} SELECT id, sure_category AS category, CAST(sure_score AS DOUBLE) AS score FROM m WHERE sure_category IS NOT NULL")
+def hybrid_rules_of_cases(spark, sf_dir):
+    f = classify.features(cases.messages(spark, sf_dir)).withColumn("r", R.decide(R.HIGH_CONFIDENCE, (None, None)))
+    return f.filter(F.col("r.category").isNotNull()).select("id", "r.category", "r.score")
+
+
+@_query(f"WITH {cases.SQL} SELECT id, fall_category AS category, CAST(fall_score AS DOUBLE) AS score FROM m")
+def hybrid_fallback_of_cases(spark, sf_dir):
+    return classify.features(cases.messages(spark, sf_dir)).withColumn("r", R.decide(R.FALLBACK)).select("id", "r.category", "r.score")
+
+
+@_query(f"WITH {cases.SQL} SELECT id, router_urgent, main_urgent, dry_urgent FROM m")
+def urgency_of_cases(spark, sf_dir):
+    m = route.dry_run(classify.fixed(cases.messages(spark, sf_dir), "Noise", None))
+    return m.select("id", route.urgent().alias("router_urgent"), route.urgent(route.URGENT_MAIN).alias("main_urgent"), F.col("urgent").alias("dry_urgent"))
+
+
+@_query(f"WITH {cases.SQL} SELECT id, {_ACTIONS('router_urgent')} AS actions, {_REASON('router_urgent')} AS reasoning FROM m")
+def routes_of_cases(spark, sf_dir):
+    return _routed(cases.messages(spark, sf_dir))
+
+
+@_query(f"WITH {cases.SQL} SELECT id, (category = 'ActionRequired' OR main_urgent OR score < 0.7) AS stay_in_inbox, {_WHY('main_urgent')} AS why, category <> 'ActionRequired' AS archived FROM m")
+def inbox_of_cases(spark, sf_dir):
+    return route.decided(classify.by_rules(cases.messages(spark, sf_dir))).select("id", "stay_in_inbox", "why", "archived")
+
+
+@_query(f"WITH {cases.SQL}, a AS (SELECT *, {_LABEL} AS label FROM m), f AS (SELECT label, min(id) AS id FROM a WHERE label NOT LIKE '%e%n%' GROUP BY label) SELECT a.id, a.label AS label_applied, 'Applied label: ' || a.label || CASE WHEN f.id IS NOT NULL THEN '; Created new label: ' || a.label ELSE '' END || CASE WHEN category = 'ActionRequired' THEN '; Kept in inbox (ActionRequired category)' WHEN CAST(a.id AS BIGINT) % 3 = 0 THEN '; Email was already archived' ELSE '; Archived email (removed from inbox)' END AS actions_taken, {_SUMMARY} AS summary FROM a LEFT JOIN f ON f.label = a.label AND f.id = a.id")
+def executed_in_mailbox(spark, sf_dir):
+    m = classify.by_rules(cases.messages(spark, sf_dir)).withColumn("label_ids", F.when(F.col("id").cast("long") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("INBOX"))))
+    had = m.select(route.label_for(F.col("category")).alias("name")).distinct().filter("name LIKE '%e%n%'")
+    return route.executed(m, had).select("id", "label_applied", F.array_join("actions_taken", "; ").alias("actions_taken"), "summary")
+
+
+@_query(f"WITH {cases.SQL}, g AS (SELECT category, count(*) AS processed, count(*) FILTER (category = 'ActionRequired') AS kept, count(*) FILTER (category <> 'ActionRequired') AS archived, count(*) FILTER (dry_urgent) AS urgent FROM m GROUP BY ROLLUP (category)) SELECT category, processed, CAST(0 AS BIGINT) AS errors, kept, archived, urgent, round(processed * 100 / (SELECT max(processed) FROM g), 1) AS share FROM g")
+def full_inbox_report(spark, sf_dir):
+    run = route.dry_run(classify.by_rules(cases.messages(spark, sf_dir))).withColumn("error", F.lit(None).cast("string"))
+    return route.inbox_report(run)
+
+
 @_query(f"WITH {_RULED} SELECT category, count(*) AS n, round(avg(score), 6) AS mean_score FROM r GROUP BY category")
 def category_counts(spark, sf_dir):
     return _ruled(spark, sf_dir).groupBy("category").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
@@ -224,10 +278,10 @@ def audit_counts(spark, sf_dir):
     return mail.table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@_query("SELECT * FROM (VALUES ('ActionRequired', 'Agentic/Action Required', 'TEST_Agentic/Action Required'), ('InterestingInfo', 'Agentic/Interesting', 'TEST_Agentic/Interesting'), ('Reference', 'Agentic/Reference', 'TEST_Agentic/Reference'), ('Noise', 'Agentic/Low Priority', 'TEST_Agentic/Low Priority'), ('Spam', 'Agentic/Spam', 'TEST_Agentic/Spam')) t(category, label, test_label)")
+@_query(f"WITH {cases.SQL} SELECT category, {_LABEL} AS label, 'TEST_' || {_LABEL} AS test_label, count(*) AS n FROM m GROUP BY category")
 def label_dim_lookup(spark, sf_dir):
-    c = spark.createDataFrame([(x,) for x in classify.CATEGORIES], "category string")
-    return c.select("category", route.label_for(F.col("category")).alias("label"), route.test_label(F.col("category")).alias("test_label"))
+    c = classify.by_rules(cases.messages(spark, sf_dir)).groupBy("category").agg(F.count("*").alias("n"))
+    return c.select("category", route.label_for(F.col("category")).alias("label"), route.test_label(F.col("category")).alias("test_label"), "n")
 
 
 @_query("SELECT conv_id, array_to_string(list_sort(list(DISTINCT 'label_' || role)), ',') AS labels FROM conversations GROUP BY conv_id")
@@ -270,32 +324,111 @@ def llm_json_parse(spark, sf_dir):
     return mail.table(spark, sf_dir, "documents").select("doc_id", classify.parse_reply(reply)["category"].alias("category"))
 
 
-_FOUND = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
+# --- spans in DuckDB's dialect: matches, gaps between them, and the first overlap's winner, one span after the other ---
+_QUOTED = lambda p: p.replace("'", "''")
+
+
+def _sql_places(text: str, pattern: str, kind: str) -> str:
+    p = _QUOTED(pattern.replace(r"\s", _BLANK).replace(r"\d", r"\p{Nd}"))
+    return f"list_transform(range(1, len(regexp_extract_all({text}, '{p}')) + 1), lambda k: {{'s': list_sum(list_transform(string_split_regex({text}, '{p}')[1:k], lambda g: length(g))) + coalesce(list_sum(list_transform(regexp_extract_all({text}, '{p}')[1:k - 1], lambda h: length(h))), 0), 'kind': '{kind}', 't': regexp_extract_all({text}, '{p}')[k]}})"
+
+
+_SPAN_END = lambda x: f"{x}.s + length({x}.t)"
+
+
+def _sql_merged(found: str, wins: str, typed: str = "STRUCT(s HUGEINT, kind VARCHAR, t VARCHAR)") -> str:
+    """wins: over x[1] (new) and o (old)."""
+    hit = f"x[1].s < {_SPAN_END('o')} AND o.s < {_SPAN_END('x[1]')}"
+    first = f"coalesce(list_position(list_transform(acc, lambda o: {hit}), true), 0)"
+    return f"list_reduce([CAST([] AS {typed}[])] || list_transform({found}, lambda y: [y]), lambda acc, x: CASE WHEN {first} = 0 THEN acc || x ELSE list_transform(acc, lambda o, i: CASE WHEN i = {first} AND ({wins}) THEN x[1] ELSE o END) END)"
 
 
-@_query(f"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_FOUND}')) AS e FROM documents) GROUP BY doc_id")
+_BYTES = lambda x: f"octet_length(encode({x}))"
+_LONGER = f"{_BYTES('x[1].t')} > {_BYTES('o.t')}"
+_DIGITS = "regexp_replace(trim(split_part(f.t, 'ext', 1)), '[^0-9]', '', 'g')"
+_PHONE_OK = f"CASE WHEN starts_with(trim(f.t), '+') AND length({_DIGITS}) BETWEEN 7 AND 15 THEN true ELSE regexp_full_match({_DIGITS}, '1?[2-9][0-9]{{9}}') END"
+_PLAIN_MAIL = "replace(replace(replace(replace(trim(f.t, '<>\"'), '[at]', '@'), '(at)', '@'), '[dot]', '.'), '(dot)', '.')"
+_EMAIL_OK = f"len(string_split({_PLAIN_MAIL}, '@')) = 2 AND {_BYTES(f'split_part({_PLAIN_MAIL}, {chr(39)}@{chr(39)}, 1)')} BETWEEN 1 AND 64 AND {_BYTES(f'split_part({_PLAIN_MAIL}, {chr(39)}@{chr(39)}, 2)')} BETWEEN 1 AND 253 AND regexp_full_match(split_part({_PLAIN_MAIL}, '@', 2), '(?s)[^.]+(\\.[^.]+)*\\.[^.]{{2,}}')"
+_LOCATION_OK = r"NOT regexp_matches(f.t, '\b[1-9][0-9]{3}\b') AND ((regexp_matches(f.t, '^[0-9]+[ ]') AND coalesce(TRY_CAST(regexp_extract(f.t, '^[0-9]+') AS BIGINT), 0) BETWEEN 1000 AND 99999) OR regexp_matches(f.t, 'mann|berg|hof|weg|gasse|strasse|str\.') OR (contains(f.t, '-') AND octet_length(encode(f.t)) <= 8))"
+
+
+def _sql_found(text: str, kind: str, patterns: list[str], ok: str) -> str:
+    every = " || ".join(_sql_places(text, p, kind) for p in patterns)
+    return f"list_sort({_sql_merged(f'list_filter({every}, lambda f: {ok})', _LONGER)})"
+
+
+_CITY = r"\b(?:" + "|".join(c.replace(".", r"\.") for c in pii.CITIES) + r")\b"
+#: Texts that hold none of what patterns begin with have no span: what is costly is made for the others alone.
+_MAYBE = rf"regexp_matches(text, '[0-9@]|\[at\]|\(at\)|{_QUOTED(_CITY)}')"
+
+
+def _sql_spans(source: str, key: str) -> str:
+    """p (key, text, phones, emails, places, cities), e (key, text, spans): resolved spans of the rows of source that have any."""
+    return f"""p AS MATERIALIZED (SELECT {key}, text, {_sql_found('text', 'phone', pii.PHONE, _PHONE_OK)} AS phones, {_sql_found('text', 'email', pii.EMAIL, _EMAIL_OK)} AS emails, {_sql_found('text', 'location', pii.LOCATION, _LOCATION_OK)} AS places, {_sql_places('text', _CITY, 'location')} AS cities FROM {source} WHERE {_MAYBE}),
+q AS MATERIALIZED (SELECT {key}, text, phones, emails, list_sort(places || list_filter(cities, lambda c: len(list_filter(places, lambda o: c.s < {_SPAN_END('o')} AND o.s < {_SPAN_END('c')})) = 0)) AS places FROM p),
+e AS MATERIALIZED (SELECT {key}, text, {_sql_merged('list_sort(list_transform(phones || emails || places, lambda y, i: {"s": y.s, "i": i, "y": y}))'.replace(chr(34), chr(39)).replace("list_sort(", "list_transform(list_sort(", 1) + ", lambda z: z.y)", _LONGER)} AS spans FROM q)"""
+
+
+_EXPLODED = "x AS (SELECT doc_id, text, unnest(spans) AS z FROM e)"
+
+
+def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(mail.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query(f"WITH {_sql_spans('documents', 'doc_id')} SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(emails) AS m FROM q) GROUP BY doc_id")
 def email_spans_text(spark, sf_dir):
-    return pii.detect(mail.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.size(F.filter("entities", lambda e: e["pii_type"] == "email")).cast("long").alias("n")).filter("n > 0")
+    found = mail.table(spark, sf_dir, "documents").select("doc_id", F.size(pii.email_spans(F.coalesce("text", F.lit("")))).cast("long").alias("n"))
+    return found.filter("n > 0")
 
 
-@_query()
+@_query(f"WITH {_sql_spans('documents', 'doc_id')} SELECT doc_id, m.t AS phone, CAST(m.s AS BIGINT) AS start, CAST({_SPAN_END('m')} AS BIGINT) AS \"end\" FROM (SELECT doc_id, unnest(phones) AS m FROM q)")
+def phone_spans_text(spark, sf_dir):
+    return mail.table(spark, sf_dir, "documents").select("doc_id", F.explode(pii.phone_spans(F.coalesce("text", F.lit("")))).alias("s")).select("doc_id", F.col("s.text").alias("phone"), "s.start", "s.end")
+
+
+@_query(f"WITH {_sql_spans('documents', 'doc_id')}, {_EXPLODED} SELECT doc_id, z.kind AS pii_type, z.t AS found, CAST(z.s AS BIGINT) AS start, CAST({_SPAN_END('z')} AS BIGINT) AS \"end\", CAST({_BYTES('substring(text, 1, CAST(z.s AS BIGINT))')} AS BIGINT) AS byte_start FROM x")
 def pii_spans(spark, sf_dir):
-    return pii.detect(mail.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode("entities").alias("e"), "text").select("doc_id", "e.pii_type", F.col("e.text").alias("found"), "e.start", "e.end", pii.byte_offset(F.col("text"), F.col("e.start").cast("int")).alias("byte_start"))
+    return _detected(spark, sf_dir).select("doc_id", F.explode("entities").alias("e"), "text").select("doc_id", "e.pii_type", F.col("e.text").alias("found"), "e.start", "e.end", pii.byte_offset(F.col("text"), F.col("e.start").cast("int")).alias("byte_start"))
 
 
-@_query()
+@_query(f"WITH {_sql_spans('documents', 'doc_id')}, {_EXPLODED} SELECT z.kind AS pii_type, count(*) AS n FROM x GROUP BY z.kind")
 def pii_counts_by_type(spark, sf_dir):
-    return pii.detect(mail.table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.explode("entities.pii_type").alias("pii_type")).groupBy("pii_type").agg(F.count("*").alias("n"))
+    return _detected(spark, sf_dir).select(F.explode("entities.pii_type").alias("pii_type")).groupBy("pii_type").agg(F.count("*").alias("n"))
 
 
-@_query()
+_PICK = lambda words, by: f"list_extract([{', '.join(chr(39) + w + chr(39) for w in words)}], CAST(seed * {by} % {len(words)} + 1 AS INTEGER))"
+_MADE = f"{_PICK(fake.USERS, 11)} || CAST(seed % 999 + 1 AS VARCHAR) || '@' || {_PICK(fake.DOMAINS, 7)}"
+_SPELT = lambda a, d: f"replace(replace({_MADE}, '@', ' {a} '), '.', ' {d} ')"
+_STAND_IN = f"""CASE kind WHEN 'phone' THEN '(' || {_PICK(fake.AREAS, 11)} || ') ' || CAST(1000 + seed % 900 AS VARCHAR) || '-' || CAST(1000 + seed * 17 % 9000 AS VARCHAR)
+ WHEN 'email' THEN CASE WHEN text LIKE '<%>' THEN '<' || {_MADE} || '>' WHEN text LIKE '"%"' THEN '"' || {_MADE} || '"' WHEN contains(text, '[at]') THEN {_SPELT('[at]', '[dot]')} WHEN contains(text, '(at)') THEN {_SPELT('(at)', '(dot)')} ELSE {_MADE} END
+ ELSE CASE WHEN regexp_matches(text, '^[0-9]') THEN {_PICK(fake.POSTAL, 7)} || ' ' || {_PICK(fake.CITIES, 11)} WHEN regexp_matches(text, 'mann|gasse|str') THEN CAST(100 + seed % 900 AS VARCHAR) || ' ' || {_PICK(fake.STREETS, 13)} ELSE {_PICK(fake.PLACES, 17)} END END"""
+
+
+def _sql_dictionary(spans: str, order: str) -> str:
+    """d (text, kind, seed, stand_in) from spans (z and the columns of order)."""
+    return f"o AS (SELECT z.t AS text, arg_min(z.kind, {order}) AS kind, min({order}) AS place FROM {spans} GROUP BY z.t), n AS (SELECT text, kind, row_number() OVER (ORDER BY place) - 1 AS seed FROM o), d AS MATERIALIZED (SELECT text, kind, seed, {_STAND_IN} AS stand_in FROM n)"
+
+
+@_query(f"WITH {_sql_spans('documents', 'doc_id')}, {_EXPLODED}, {_sql_dictionary('x', '(doc_id, z.s)')} SELECT text, kind AS pii_type, seed, stand_in FROM d")
 def replacement_map(spark, sf_dir):
-    return pii.mapping(pii.detect(mail.table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id").select("text", "pii_type", "seed", "stand_in")
+    return pii.mapping(_detected(spark, sf_dir), "doc_id").select("text", "pii_type", "seed", "stand_in")
 
 
-@_query()
+def _sql_written(key: str) -> str:
+    """r (key, new, log): texts with stand-ins, from x (key, text, z) and d, spans that don't overlap."""
+    gap = "substring(text, CAST(coalesce({end}, 0) AS BIGINT) + 1, CAST(z.s - coalesce({end}, 0) AS BIGINT))".format(end=f"lag({_SPAN_END('z')}) OVER (PARTITION BY {key} ORDER BY z.s)")
+    return f"y AS (SELECT {key}, x.text AS whole, z.s AS s, {_SPAN_END('z')} AS stop, {gap.replace('substring(text', 'substring(x.text')} AS gap, z.kind AS kind, z.t AS original, stand_in FROM x JOIN d ON d.text = z.t), r AS (SELECT {key}, string_agg(gap || stand_in, '' ORDER BY s) || substring(any_value(whole), CAST(max(stop) AS BIGINT) + 1) AS new, count(*) AS n FROM y GROUP BY {key})"
+
+
+@_query(f"WITH {_sql_spans('documents', 'doc_id')}, {_EXPLODED}, {_sql_dictionary('x', '(doc_id, z.s)')}, {_sql_written('doc_id')} SELECT doc_id, CASE WHEN r.doc_id IS NULL THEN text ELSE new END AS replaced, coalesce(n, 0) AS n FROM documents LEFT JOIN r USING (doc_id)")
 def replaced_text(spark, sf_dir):
-    return pii.replaced(pii.detect(mail.table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
+    return pii.replaced(_detected(spark, sf_dir), "doc_id").select("doc_id", F.col("text").alias("replaced"), F.size("replacements").cast("long").alias("n"))
+
+
+@_query(f"WITH {_sql_spans('documents', 'doc_id')}, {_EXPLODED}, {_sql_dictionary('x', '(doc_id, z.s)')}, {_sql_written('doc_id')} SELECT doc_id, kind AS pii_type, original, stand_in, CAST(sum({_BYTES('gap')}) OVER w + coalesce(sum({_BYTES('stand_in')}) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS position FROM y WINDOW w AS (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING)")
+def replacement_log(spark, sf_dir):
+    return pii.replaced(_detected(spark, sf_dir), "doc_id").select("doc_id", F.explode("replacements").alias("r")).select("doc_id", "r.pii_type", "r.original", "r.stand_in", "r.position")
 
 
 _LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
@@ -363,7 +496,7 @@ def recording_stats(spark, sf_dir):
 _QUIET = "category IN ('Reference', 'Noise', 'Spam') AND score >= 0.7"
 
 
-@_query(f"WITH {_RULED}, u AS (SELECT id, {_URGENT(route.URGENT)} AS high, CASE WHEN score < 0.7 THEN ['Apply label ''needs-review'''] ELSE ['Apply label ''' || {_HUMAN} || ''''] END || CASE WHEN {_QUIET} THEN ['Archive email'] ELSE [] END AS texts FROM r), w AS (SELECT id, high, CASE WHEN high THEN ['Mark as important', 'Escalate (priority 4): High priority email'] ELSE [] END || texts AS texts FROM u) SELECT id, high, CASE WHEN len(texts) = 1 THEN texts[1] ELSE CAST(len(texts) AS VARCHAR) || ' actions: ' || array_to_string(texts, ', ') END AS summary FROM w")
+@_query(f"WITH {_RULED}, u AS (SELECT id, {_URGENT(route.URGENT)} AS high, CASE WHEN score < 0.7 THEN ['Apply label ''Agentic/Needs Review'''] ELSE ['Apply label ''' || {_LABEL} || ''''] END || CASE WHEN {_QUIET} THEN ['Archive email'] ELSE [] END AS texts FROM r), w AS (SELECT id, high, CASE WHEN high THEN ['Mark as important', 'Escalate (priority 4): High priority email'] ELSE [] END || texts AS texts FROM u) SELECT id, high, CASE WHEN len(texts) = 1 THEN texts[1] ELSE CAST(len(texts) AS VARCHAR) || ' actions: ' || array_to_string(texts, ', ') END AS summary FROM w")
 def actions_summary(spark, sf_dir):
     return route.route(_ruled(spark, sf_dir)).select("id", route.any_high_priority(F.col("actions")).alias("high"), route.summary(F.col("actions")).alias("summary"))
 

@@ -75,29 +75,6 @@ def test_addresses():
     assert names.address_strings("no array") == [] and names.address_strings('x ["a"] y') == ["a"]
 
 
-def test_names_and_patterns_together(spark):
-    d = spark.createDataFrame([(1, "Ann Lee, a@b.example"), (2, "boom"), (3, None)], "id long, text string")
-
-    def ask(prompts):
-        return ["oops" if "boom" in p else "[]" if "address" in p else '["Ann Lee"]' for p in prompts]
-
-    got = {r.id: ([(e.pii_type, e.text) for e in r.entities], r.error is None) for r in names.detect_all(d, ask).collect()}
-    assert got == {1: ([("name", "Ann Lee"), ("email", "a@b.example")], True), 2: ([], False), 3: ([], True)}
-    m = spark.createDataFrame([mail.message("1", "Ann Lee", "none", body="a@b.example"), mail.message("2", "boom")], mail.MESSAGE)
-    new, errors = names.anonymised(m, ask, "id")
-    rows = {r.id: r for r in new.collect()}
-    assert set(rows) == {"1"} and "Ann" not in rows["1"].subject and "b.example" not in rows["1"].body and rows["1"].snippet == "none"
-    assert [(r.id, r.column) for r in errors.collect()] == [("2", "subject")]
-
-
-def test_every_row_is_replaced_whatever_its_key(spark):
-    d = spark.createDataFrame([(None, "to a@b.example"), (1, "first c@d.example"), (1, "second e@f.example."), (2, "none")], "id long, text string")
-    got = [r.replaced for r in pii.replaced(pii.detect(d), "id").collect()]
-    assert len(got) == 4 and "none" in got and not any("b.example" in t or "d.example" in t or "f.example" in t for t in got)
-    assert sum(t.startswith("second ") and t.endswith(".") for t in got) == 1
-    assert pii.replacement_rate(pii.detect(d)).first()[:] == (3, 3, 100)
-
-
 @pytest.mark.parametrize("text, hit", [("me@corp.io", True), ("user12@corp.io", False), ("x@example.com", False), ("", False)])
 def test_real_emails(spark, text, hit):
     assert spark.range(1).select(pii.suspicious_emails(F.lit(text))).first()[0] == hit
@@ -109,17 +86,52 @@ def test_spot_check(spark):
 
 
 def test_action_texts(spark):
-    kinds = [("Label", "x", None, None), ("Archive", None, None, None), ("Forward", "a@b", "n", None), ("MoveTo", "f", None, None), ("Escalate", None, "r", 4), ("NoAction", None, None, None)]
-    a = spark.createDataFrame([(kinds,), ([],), (kinds[:1],)], f"actions array<{route._ACTION}>")
-    rows = a.select(F.transform("actions", route.described), route.summary(F.col("actions")), route.any_high_priority(F.col("actions"))).collect()
-    assert rows[0][0] == ["Apply label 'x'", "Archive email", "Forward to a@b with note: n", "Move to folder 'f'", "Escalate (priority 4): r", "No action needed"]
-    assert rows[0][1].startswith("6 actions: Apply") and rows[0][2] and rows[1][1] == "No actions" and not rows[2][2]
-    assert spark.range(1).select(route.escalation("r", 9)["priority"]).first()[0] == 5 and route.unit(2.0) == 1.0
+    kinds = [route.label("x"), route.archived(), route.forward("a@b", "n"), route.move("f"), route.escalation("r", 9), route.nothing(), route.custom("c", {"b": "1", "a": "2"}), route.read(), route.important(), route.forward("a@b")]
+    row = spark.range(1).select(F.transform(F.array(*kinds), route.described), route.summary(F.array(*kinds)), route.any_high_priority(F.array(*kinds)), route.summary(F.array(kinds[0])), route.any_high_priority(F.array(*kinds[:2])), kinds[4]["priority"], kinds[6]["parameters"]).first()
+    assert row[0] == ["Apply label 'x'", "Archive email", "Forward to a@b with note: n", "Move to folder 'f'", "Escalate (priority 5): r", "No action needed", "Custom action 'c' with 2 parameters", "Mark as read", "Mark as important", "Forward to a@b"]
+    assert row[1].startswith("10 actions: Apply") and row[2] and row[3] == "Apply label 'x'" and not row[4] and row[5] == 5 and [p.key for p in row[6]] == ["a", "b"]
+    assert route.unit(2.0) == 1.0
     assert len(route.production_labels()) == 12 and route.test_labels()[0] == "TEST_ActionRequired"
     names_ = spark.createDataFrame([("AGENT_NOISE",), ("Agentic/X",), ("TEST_a",), ("Other",)], "name string")
     assert names_.filter(route.agentic(F.col("name"))).count() == 3
 
 
+def routed(spark, category, score, subject="Some mail", routing=None):
+    m = spark.createDataFrame([(*mail.message("1", subject), category, score)], f"{MESSAGE_DDL}, category string, score double")
+    r = route.route(m, routing).first()
+    return [(a.kind, a.target) for a in r.actions], r.reasoning, r.confidence
+
+
+MESSAGE_DDL = "id string, subject string, snippet string, `from` string, `to` array<string>, sent string, body string"
+
+
+def test_routes(spark):
+    assert routed(spark, "ActionRequired", 0.9) == ([("Label", "Agentic/Action Required")], "Rule-based routing: category: ActionRequired (confidence: 0.90)", 0.9)
+    assert routed(spark, "InterestingInfo", 0.3) == ([("Label", "Agentic/Needs Review")], "Rule-based routing: low confidence (0.30) (confidence: 0.30)", 0.3)
+    assert routed(spark, "Spam", 0.95)[0] == [("Label", "Agentic/Spam"), ("Archive", None)]
+    assert routed(spark, "Other", None) == ([("Label", "Other")], "Rule-based routing: category: Other (confidence: 1.00)", 1.0)
+    actions, why, _ = routed(spark, "ActionRequired", 0.8, "URGENT: Action Required")
+    assert [a for a, _ in actions] == ["MarkImportant", "Escalate", "Label"] and why == "Rule-based routing: urgent content detected, category: ActionRequired (confidence: 0.80)"
+    usual = route.Routing.usual()
+    assert routed(spark, "Spam", 0.95, routing=usual.with_(category="Spam", actions=[]))[:2] == ([("NoAction", None)], "Rule-based routing: category: Spam, no matching rules (confidence: 0.95)")
+    assert routed(spark, "Noise", 0.75, routing=usual.with_(threshold=0.8, low_confidence=[route.move("later")]))[0] == [("MoveTo", "later")]
+    assert usual.with_(threshold=7).threshold == 1.0 and usual.threshold == 0.7
+
+
+def test_errors_stand_beside_the_results(spark):
+    rows = spark.createDataFrame([("1", "Noise"), ("", "Noise"), ("3", "Odd"), ("4", None)], "id string, category string")
+    got = {r.id: r for r in route.executed(rows).collect()}
+    assert got["1"].error is None and got["1"].actions_taken == ["Applied label: Agentic/Low Priority", "Archived email (removed from inbox)"]
+    assert got[""].error.kind == "labeling_failed" and got[""].summary is None and got[""].error.shown.startswith("Labeling failed: Failed to apply label 'Agentic/Low Priority'")
+    assert got["3"].error.shown == "Invalid category: Odd" and got["4"].error.kind == "invalid_category"
+
+
+def test_report_of_a_run(spark):
+    run = spark.createDataFrame([("Noise", True, False, None), ("Noise", True, True, None), ("ActionRequired", False, False, None), (None, None, None, "down")], "category string, archived boolean, urgent boolean, error string")
+    got = {r.category: (r.processed, r.errors, r.kept, r.archived, r.urgent, r.share) for r in route.inbox_report(run).collect()}
+    assert got == {None: (3, 1, 1, 2, 1, 100.0), "Noise": (2, 0, 0, 2, 1, 66.7), "ActionRequired": (1, 0, 1, 0, 0, 33.3)}
+
+
 def test_mailbox_state(spark):
     m = spark.createDataFrame([("1", ["INBOX", "l"]), ("", ["INBOX"]), ("2", [])], "id string, label_ids array<string>")
     assert {r.id: r.description for r in route.archive(m).collect()} == {"1": "Archived", "": "Email ID cannot be empty", "2": "Email was already archived"}
@@ -149,11 +161,15 @@ def test_files_and_recordings(spark, tmp_path):
 
 
 def test_model_classifier(spark):
-    def ask(df):
-        return df.withColumn("reply", F.when(F.col("id") == "1", '{"category": "Noise", "score": 0.5, "explanation": "e"}').when(F.col("id") == "2", "?"))
+    def ask(prompts):
+        if any("lottery" in p for p in prompts):
+            raise OSError("down")
+        return ['{"category": "Noise", "score": 0.5, "explanation": "e"}' if "annual" in p else "?" for p in prompts]
 
     got = {r.id: (r.category, r.error) for r in classify.by_model(mail.demo(spark), ask).collect()}
-    assert got["1"] == ("Noise", None) and got["2"][1] == "no valid answer in the reply" and got["3"][1] == "no reply"
+    assert got == {"1": ("Noise", None), "2": (None, "no valid answer in the reply"), "3": (None, "no valid answer in the reply"), "4": (None, "OSError: down"), "5": (None, "no valid answer in the reply")}
+    rest = {r.id: r.category for r in classify.hybrid(mail.demo(spark), lambda df: classify.by_model(df, ask)).collect()}
+    assert rest["4"] == "Reference" and len(rest) == 5
     assert spark.range(1).select(classify.result("Spam", 0.5)["response"]).first()[0] == "Category: Spam (score: 0.50)"
 
 
