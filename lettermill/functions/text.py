@@ -135,13 +135,6 @@ def read_html(html: str | None) -> str | None:
     return "\n".join([text.strip(), *[f"[{k}]: {v}" for k, v in enumerate(r.links, 1)]])
 
 
-def strip_html_text(html: str) -> str:
-    """strip_html() of one text."""
-    for tag in ("<br>", "<br/>", "<br />", "</p>", "</div>"):
-        html = html.replace(tag, "\n")
-    return re.sub(r"<[^>]*>", "", html).strip()
-
-
 @F.pandas_udf(StringType())
 def html_text(html: pd.Series) -> pd.Series:
     return html.map(read_html)

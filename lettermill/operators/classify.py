@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources import mail
+from ..sources.mail import SIGNATURE
 from ..sources.store import stored
 from . import model
 from . import rules as R
@@ -64,12 +66,9 @@ def parse_reply(reply: Column) -> Column:
     return F.when(ok, F.struct(got["category"].alias("category"), got["score"].alias("score"), F.format_string("LLM Response: %s (Score: %.2f)", got["explanation"], got["score"]).alias("response")))
 
 
-SIGNATURE = ("id", "subject", "snippet", "from")
-
-
 def replay(messages: DataFrame, recordings: DataFrame) -> DataFrame:
-    """Answers recorded for the same id, subject, snippet and sender; the last one recorded wins; none is an error."""
-    last = recordings.groupBy(*[F.coalesce(F.col(c), F.lit("")).alias(f"_{c}") for c in SIGNATURE]).agg(F.max_by(F.struct("category", "score", "response"), "recorded_at").alias("_a"))
+    """Answers recorded for the same id, subject, snippet and sender; the last one recorded wins (see mail.keep_last); none is an error."""
+    last = mail.keep_last(recordings).select(*[F.col(c).alias(f"_{c}") for c in SIGNATURE], F.struct("category", "score", "response").alias("_a"))
     on = [F.coalesce(messages[c], F.lit("")) == F.col(f"_{c}") for c in SIGNATURE]
     got = messages.join(last, on, "left")
     return got.select(*[messages[c] for c in messages.columns], "_a.category", "_a.score", "_a.response", F.when(F.col("_a").isNull(), F.lit("No recorded response found")).alias("error"))

@@ -24,27 +24,42 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str, manifest: DataFrame | None = None) -> DataFrame:
-    """One message per file; files that are no JSON are skipped, a missing id is `unknown`, a manifest (filename) selects files."""
+    """One message per file; files that are no JSON are skipped, a missing id is `unknown`. manifest (filename, file_index) selects files and brings file_index, which their order is."""
     shape = T.StructType([*[T.StructField(f.name, f.dataType) for f in MESSAGE], T.StructField("_corrupt_record", S)])
     got = spark.read.schema(shape).option("multiLine", True).option("mode", "PERMISSIVE").json(path).select("*", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("filename"))
     got = got.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record").withColumn("id", F.coalesce("id", F.lit("unknown")))
-    return got.join(manifest.select("filename").distinct(), "filename", "left_semi") if manifest is not None else got
+    if manifest is None:
+        return got
+    named_ = manifest.groupBy("filename").agg(F.min("file_index").alias("file_index"))
+    return got.join(named_, "filename").orderBy("file_index")
 
 
-def named(df: DataFrame) -> DataFrame:
-    """df with file_index (from 1, by id) and filename (email_001.json and so on)."""
-    return numbered(df, ["id"], "file_index", 1).withColumn("filename", F.format_string("email_%03d.json", "file_index"))
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """file_index, filename, id, subject, has_*: entries of a folder's manifest, which holds them itself or names the parts that do."""
+    entry = "struct<file_index:bigint,filename:string,id:string,subject:string,has_snippet:boolean,has_from:boolean,has_to:boolean,has_sent:boolean,has_body:boolean>"
+    at = path.rstrip("/")
+    head = spark.read.schema(f"emails array<{entry}>, parts array<string>").option("multiLine", True).json(f"{at}/manifest.json")
+    inside = head.select(F.explode("emails").alias("e")).select("e.*")
+    if not head.filter("parts IS NOT NULL AND size(parts) > 0").count():
+        return inside
+    return inside.unionByName(spark.read.schema(inside.schema).json(f"{at}/manifest"))
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    """One pretty-printed object for each message, each in a folder of its file's name."""
-    n = named(df)
-    n.select(F.to_json(F.struct(*[c for c in n.columns if c != "filename"]), {"pretty": "true"}).alias("value"), "filename").write.partitionBy("filename").text(path)
+def named(df: DataFrame, order: str = "id") -> DataFrame:
+    """df with file_index (from 1, by `order`) and filename (email_001.json and so on)."""
+    return numbered(df, [order], "file_index", 1).withColumn("filename", F.format_string("email_%03d.json", "file_index"))
+
+
+def write_json(df: DataFrame, path: str, order: str = "id", created_at: str | None = None) -> None:
+    """A folder of one pretty-printed file for each message, with a manifest; rows that have an `error` leave a gap and go to its errors. Needs mailbox.register()."""
+    n = named(df, order).repartitionByRange("file_index").sortWithinPartitions("file_index")
+    out = n.write.format("message_files").mode("append")
+    (out.option("createdAt", created_at) if created_at else out).save(path)
 
 
 def manifest(df: DataFrame) -> DataFrame:
-    """id, has_* flags of each message."""
-    return df.select("id", *[F.col(c).isNotNull().alias(f"has_{c}") for c in ("snippet", "from", "to", "sent", "body")])
+    """file_index, filename, id, subject and has_* flags of each message, by id."""
+    return named(df).select("file_index", "filename", "id", "subject", *[F.col(c).isNotNull().alias(f"has_{c}") for c in ("snippet", "from", "to", "sent", "body")])
 
 
 def manifest_totals(df: DataFrame, created_at: str) -> DataFrame:
@@ -65,9 +80,23 @@ def read_recordings(spark: SparkSession, path: str) -> DataFrame:
     return keep_last(flat)
 
 
+SIGNATURE = ("id", "subject", "snippet", "from")
+
+
 def keep_last(recordings: DataFrame) -> DataFrame:
-    signature = ["id", "subject", "snippet", "from"]
-    return recordings.groupBy(*signature).agg(F.max_by(F.struct("category", "score", "response", "recorded_at"), "recorded_at").alias("a")).select(*signature, "a.*")
+    """A row for each signature (null parts count as empty): of its answers the last by time, those without a time before all others; ties by the answer itself."""
+    signature = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in SIGNATURE]
+    answer = F.struct("recorded_at", "category", "score", "response")
+    return recordings.groupBy(*signature).agg(F.max(answer).alias("a")).select(*SIGNATURE, "a.category", "a.score", "a.response", "a.recorded_at")
+
+
+def write_recordings(recordings: DataFrame, path: str, model: str, recorded_at: str, per_file: int = 10_000) -> None:
+    """Answers as files of {"responses": [...], "metadata": {...}} of at most per_file answers, which read_recordings reads."""
+    shown = F.struct(F.col("id").alias("email_id"), F.col("subject").alias("email_subject"), F.col("snippet").alias("email_snippet"), F.col("from").alias("email_from"), F.struct("category", "score", F.col("response").alias("llm_response")).alias("classification"), F.col("response").alias("raw_response"), "recorded_at")
+    placed = numbered(keep_last(recordings), list(SIGNATURE), "_n").select(F.floor(F.col("_n") / per_file).alias("_file"), "_n", shown.alias("r"))
+    whole = placed.groupBy("_file").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "r"))), lambda x: x["r"]).alias("responses"))
+    metadata = F.struct(F.lit(model).alias("model"), F.lit(recorded_at).alias("recorded_at"), F.size("responses").cast("long").alias("total_responses"))
+    whole.select("responses", metadata.alias("metadata")).write.option("maxRecordsPerFile", 1).json(path)
 
 
 def record(recordings: DataFrame, classified: DataFrame, recorded_at: str) -> DataFrame:

@@ -8,6 +8,9 @@ import shutil
 import tempfile
 import uuid
 
+from urllib.parse import urlparse
+
+import pyarrow.fs as afs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +27,11 @@ def shared_dir(spark) -> str:
     return at.rstrip("/")
 
 
+def folder(uri: str) -> tuple[afs.FileSystem, str]:
+    """A folder's file system and its path there, for what tasks read and write themselves; s3a is s3 to Arrow."""
+    return afs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1)) if urlparse(uri).scheme else (afs.LocalFileSystem(), uri)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df, made once: what follows reads it again instead of making it again."""
     at = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"

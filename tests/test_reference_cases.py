@@ -2,7 +2,9 @@
 
 import base64
 import json
+import random
 
+import plain_mime
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,8 +33,30 @@ def b64(text):
         ({}, "snip"),
     ],
 )
-def test_bodies(payload, body):
-    assert mime.body_of({"payload": payload, "snippet": "snip"}) == body
+def test_bodies(spark, payload, body):
+    raw = json.dumps({"payload": payload, "snippet": "snip"})
+    assert plain_mime.rows(raw)["body"] == body
+    assert mime.parse_messages(spark.createDataFrame([(raw,)], "raw string")).first().body == body
+
+
+def nested(r, depth):
+    """A random tree of parts."""
+    texts = ["plain", "é <b>x</b>", "", "QUJD", "_-8="]
+    data = lambda: r.choice([None, r.choice(texts), b64(r.choice(["<p>Hi</p>", "a<br>b", "€"])), b64("x")[:-1], {"hex": "ff"}, {"hex": "4142"}, {"hex": "514a4d3d"}])
+    return [{"mimeType": r.choice(["text/plain", "text/html", "text/html", "image/x", None]), "body": r.choice([None, {"data": data()}, {"data": data()}]), **({"parts": r.choice([None, [], nested(r, depth - 1)])} if depth and r.random() < 0.5 else {})} for _ in range(r.randint(1, 3))]
+
+
+def test_bodies_are_those_of_the_plain_form(spark):
+    r = random.Random(8)
+    raws = [json.dumps({"id": r.choice([None, "", f"m{k}"]), "snippet": r.choice([None, "snip"]), "payload": r.choice([None, {"headers": [{"name": r.choice(["To", "tO", "From"]), "value": " a@b.c ,\td"}], "body": r.choice([None, {"data": "own"}, {"data": {"hex": "ff"}}]), "parts": r.choice([None, nested(r, 4)])}])}) for k in range(150)]
+    deep = {"mimeType": "text/plain", "body": {"data": "bottom"}}
+    for _ in range(30):
+        deep = {"mimeType": "multipart/x", "parts": [deep]}
+    raws += [json.dumps({"id": "deep", "payload": {"parts": [deep]}}), "[1]", "3", "", "{", None, "{}"]
+    df = spark.createDataFrame([(x,) for x in raws], "raw string")
+    got = sorted((tuple(str(v) for v in x) for x in mime.parse_messages(df).collect()))
+    want = sorted(tuple(str(plain_mime.rows(x).get(c)) for c in ("id", "subject", "snippet", "from", "to", "sent", "body", "error")) for x in raws)
+    assert got == want
 
 
 def test_messages_are_parsed(spark):
@@ -142,9 +166,6 @@ def test_mailbox_state(spark):
 
 def test_files_and_recordings(spark, tmp_path):
     m = spark.createDataFrame([mail.message(str(k), f"s{k}", body="b" if k else None) for k in range(3)], mail.MESSAGE)
-    mail.write_json(m, f"{tmp_path}/out")
-    back = mail.read_json(spark, f"{tmp_path}/out/*/*.txt")
-    assert sorted((r.id, r.subject) for r in back.collect()) == [("0", "s0"), ("1", "s1"), ("2", "s2")]
     assert mail.manifest_totals(m, "now").first()[:] == ("now", 3, 0, 0, 0, 0, 2)
     (tmp_path / "j").mkdir()
     (tmp_path / "j/a.json").write_text(json.dumps({"responses": [{"email_id": "0", "email_subject": "s0", "classification": {"category": c, "score": 0.5, "llm_response": "x"}, "recorded_at": t} for c, t in (("Noise", "1"), ("Spam", "2"))]}))
@@ -152,7 +173,7 @@ def test_files_and_recordings(spark, tmp_path):
     r = mail.read_recordings(spark, f"{tmp_path}/j/a.json")
     assert mail.count_json(spark, f"{tmp_path}/j") == 1 and [x.category for x in r.collect()] == ["Spam"]
     new = mail.record(r, classify.fixed(m.limit(1), "Reference", 1.0).withColumn("response", F.lit("")), "3")
-    assert analysis.recording_stats(new).first().n in (1, 2)
+    assert analysis.recording_stats(new).first()[:] == (1, "Reference")
     assert [x.n for x in store.numbered(m.select("id"), ["id"], "n", 1).orderBy("id").collect()] == [1, 2, 3]
     flat = m.filter("id = '1'").select(mail.flattened().alias("flat"))
     assert flat.first()[0] == "Subject: s1\nBody: b" and mail.rebuilt(flat, "flat").first().body == "b"
