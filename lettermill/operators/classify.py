@@ -80,7 +80,7 @@ def fixed(messages: DataFrame, category: str, score: float | None, error: str |
 
 def random(messages: DataFrame, seed: int = 0) -> DataFrame:
     """A category and a score of 0.5 to 1 drawn from a hash of the id: the same on every run and partitioning."""
-    u = lambda k: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(1 << 30)) / float(1 << 30)
+    u = lambda k: F.conv(F.substring(F.md5(F.concat_ws(":", F.col("id"), F.lit(str(seed)), F.lit(str(k)))), 1, 8), 16, 10).cast("long") / float(1 << 32)
     return messages.withColumns({"category": F.element_at(F.array(*map(F.lit, CATEGORIES)), (F.floor(u(1) * 5) + 1).cast("int")), "score": 0.5 + u(2) / 2})
 
 

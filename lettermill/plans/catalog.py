@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import fake
 from ..functions import text as X
-from ..operators import analysis, classify, pii, route
+from ..operators import analysis, classify, known, names, pii, progress, route, spans
 from ..operators import rules as R
-from ..sources import mail
+from ..sources import mail, mailbox, mime, store
 from . import cases
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +32,7 @@ def _query(sql: str | None = None):
 # --- SQL pieces: the message view, cleaning and features, in DuckDB's dialect ---
 _BLANK = r"[\x{09}-\x{0d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _NOT_BLANK = _BLANK.replace("[", "[^", 1)
+_TRIMS = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(32)"
 _WORDS = r"\p{L}\p{Nl}\p{M}\p{Nd}\p{Pc}\x{200c}\x{200d}"
 _MAIL = "m AS (SELECT CAST(doc_id AS VARCHAR) AS id, split_part(text, chr(10), 1) AS subject, substring(text, 1, 200) AS snippet, source || '@' || lang || '.example.com' AS sender, text AS body FROM documents)"
 
@@ -147,9 +149,12 @@ def post_process(spark, sf_dir):
     return classify.features(mail.messages(spark, sf_dir)).select("id", classify.corrected(F.lit("ActionRequired")).alias("from_action"), classify.corrected(F.lit("Spam")).alias("from_spam"))
 
 
-@_query()
+_DRAWN = lambda k: f"(CAST('0x' || substr(md5(id || ':0:{k}'), 1, 8) AS BIGINT) / 4294967296.0)"
+
+
+@_query(f"WITH {_MAIL} SELECT id, list_extract(['ActionRequired', 'InterestingInfo', 'Reference', 'Noise', 'Spam'], CAST(floor({_DRAWN(1)} * 5) + 1 AS INTEGER)) AS category, CAST(round(0.5 + {_DRAWN(2)} / 2, 9) AS DOUBLE) AS score FROM m")
 def classify_random(spark, sf_dir):
-    return classify.random(mail.messages(spark, sf_dir)).select("id", "category", "score")
+    return classify.random(mail.messages(spark, sf_dir)).select("id", "category", F.round("score", 9).alias("score"))
 
 
 _LABEL = "CASE category WHEN 'ActionRequired' THEN 'Agentic/Action Required' WHEN 'InterestingInfo' THEN 'Agentic/Interesting' WHEN 'Reference' THEN 'Agentic/Reference' WHEN 'Noise' THEN 'Agentic/Low Priority' WHEN 'Spam' THEN 'Agentic/Spam' END"
@@ -521,6 +526,124 @@ def manifest_preview(spark, sf_dir):
     return mail.messages(spark, sf_dir).select("id", F.col("subject").isNotNull().alias("has_subject"), X.truncated(F.col("subject")).alias("shown"))
 
 
+# --- spans across rows ---
+_RAW = "w AS (SELECT doc_id, unnest(" + " || ".join(_sql_places("text", p, "email").replace("'kind': 'email'", f"'kind': 'email{k}'") for k, p in enumerate(pii.EMAIL[:4])) + ") AS z FROM documents WHERE contains(text, '@')), v AS (SELECT doc_id, z.kind AS pattern, z.t AS text, CAST(z.s AS BIGINT) AS start, CAST(z.s + length(z.t) AS BIGINT) AS stop FROM w)"
+
+
+def _raw_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, pattern, text, start, end of every match of each of four patterns, before overlaps are settled."""
+    t = F.col("text")
+    every = F.concat(*[spans.places(t, p, f"email{k}") for k, p in enumerate(pii.EMAIL[:4])])
+    rows = mail.table(spark, sf_dir, "documents").filter(t.contains("@")).select("doc_id", F.explode(every).alias("s"))
+    return rows.select("doc_id", F.col("s.pii_type").alias("pattern"), "s.text", "s.start", "s.end")
+
+
+@_query(f"WITH {_RAW} SELECT a.doc_id, a.pattern, b.pattern AS pattern2, a.start, a.stop AS \"end\", b.start AS start2, b.stop AS end2 FROM v a JOIN v b ON a.doc_id = b.doc_id AND a.pattern < b.pattern AND a.start < b.stop AND b.start < a.stop")
+def span_overlaps(spark, sf_dir):
+    raw = _raw_matches(spark, sf_dir)
+    return spans.overlapping(raw, raw, ["doc_id"]).filter("pattern < pattern2").select("doc_id", "pattern", "pattern2", "start", "end", "start2", "end2")
+
+
+@_query(f"WITH {_RAW}, h AS (SELECT *, CASE WHEN start >= coalesce(max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) THEN 1 ELSE 0 END AS new FROM v), g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY start, stop DESC ROWS UNBOUNDED PRECEDING) AS chain FROM h) SELECT doc_id, CAST(chain AS BIGINT) AS chain, count(*) AS n, min(start) AS start, max(stop) AS \"end\" FROM g GROUP BY doc_id, chain")
+def span_groups(spark, sf_dir):
+    return spans.overlap_groups(_raw_matches(spark, sf_dir), ["doc_id"], "chain").groupBy("doc_id", "chain").agg(F.count("*").alias("n"), F.min("start").alias("start"), F.max("end").alias("end"))
+
+
+# --- known originals, wherever they stand ---
+@_query(f"WITH {_sql_spans('documents', 'doc_id')}, {_EXPLODED}, d AS (SELECT z.t AS known, min(z.kind) AS pii_type FROM x GROUP BY z.t), j AS (SELECT doc_id, known, pii_type, len(list_filter(range(1, length(text) - length(known) + 2), lambda p: substring(text, p, length(known)) = known)) AS n FROM documents JOIN d ON contains(text, known)) SELECT doc_id, known, pii_type, CAST(n AS BIGINT) AS n FROM j")
+def known_occurrences(spark, sf_dir):
+    docs = mail.table(spark, sf_dir, "documents").select("doc_id", "text")
+    table = _detected(spark, sf_dir).select(F.explode("entities").alias("e")).select("e.text", "e.pii_type")
+    return known.occurrences(docs, table, "doc_id").groupBy("doc_id", F.col("text").alias("known"), "pii_type").agg(F.count("*").alias("n"))
+
+
+# --- the mailbox as a source ---
+def _exported(spark: SparkSession, sf_dir: str) -> str:
+    """documents as a mailbox export: every third unread, every fiftieth line cut in two."""
+    d = mail.messages(spark, sf_dir)
+    n = F.col("id").cast("long")
+    labels = F.when(n % 3 == 0, F.array(F.lit("INBOX"), F.lit("UNREAD"))).otherwise(F.array(F.lit("INBOX")))
+    at = f"{store.shared_dir(spark)}/mailbox-{uuid.uuid4().hex}"
+    mailbox.register(spark)
+    mailbox.export(d.withColumn("label_ids", labels), at, cut=n % 50 == 7)
+    return at
+
+
+@_query("SELECT CAST(doc_id AS VARCHAR) AS id, doc_id % 50 = 7 AS failed, CASE WHEN doc_id % 50 <> 7 THEN 'INBOX,UNREAD' ELSE '' END AS labels FROM documents WHERE doc_id % 3 = 0 OR doc_id % 50 = 7")
+def mailbox_unread(spark, sf_dir):
+    return mailbox.unread(spark, _exported(spark, sf_dir), None).select("id", F.col("error").isNotNull().alias("failed"), F.array_join("label_ids", ",").alias("labels"))
+
+
+@_query("SELECT CAST(doc_id AS VARCHAR) AS id, split_part(text, chr(10), 1) AS subject, source || '@' || lang || '.example.com' AS sender, 'Desk <' || source || '@List.example.com>' AS recipient, text AS body, substring(text, 1, 200) AS snippet FROM documents WHERE doc_id % 50 <> 7")
+def mailbox_messages(spark, sf_dir):
+    raw = spark.read.format("mailbox").load(_exported(spark, sf_dir)).filter("error IS NULL")
+    return mime.parse_messages(raw).select("id", "subject", F.col("from").alias("sender"), F.array_join("to", ", ").alias("recipient"), "body", "snippet")
+
+
+@_query(f"SELECT CAST(doc_id AS VARCHAR) AS id, CASE doc_id % 7 WHEN 2 THEN trim(text, {_TRIMS}) WHEN 3 THEN trim(text, {_TRIMS}) WHEN 4 THEN 'own ' || text WHEN 5 THEN 'deep ' || text WHEN 6 THEN 'snip' ELSE text END AS body FROM documents")
+def message_bodies(spark, sf_dir):
+    """Messages of seven shapes: a plain part, encoded ones, nested ones to a depth of six, a body of its own, none at all."""
+    t, k = F.col("text"), F.col("doc_id") % 7
+    code = F.translate(F.base64(F.encode(t, "utf-8")), "+/\r\n", "-_")
+    part = lambda kind, data, parts="null": F.concat(F.lit(f'{{"mimeType":"{kind}","body":{{"data":'), data, F.lit('},"parts":'), F.lit(parts) if isinstance(parts, str) else parts, F.lit("}"))
+    said = lambda c: F.get(F.split(F.to_json(F.struct(c.alias("x"))), '^\\{"x":|\\}$'), 1)
+    null, listed = F.lit("null"), lambda *p: F.concat(F.lit("["), F.concat_ws(",", *p), F.lit("]"))
+    deep = part("text/plain", said(F.concat(F.lit("deep "), t)))
+    for _ in range(6):
+        deep = part("multipart/mixed", null, listed(deep))
+    late = part("text/plain", said(F.lit("late")))
+    parts = F.when(k == 0, listed(part("text/html", said(F.lit("x"))), part("text/plain", said(t)))).when(k == 1, listed(part("image/png", null), part("text/plain", said(t)))).when(k == 2, listed(part("text/html", said(code)))).when(k == 3, listed(part("multipart/x", null, listed(part("text/html", said(code)))), late)).when(k == 4, listed(part("text/html", said(F.lit("<p>not encoded</p>"))))).when(k == 5, listed(deep)).otherwise("null")
+    own = F.when(k == 4, said(F.concat(F.lit("own "), t))).otherwise("null")
+    raw = F.concat(F.lit('{"id":"'), F.col("doc_id").cast("string"), F.lit('","snippet":"snip","payload":{"body":{"data":'), own, F.lit('},"parts":'), parts, F.lit("}}"))
+    return mime.parse_messages(mail.table(spark, sf_dir, "documents").select(raw.alias("raw"))).select("id", "body")
+
+
+# --- a model as a stage ---
+def _model(prompts: list[str]) -> list[str]:
+    """Stands in for a model: an answer by the prompt's length; one length in eleven fails."""
+    if any(len(p) % 11 == 3 for p in prompts):
+        raise OSError("no model")
+    kinds = ("ActionRequired", "InterestingInfo", "Reference", "Noise", "Spam", "Odd")
+    return [f'Sure: {{"category": "{kinds[len(p) % 6]}", "score": 0.5, "explanation": "{len(p)}"}}' for p in prompts]
+
+
+_PROMPT = f"'Sort this message into one of ActionRequired, InterestingInfo, Reference, Noise, Spam. Answer with a JSON object of category, score (0 to 1) and explanation.' || chr(10) || 'from_domain:' || lang || '.example.com to_domain:list.example.com' || chr(10) || {_sql_prepared(200)}"
+
+
+@_query(f"WITH m AS (SELECT CAST(doc_id AS VARCHAR) AS id, lang, split_part(text, chr(10), 1) AS subject, substring(text, 1, 200) AS snippet, text AS body FROM documents), p AS (SELECT id, length({_PROMPT}) AS n FROM m) SELECT id, CASE WHEN n % 11 <> 3 AND n % 6 < 5 THEN list_extract(['ActionRequired', 'InterestingInfo', 'Reference', 'Noise', 'Spam'], CAST(n % 6 + 1 AS INTEGER)) END AS category, CASE WHEN n % 11 <> 3 AND n % 6 < 5 THEN 'LLM Response: ' || n || ' (Score: 0.50)' END AS response, CASE WHEN n % 11 = 3 THEN 'OSError: no model' WHEN n % 6 = 5 THEN 'no valid answer in the reply' END AS error FROM p")
+def classify_model(spark, sf_dir):
+    return classify.by_model(mail.messages(spark, sf_dir), _model).select("id", "category", "response", "error")
+
+
+def _nobody(prompts: list[str]) -> list[str]:
+    """Stands in for a model that finds no name and no address."""
+    return ["[]"] * len(prompts)
+
+
+@_query(f"WITH {_MAIL}, u AS (SELECT id, unnest([0, 1, 2]) AS field, unnest([subject, snippet, body]) AS text FROM m), {_sql_spans('u', 'id, field')}, x AS (SELECT id, field, text, unnest(spans) AS z FROM e), {_sql_dictionary('x', '(id, field, z.s)')}, {_sql_written('id, field')}, s AS (SELECT u.id, u.field, CASE WHEN r.id IS NULL THEN text ELSE new END AS text, coalesce(n, 0) AS n FROM u LEFT JOIN r USING (id, field)) SELECT id, any_value(text) FILTER (field = 0) AS subject, any_value(text) FILTER (field = 1) AS snippet, any_value(text) FILTER (field = 2) AS body, CAST(sum(n) AS BIGINT) AS n FROM s GROUP BY id")
+def anonymised_messages(spark, sf_dir):
+    done, _ = names.anonymised(mail.messages(spark, sf_dir), _nobody, order=("id",))
+    return done.select("id", "subject", "snippet", "body", F.size("replacements").cast("long").alias("n"))
+
+
+# --- counters of the pass that works ---
+@_query(f"WITH {cases.SQL} SELECT count(*) AS total, count(*) FILTER (NOT f AND k) AS kept, count(*) FILTER (NOT f AND NOT k) AS archived, count(*) FILTER (NOT f AND main_urgent) AS urgent, count(*) FILTER (NOT f AND k AND score < 0.7) AS needs_review, count(*) FILTER (f) AS errors FROM (SELECT CAST(id AS BIGINT) % 13 = 5 AS f, (category = 'ActionRequired' OR main_urgent OR score < 0.7) AS k, main_urgent, score FROM m)")
+def observed_counters(spark, sf_dir):
+    d = route.decided(classify.by_rules(cases.messages(spark, sf_dir))).withColumn("error", F.when(F.col("id").cast("long") % 13 == 5, "down"))
+    rows, watch = progress.observed(d)
+    store.stored(rows.select("id", "category", "why"), "decided")
+    got = watch.get
+    return spark.createDataFrame([tuple(got.values())], ", ".join(f"{c} long" for c in got))
+
+
+@_query("WITH m AS (SELECT CAST(doc_id AS VARCHAR) AS id, lower(split_part(text, chr(10), 1)) AS s, source || CASE doc_id % 8 WHEN 0 THEN '@github.com' WHEN 1 THEN '@linkedin.com' WHEN 2 THEN '@facebookmail.com' WHEN 3 THEN '@nytimes.com' WHEN 4 THEN '@spotify.com' WHEN 5 THEN '@smood.ch' WHEN 6 THEN 'no-reply@accounts.google.com' ELSE '@x.example' END AS f FROM documents) SELECT CASE WHEN contains(f, 'github.com') OR contains(s, 'run failed') THEN 'dev_notifications' WHEN contains(f, 'linkedin.com') THEN 'social_professional' WHEN contains(f, 'facebook') THEN 'social_personal' WHEN contains(s, 'security alert') OR contains(f, 'no-reply@accounts.google.com') THEN 'security' WHEN contains(f, 'flipboard') OR contains(f, 'nytimes') OR contains(f, 'uefa') THEN 'newsletter' WHEN contains(f, 'spotify') THEN 'entertainment' WHEN contains(s, 'rental') OR contains(s, 'request') THEN 'business' WHEN contains(f, 'smood') THEN 'shopping' ELSE 'other' END AS bucket, count(*) AS n FROM m GROUP BY 1")
+def content_buckets(spark, sf_dir):
+    k = F.col("id").cast("long") % 8
+    sender = F.element_at(F.array(*map(F.lit, ("@github.com", "@linkedin.com", "@facebookmail.com", "@nytimes.com", "@spotify.com", "@smood.ch", "no-reply@accounts.google.com", "@x.example"))), (k + 1).cast("int"))
+    m = mail.messages(spark, sf_dir).withColumn("from", F.concat(F.split_part("from", F.lit("@"), F.lit(1)), sender))
+    return m.groupBy(analysis.content_bucket().alias("bucket")).agg(F.count("*").alias("n"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 

@@ -20,7 +20,7 @@ from datetime import datetime, timezone
 
 import pyarrow as pa
 import pyarrow.fs as afs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, InputPartition, IsNotNull, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -238,13 +238,15 @@ def register(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def export(messages: DataFrame, path: str, labels: list[str] | None = None) -> None:
-    """messages (MESSAGE, and label_ids if it has them) as a mailbox export."""
+def export(messages: DataFrame, path: str, labels: list[str] | None = None, cut: Column | None = None) -> None:
+    """messages (MESSAGE, and label_ids if it has them) as a mailbox export. cut: of which rows half the line is lost, for tests of readers."""
     header = lambda name, c: F.when(c.isNotNull(), F.struct(F.lit(name).alias("name"), c.alias("value")))
     headers = F.array_compact(F.array(header("Subject", F.col("subject")), header("From", F.col("from")), header("To", F.array_join("to", ", ")), header("Date", F.col("sent"))))
     ids = F.col("label_ids") if "label_ids" in messages.columns else F.array(*map(F.lit, labels or [])).cast("array<string>")
     whole = F.struct("id", ids.alias("labelIds"), "snippet", F.struct(headers.alias("headers"), F.struct(F.col("body").alias("data")).alias("body")).alias("payload"))
-    messages.select(F.to_json(whole).alias("value")).write.option("lineSep", "\n").format("text").save(path)
+    line = F.to_json(whole)
+    line = line if cut is None else F.when(cut, F.substring(line, F.lit(1), F.least(F.floor(F.length(line) / 2), F.lit(40)).cast("int"))).otherwise(line)
+    messages.select(line.alias("value")).write.option("lineSep", "\n").format("text").save(path)
 
 
 def unread(spark: SparkSession, path: str, most: int | None = 5) -> DataFrame:
