@@ -157,75 +157,88 @@ def address_spans(text: str, address: str) -> list[Span]:
     return out
 
 
-def _asking(rows: DataFrame) -> DataFrame:
-    """rows with the two prompts about their text; empty texts are not asked about."""
+def _prompts(fields: DataFrame) -> DataFrame:
+    """_n, _field and the two prompts about each text; empty texts are not asked about."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("_text").to_pylist()
             made = [pa.array([f(prepare(t, n)) if t else None for t in texts], pa.string()) for f, n in ((address_prompt, ADDRESS_WORDS), (name_prompt, NAME_WORDS))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, "_address", "_name"])
+            yield pa.RecordBatch.from_arrays([b.column("_n"), b.column("_field"), *made], ["_n", "_field", "_address", "_name"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("_address", T.StringType()), T.StructField("_name", T.StringType())]))
+    return fields.select("_n", "_field", "_text").mapInArrow(run, "_n long, _field int, _address string, _name string")
+
+
+_SPAN = pa.struct([("pii_type", pa.string()), ("text", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+
+
+def read_replies(text: str | None, places: str | None, people: str | None, fault: str | None) -> tuple[list[Span], str | None]:
+    """The spans that two replies name in a text, and what is wrong with them."""
+    if not text or fault:
+        return [], fault
+    try:
+        return [s for a in address_strings(places or "") for s in address_spans(text, a)] + positions(text, parse_reply(people or "")), None
+    except ValueError as e:
+        return [], str(e)
 
 
 def _read(rows: DataFrame) -> DataFrame:
-    """rows with _found (the spans that the replies name) and _error, from _text, _places and _people (replies) and _fault."""
-    arrow = pa.list_(pa.struct([("pii_type", pa.string()), ("text", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+    """rows with _found (for each of _texts the spans that its replies name) and _errors, from _texts and _told (field, places, people, fault)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found, errors = [], []
-            for text, places, people, fault in zip(*(b.column(c).to_pylist() for c in ("_text", "_places", "_people", "_fault")), strict=True):
-                got: list[Span] = []
-                if text and not fault:
-                    try:
-                        got = [s for a in address_strings(places) for s in address_spans(text, a)] + positions(text, parse_reply(people))
-                    except ValueError as e:
-                        fault = str(e)
-                found.append([dict(zip(("pii_type", "text", "start", "end"), s, strict=True)) for s in got])
-                errors.append(fault)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, arrow), pa.array(errors, pa.string())], [*b.schema.names, "_found", "_error"])
+            for texts, told in zip(b.column("_texts").to_pylist(), b.column("_told").to_pylist(), strict=True):
+                said = {x["field"]: x for x in told or ()}
+                got = [read_replies(t, x.get("places"), x.get("people"), x.get("fault")) for t, x in ((t, said.get(k, {})) for k, t in enumerate(texts))]
+                found.append([[dict(zip(("pii_type", "text", "start", "end"), s, strict=True)) for s in spans_] for spans_, _ in got])
+                errors.append([e for _, e in got])
+            kept = [(n, c) for n, c in zip(b.schema.names, b.columns, strict=True) if n not in ("_told", "_texts")]
+            yield pa.RecordBatch.from_arrays([*[c for _, c in kept], pa.array(found, pa.list_(pa.list_(_SPAN))), pa.array(errors, pa.list_(pa.string()))], [*[n for n, _ in kept], "_found", "_errors"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("_found", pii.SPANS), T.StructField("_error", T.StringType())]))
+    kept = [f for f in rows.schema.fields if f.name not in ("_told", "_texts")]
+    return rows.mapInArrow(run, T.StructType([*kept, T.StructField("_found", T.ArrayType(pii.SPANS)), T.StructField("_errors", T.ArrayType(T.StringType()))]))
+
+
+def _detected(df: DataFrame, ask: model.Ask, columns: tuple[str, ...], replies: str | None, patterns: bool, limits: dict) -> DataFrame:
+    """_n, _row (all of df's columns), _e0, _e1, ... (spans of each of the columns) and _errors, stored. Texts are stored as they come and shuffled once, to their replies."""
+    rows = stored(df.select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("_n")), "messages")
+    texts = F.array(*[F.col("_row")[c] for c in columns])
+    fields = rows.select("_n", F.posexplode(texts).alias("_field", "_text")).filter("_text != ''")
+    prompts = stored(_prompts(fields), "prompts")
+    first = model.answered(prompts, ask, replies, "_address", **limits).select("_n", "_field", "_name", F.col("reply").alias("places"), F.col("error").alias("_e"))
+    both = model.answered(first, ask, replies, "_name", **limits)
+    told = both.groupBy("_n").agg(F.collect_list(F.struct(F.col("_field").alias("field"), "places", F.col("reply").alias("people"), F.coalesce("_e", "error").alias("fault"))).alias("_told"))
+    read = _read(rows.join(told, "_n", "left").withColumn("_texts", texts))
+    text = lambda c: F.coalesce(F.col("_row")[c], F.lit(""))
+    every = lambda k, c: F.concat(pii.pattern_spans(text(c)), F.col("_found")[k]) if patterns else F.col("_found")[k]
+    settled = {f"_e{k}": F.when(F.col("_errors")[k].isNull(), spans.bound(every(k, c), pii.resolved)).otherwise(spans.none()) for k, c in enumerate(columns)}
+    return stored(read.select("_n", "_row", "_errors", *[v.alias(n) for n, v in settled.items()]), "detected")
 
 
 def detect_all(df: DataFrame, ask: model.Ask, column: str = "text", replies: str | None = None, patterns: bool = True, **limits) -> DataFrame:
     """df with entities (addresses and names by the model, and what patterns find, overlaps resolved) and error. replies: where answers are kept; patterns: False for what the model finds alone."""
-    rows = stored(df.select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("_n")), "asked").withColumn("_text", F.col("_row")[column])
-    prompts = stored(_asking(rows.select("_n", "_text")), "prompts")
-    first = model.answered(prompts, ask, replies, "_address", **limits).withColumnsRenamed({"reply": "_places", "error": "_e1"})
-    second = model.answered(first, ask, replies, "_name", **limits).withColumnsRenamed({"reply": "_people", "error": "_e2"})
-    told = _read(second.select("_n", "_text", "_places", "_people", F.coalesce("_e1", "_e2").alias("_fault")))
-    every = F.concat(pii.pattern_spans(F.coalesce(F.col("_text"), F.lit(""))), F.col("_found")) if patterns else F.col("_found")
-    ok = F.col("_error").isNull()
-    got = told.select("_n", F.when(ok, spans.bound(every, pii.resolved)).otherwise(spans.none()).alias("entities"), F.col("_error").alias("error"))
-    return rows.select("_n", "_row").join(got, "_n").select("_row.*", "entities", "error")
+    return _detected(df, ask, (column,), replies, patterns, limits).select("_row.*", F.col("_e0").alias("entities"), F.col("_errors")[0].alias("error"))
 
 
 def anonymised(df: DataFrame, ask: model.Ask, columns: tuple[str, ...] = ("subject", "snippet", "body"), dictionary: str | None = None, replies: str | None = None, patterns: bool = True, order: tuple[str, ...] = (), **limits) -> tuple[DataFrame, DataFrame]:
     """(rows, errors): rows of df with stand-ins in each of the columns and `replacements`; errors: row, column, error.
 
-    Originals are numbered by the columns of `order`, then as the rows are read, then by field.
-
-    Rows have a number of their own, so that repeated and null keys change nothing. A row of which any field could not be
-    read is kept out and named under errors with its whole `row`. One dictionary serves all fields, so an original has
-    the same stand-in wherever it stands; `dictionary` names the table that carries it on to later runs.
+    Originals are numbered by the columns of `order`, then as the rows are read, then by field. Rows have a number of their
+    own, so that repeated and null keys change nothing. A row of which any field could not be read is kept out and named
+    under errors with its whole `row`. One dictionary serves all fields, so an original has the same stand-in wherever
+    it stands; `dictionary` names the table that carries it on to later runs.
     """
-    rows = stored(df.select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("_n")), "messages")
-    fields = rows.select("_n", F.posexplode(F.array(*[F.col(f"_row.{c}") for c in columns])).alias("_field", "text")).filter("text IS NOT NULL")
-    found = stored(detect_all(fields, ask, "text", replies, patterns, **limits), "detected")
-    per_row = found.groupBy("_n").agg(F.collect_list(F.struct("_field", "entities")).alias("_all"), F.count("error").alias("_bad"))
-    spans_of = lambda k: F.coalesce(F.get(F.filter("_all", lambda x: x["_field"] == k), 0)["entities"], spans.none())
+    found = _detected(df, ask, columns, replies, patterns, limits)
     named = {c: f"_e{k}" for k, c in enumerate(columns)}
-    ready = rows.join(per_row, "_n", "left").filter(F.coalesce("_bad", F.lit(0)) == 0).select("_n", "_row.*", *[spans_of(k).alias(e) for k, e in enumerate(named.values())])
-    ready = stored(ready, "ready")
+    failed = F.exists("_errors", lambda e: e.isNotNull())
+    ready = found.filter(~failed).select("_n", "_row.*", *named.values())
     seen = standins.of_fields(ready, named, order)
     place = [*(f"_o{k}" for k in range(len(order))), "_n", "_field", "_start"]
     table = standins.fresh(seen, place) if dictionary is None else standins.extended(seen, place, dictionary)
     done = standins.replaced(ready, named, table).select(*df.columns, "replacements")
-    errors = found.filter("error IS NOT NULL").select("_n", F.element_at(F.array(*map(F.lit, columns)), F.col("_field") + 1).alias("column"), "error").join(rows, "_n").select(F.col("_row").alias("row"), "column", "error")
-    return done, errors
+    errors = found.filter(failed).select("_row", F.posexplode("_errors").alias("_k", "error")).filter("error IS NOT NULL")
+    return done, errors.select(F.col("_row").alias("row"), F.element_at(F.array(*map(F.lit, columns)), F.col("_k") + 1).alias("column"), "error")
 
 
 def summary(df: DataFrame, done: DataFrame) -> DataFrame:
