@@ -34,7 +34,7 @@ LEAST_DOCS = 6
 #: Features whose chi-square is less tell nothing.
 LEAST_CHI = 12.0
 LASSO, COUNTERFACTUAL = 3e-4, 4.0
-#: Identity terms; those of one line stand for one another.
+#: Identity terms of the corpus' languages; those of one line stand for one another. A word that two languages share is its first line's.
 IDENTITY = (
     "women men girls boys females males",
     "woman man girl boy female male",
@@ -45,11 +45,54 @@ IDENTITY = (
     "immigrants refugees foreigners natives migrants locals",
     "immigrant refugee foreigner native migrant local",
     "deaf blind disabled autistic",
-    "frauen männer femmes hommes mujeres hombres",
+    # German
+    "frauen männer mädchen jungen",
+    "frau mann",
+    "muslime christen juden hindus buddhisten atheisten",
+    "muslimische christliche jüdische hinduistische buddhistische",
+    "schwule lesben bisexuelle transsexuelle heterosexuelle",
+    "schwarze weiße asiaten afrikaner europäer",
+    "einwanderer flüchtlinge ausländer einheimische migranten",
+    "gehörlose blinde behinderte autisten",
+    # French
+    "femmes hommes filles garçons",
+    "femme homme fille garçon",
+    "musulmans chrétiens juifs hindous bouddhistes athées",
+    "musulman chrétien juif hindou bouddhiste athée",
+    "gays lesbiennes bisexuels transgenres hétérosexuels",
+    "noirs blancs asiatiques latinos africains européens",
+    "immigrés réfugiés étrangers autochtones migrants",
+    "sourds aveugles handicapés autistes",
+    # Spanish
+    "mujeres hombres niñas niños",
+    "mujer hombre niña niño",
+    "musulmanes cristianos judíos hindúes budistas ateos",
+    "musulmán cristiano judío hindú budista ateo",
+    "homosexuales lesbianas bisexuales transexuales heterosexuales",
+    "negros blancos asiáticos latinoamericanos africanos europeos",
+    "inmigrantes refugiados extranjeros nativos",
+    "sordos ciegos discapacitados autistas",
 )
 _WORD = re.compile(r"[^\W_]+")
-_GROUPS = [line.split() for line in IDENTITY]
-_OF = {w: (k, i) for k, g in enumerate(_GROUPS) for i, w in enumerate(g)}
+
+
+class Terms:
+    """Lines of terms, each swapped for the next of its line."""
+
+    def __init__(self, lines: tuple[str, ...] = IDENTITY) -> None:
+        self.next: dict[str, str] = {}
+        for line in lines:
+            words = [w for w in line.lower().split() if w not in self.next]
+            self.next |= dict(zip(words, words[1:] + words[:1], strict=True)) if len(words) > 1 else {}
+
+    def swap(self, words: set[str]) -> set[str] | None:
+        """The words with each identity term replaced by the next of its line; None if there is none."""
+        own = words & self.next.keys()
+        return (words - own) | {self.next[w] for w in own} if own else None
+
+
+_TERMS = Terms()
+swap = _TERMS.swap
 
 
 def words_of(text: str) -> set[str]:
@@ -61,14 +104,6 @@ def features(word: str) -> list[str]:
     return ["=" + word, *[f"^{word[:n]}" for n in (4, 5, 6) if len(word) >= n]]
 
 
-def swap(words: set[str]) -> set[str] | None:
-    """The words with each identity term replaced by the next of its group; None if there is none."""
-    own = words & _OF.keys()
-    if not own:
-        return None
-    return (words - own) | {_GROUPS[_OF[w][0]][(_OF[w][1] + 1) % len(_GROUPS[_OF[w][0]])] for w in own}
-
-
 class _Rows:
     """Sparse rows: features by text, as counts over distinct words."""
 
@@ -90,7 +125,7 @@ class _Rows:
         return np.bincount(self.col, r[self.at], self.m)
 
 
-def fit(rows: list[set[str]], y: np.ndarray, lasso: float = LASSO, fair: float = COUNTERFACTUAL, rounds: int = 600) -> tuple[float, dict[str, float]]:
+def fit(rows: list[set[str]], y: np.ndarray, lasso: float = LASSO, fair: float = COUNTERFACTUAL, rounds: int = 600, terms: Terms = _TERMS) -> tuple[float, dict[str, float]]:
     """Intercept and weights of features: logistic loss, lasso, and fair times the mean squared change of score under swaps."""
     if not len(y):
         return 0.0, {}
@@ -113,7 +148,7 @@ def fit(rows: list[set[str]], y: np.ndarray, lasso: float = LASSO, fair: float =
     known = sorted((f for f, c in seen.items() if c >= LEAST_DOCS and chi(f) >= LEAST_CHI), key=lambda f: (-chi(f), f))[:VOCABULARY]
     index = {f: k for k, f in enumerate(known)}
     x = _Rows(rows, index)
-    pairs = [(r, s) for r in rows if (s := swap(r)) is not None]
+    pairs = [(r, s) for r in rows if (s := terms.swap(r)) is not None]
     one, two = _Rows([r for r, _ in pairs], index), _Rows([s for _, s in pairs], index)
 
     def around(w: np.ndarray) -> np.ndarray:
@@ -157,8 +192,8 @@ def score_words(words: set[str], b: float, weights: dict[str, float], held: dict
     return 1 / (1 + math.exp(-max(-60.0, min(60.0, total))))
 
 
-def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "toxic", holdout_mod: int = 5, fit_rows: int = FIT_ROWS, least: float = 0.5) -> DataFrame:
-    """doc_id, held_out, score, predicted. One pass over the texts without a shuffle, after the fit."""
+def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "toxic", holdout_mod: int = 5, fit_rows: int = FIT_ROWS, least: float = 0.5, identity: tuple[str, ...] = IDENTITY) -> DataFrame:
+    """doc_id, held_out, score, predicted. One pass over the texts without a shuffle, after the fit. identity: lines of terms that stand for one another."""
     tune(spark)
     sample = labelled(docs, labels, label, holdout_mod, fit_rows).select(F.coalesce("text", F.lit("")).alias("text"), "y")
 
@@ -167,7 +202,7 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str
             yield pa.RecordBatch.from_arrays([pa.array([" ".join(sorted(words_of(t))) for t in b.column("text").to_pylist()], pa.string()), b.column("y")], ["words", "y"])
 
     got = sample.mapInArrow(words, "words string, y double").toArrow()
-    model = spark.sparkContext.broadcast(fit([set(w.split()) for w in got["words"].to_pylist()], got["y"].to_numpy()))
+    model = spark.sparkContext.broadcast(fit([set(w.split()) for w in got["words"].to_pylist()], got["y"].to_numpy(), terms=Terms(identity)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (b0, weights), held = model.value, {}
