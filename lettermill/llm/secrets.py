@@ -1,10 +1,12 @@
 """Secret scans: three base patterns, then dictionary-primed zstandard novelty.
 
-A candidate string near a sensitive word is compressed on its own and behind a dictionary of the corpus'
+A candidate is a string of REACH characters at most behind a sensitive word, or behind another candidate of that line,
+and every line of a private key block. It is compressed behind a dictionary of the corpus'
 identifiers and the code around it. What it still costs, in bytes for each byte of the string, is its
 novelty: names, paths and repeated values nearly vanish, random keys stay as they are. What novelty is enough to be
-reported depends on how far the string's characters follow one another as in the dictionary's words: new names
-have to be more novel than random keys. No candidate is left out for its characters.
+reported depends on how far the string's characters follow one another as in all the corpus' words: new words and names
+have to be more novel than random keys. No candidate is left out for its characters; digits alone follow no words
+and are held to the plain limit.
 
 Defined results: a null or empty text has no spans; repeated rows are scanned each on their own; an empty
 table gives no rows; extra columns are ignored; where spans of two kinds tie they follow the order of KINDS.
@@ -16,28 +18,34 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import texts, tune
+from .common import flat, texts, tune
 
 KINDS = ("assign", "access", "hex", "novel")
 #: Identifiers in the dictionary, the most frequent of the corpus near candidates.
 DICTIONARY_WORDS = 2000
 #: Bytes that a candidate costs behind the dictionary, for each byte that it would cost as random text of its alphabet.
 LEAST_NOVELTY = 0.8
-#: Bits of a character behind the one before it, by the dictionary's words: random strings cost more. Each bit less adds STEEP to the novelty asked for.
+#: Bits of a character behind the one before it, by the corpus' words: random strings cost more. Each bit less adds STEEP to the novelty asked for.
 RANDOM_BITS, STEEP = 5.0, 3.0
-AROUND = 200
+#: Bits at most of one character, however rare it is behind the one before it.
+MOST_BITS = 8.0
+AROUND, REACH = 200, 60
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A | re.I)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _HINTS = ("passw", "secret", "token", "api_key", "apikey", "credential", "bearer", "private", "auth", "signature", "-----begin")
-_SENSITIVE = re.compile(r"(?:passw|secret|token|api_?key|credential|bearer|private|auth|signature|-----begin)[^\n]{0,60}?(?<![A-Za-z0-9+/_=-])([A-Za-z0-9+/_=-]{16,})", re.A | re.I)
+_HINT = re.compile("passw|secret|token|api_?key|credential|bearer|private|auth|signature|-----begin", re.I | re.A)
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----((?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/=]+)+)")
 _WORD = re.compile(r"[A-Za-z_][A-Za-z0-9_]{2,}")
 #: Identifiers that code around credentials commonly holds; they come after the corpus' own.
 COMMON = "public static final private protected string const config settings client server request response header authorization content type application json export import return function class default value username password secret token key access bearer basic https http example localhost".split()
@@ -56,51 +64,100 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def _candidates(text: str, low: str) -> list[tuple[int, int]]:
+    """Spans of candidates, by start."""
     if not any(x in low for x in _HINTS):
         return []
-    return [m.span(1) for m in _SENSITIVE.finditer(text)]
+    found: set[tuple[int, int]] = set()
+    for hint in _HINT.finditer(text):
+        at = hint.end()
+        # strings that follow one another on the line, each within reach of the one before
+        while (m := _RUN.search(text, at, at + REACH + 16)) and m.start() - at <= REACH and "\n" not in text[at : m.start()]:
+            whole = _RUN.match(text, m.start())
+            if whole.span() in found:
+                break
+            found.add(whole.span())
+            at = whole.end()
+    for block in _BLOCK.finditer(text):
+        found.update(m.span() for m in _RUN.finditer(text, block.start(1), block.end(1)))
+    return sorted(found)
 
 
-def identifiers(docs: DataFrame, words: int = DICTIONARY_WORDS) -> list[str]:
-    """The words most frequent around sensitive strings in all documents, commonest first. Counts are summed on the executors."""
+def _blanked(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without its candidates: what is around one is not another."""
+    parts, at = [], 0
+    for lo, hi in spans:
+        parts += [text[at:lo], " " * (hi - lo)]
+        at = hi
+    return "".join([*parts, text[at:]])
+
+
+_SIGNS = np.full(256, 36, np.uint16)
+for _k, _c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789"):
+    _SIGNS[ord(_c)] = _SIGNS[ord(_c.upper())] = _k
+
+
+def _pair_counts(column: pa.Array) -> np.ndarray:
+    """How often each letter or digit stands behind each other one (or behind none), over all texts: 37 x 37."""
+    data, _ = flat(column)
+    signs = _SIGNS[data]
+    return np.bincount(signs[:-1] * np.uint16(37) + signs[1:], minlength=37 * 37) if len(signs) > 1 else np.zeros(37 * 37, np.int64)
+
+
+class Corpus(NamedTuple):
+    """What the corpus tells: words most frequent around candidates, and pairs of characters in all words."""
+
+    words: list[str]
+    pairs: list[int]
+
+
+def identifiers(docs: DataFrame, words: int = DICTIONARY_WORDS) -> Corpus:
+    """The words most frequent around candidates in all documents, commonest first, and pairs of characters over all texts. Counts are summed on the executors."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
+        pairs = np.zeros(37 * 37, np.int64)
         for b in batches:
+            pairs += _pair_counts(b.column("text"))
             for t in b.column("text").to_pylist():
-                low = t.lower()
-                for lo, hi in _candidates(t, low):
-                    seen.update(_WORD.findall(t[max(0, lo - AROUND) : lo]))
-                    seen.update(_WORD.findall(t[hi : hi + AROUND]))
+                spans = _candidates(t, t.lower())
+                if spans:
+                    around = _blanked(t, spans)
+                    for lo, hi in spans:
+                        seen.update(_WORD.findall(around[max(0, lo - AROUND) : lo]))
+                        seen.update(_WORD.findall(around[hi : hi + AROUND]))
             if len(seen) > 200_000:
                 yield _counts(seen)
                 seen.clear()
-        yield _counts(seen)
+        # a pair's name is no word
+        yield _counts(seen + Counter({f"-{k}": int(n) for k, n in enumerate(pairs) if n}))
 
-    got = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in got.orderBy(F.desc("n"), "word").limit(words).collect()]
+    got = docs.select("text").mapInArrow(count, "word string, n long").groupBy(F.col("word").startswith("-").alias("pair"), "word").agg(F.sum("n").alias("n"))
+    told = {int(r.word[1:]): r.n for r in got.filter("pair").collect()}
+    return Corpus([r.word for r in got.filter("NOT pair").orderBy(F.desc("n"), "word").limit(words).collect()], [told.get(k, 0) for k in range(37 * 37)])
 
 
 def _counts(seen: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
 
 
-def _pairs(word: str) -> list[tuple[str, str]]:
-    """Each letter or digit and what comes before it; signs are breaks."""
-    w = f" {re.sub('[^a-z0-9]+', ' ', word.lower())}"
-    return [(a, b) for a, b in zip(w, w[1:], strict=False) if b != " "]
+def _pairs(word: str) -> list[int]:
+    """Each letter or digit and what comes before it, as places of the pair counts; signs are breaks."""
+    signs = [36, *_SIGNS[np.frombuffer(word.encode("ascii", "replace"), np.uint8)].tolist()]
+    return [a * 37 + b for a, b in zip(signs, signs[1:], strict=False) if b != 36]
 
 
 class Novelty:
     """Marginal compressed bytes of a string behind a dictionary and its surroundings."""
 
-    def __init__(self, words: list[str]) -> None:
-        self.known = " ".join([*COMMON, *reversed(words)]).encode()
-        pairs = Counter(p for w in [*COMMON, *words] for p in _pairs(w))
-        firsts: Counter[str] = Counter()
-        for (a, _), n in pairs.items():
-            firsts[a] += n
-        self.pairs, self.firsts = pairs, firsts
+    def __init__(self, corpus: Corpus) -> None:
+        self.known = " ".join([*COMMON, *reversed(corpus.words)]).encode()
+        pairs = np.array(corpus.pairs, float)
+        for w in (*COMMON, *corpus.words):
+            for p in _pairs(w):
+                pairs[p] += 1
+        table = pairs.reshape(37, 37)[:, :36]
+        # 36 letters and digits, each seen once in five beforehand
+        self.cost = np.minimum(MOST_BITS, np.log2((table.sum(1, keepdims=True) + 7.2) / (table + 0.2)))
 
     def __call__(self, text: str, lo: int, hi: int) -> float:
         # the surroundings come last, where matches are nearest; the string itself is cut out of them
@@ -109,18 +166,17 @@ class Novelty:
         key = text[lo:hi]
         cost = len(packer.compress(key.encode())) - len(packer.compress(b""))
         # random text of the alphabet costs so many bytes
-        bits = 4 if re.fullmatch(r"[0-9a-fA-F]+", key) else 5 if key.upper() == key or key.lower() == key else 6
+        bits = math.log2(10) if key.isdigit() else 4 if re.fullmatch(r"[0-9a-fA-F]+", key) else 5 if key.upper() == key or key.lower() == key else 6
         return cost / (len(key) * bits / 8)
 
     def bits(self, key: str) -> float:
-        """Bits of a character of key, behind the one before it, by the dictionary's words."""
+        """Bits of a character of key, behind the one before it, by the corpus' words; a pair that comes again costs nothing."""
         pairs = _pairs(key)
-        # 36 letters and digits, each seen once in five beforehand; a pair that comes again costs nothing
-        return sum(math.log2((self.firsts[a] + 7.2) / (self.pairs[a, b] + 0.2)) for a, b in set(pairs)) / max(len(pairs), 1)
+        return sum(self.cost[p // 37, p % 37] for p in set(pairs)) / max(len(pairs), 1)
 
     def enough(self, key: str, least: float) -> float:
         """The novelty from which key is reported."""
-        return least + STEEP * max(0.0, RANDOM_BITS - self.bits(key))
+        return least if key.isdigit() else least + STEEP * max(0.0, RANDOM_BITS - self.bits(key))
 
 
 def scan_text(text: str, novelty: Novelty, least: float = LEAST_NOVELTY) -> list[tuple[str, int, int]]:

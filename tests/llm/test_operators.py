@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -239,12 +240,77 @@ def test_added_tokens_are_the_plain_tokenizers():
     assert encode("a <|endoftext|> b") == [64, 220, 50256, 275]
 
 
-def test_random_keys_are_novel():
-    novelty, r = secrets.Novelty([]), random.Random(5)
-    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
-    for alphabet in (letters + "0123456789", letters):
-        keys = ["".join(r.choices(alphabet, k=n)) for n in range(16, 41) for _ in range(40)]
-        found = [secrets.scan_text(f"bearer {k} end", novelty) == [("novel", 7, 7 + len(k))] for k in keys]
-        assert sum(found) >= 0.99 * len(found)
-    for name in ("AuthenticationManagerBuilder", "/usr/local/share/certificates", "a" * 16, "-" * 20, "0" * 16, "authorization_header_content"):
-        assert secrets.scan_text(f"auth {name} end", novelty) == []
+NATURAL = """The committee discussed international responsibilities and the environmental consequences of transportation, while electronic measurements were recorded throughout the laboratory by experienced engineers who understood the underlying mathematical principles.
+Die Geschwindigkeit der Entwicklung begrenzt unsere Verantwortung; wissenschaftliche Untersuchungen bestätigen, dass die Zusammenarbeit zwischen Einrichtungen eine gemeinsame Voraussetzung für nachhaltige Veränderungen ist.
+La constitution garantit naturellement les libertés fondamentales, et les gouvernements successifs ont développé des institutions indépendantes pour protéger les citoyens contre les abus administratifs.
+Las responsabilidades internacionales requieren una administración transparente, porque las organizaciones independientes investigan constantemente las consecuencias económicas de las decisiones gubernamentales."""
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+ALPHABETS = {"base62": LETTERS + LETTERS.upper() + "0123456789", "letters": LETTERS + LETTERS.upper(), "lower": LETTERS, "upper": LETTERS.upper(), "digits": "0123456789", "hex": "0123456789ABCDEF", "base64": LETTERS + LETTERS.upper() + "0123456789+/"}
+PLAIN = "electroencephalogram Geschwindigkeitsbegrenzung internationalization anticonstitutionnellement responsabilidades counterrevolutionary Wahrscheinlichkeitsrechnung institutionalisation desproporcionadamente environmentalists Verantwortungsbewusstsein constitutionnellement".split()
+
+
+@pytest.fixture(scope="module")
+def natural(spark):
+    return secrets.identifiers(spark.createDataFrame([(NATURAL,)] * 40, "text string").repartition(3))
+
+
+def test_random_keys_are_novel(natural):
+    for corpus in (secrets.Corpus([], [0] * 37 * 37), natural):
+        novelty, r = secrets.Novelty(corpus), random.Random(5)
+        for name, alphabet in ALPHABETS.items():
+            for n in (16, 20, 24, 32, 40):
+                keys = ["".join(r.choices(alphabet, k=n)) for _ in range(40)]
+                shown = [secrets.scan_text(f"bearer {k} end", novelty) for k in keys]
+                assert sum([y[1:] for y in x] == [(7, 7 + n)] for x in shown) >= 38, (name, n, sum(map(bool, shown)))
+        for name in ("AuthenticationManagerBuilder", "/usr/local/share/certificates", "a" * 16, "-" * 20, "0" * 16, "authorization_header_content"):
+            assert secrets.scan_text(f"auth {name} end", novelty) == []
+
+
+def test_plain_words_are_no_secrets(natural):
+    novelty = secrets.Novelty(natural)
+    assert [w for w in PLAIN if len(w) >= 16 and secrets.scan_text(f"the secret {w} of", novelty)] == []
+
+
+def test_every_key_of_a_line_and_of_a_block(natural):
+    novelty, r = secrets.Novelty(natural), random.Random(9)
+    key = lambda n: "".join(r.choices(ALPHABETS["base62"], k=n))
+    a, b, c, far = key(24), key(30), key(20), key(22)
+    text = f"auth {a} and {b}, {c} {'x ' * 40}{far}\n{key(20)}"
+    assert [text[lo:hi] for _, lo, hi in secrets.scan_text(text, novelty)] == [a, b, c]
+    lines = [key(64) for _ in range(5)] + [key(21) + "=="]
+    block = "see\n-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(lines) + "\n-----END RSA PRIVATE KEY-----\nbye"
+    assert [block[lo:hi] for _, lo, hi in secrets.scan_text(block, novelty)] == lines
+    public = block.replace("RSA PRIVATE", "PUBLIC")
+    assert secrets.scan_text(public, novelty) == []
+    assert secrets.scan_text(block.replace("\n", "\r\n"), novelty)[0][1] == block.replace("\n", "\r\n").index(lines[0])
+
+
+def plain_candidates(text):
+    """By definition: every run of 16 and more signs that a chain of short gaps leads to from a hint, or that is a line of a private key."""
+    runs = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text) if m.end() - m.start() >= 16]
+    found = set()
+    for m in re.finditer("passw|secret|token|api_?key|credential|bearer|private|auth|signature|-----begin", text, re.I | re.A):
+        at = m.end()
+        for lo, hi in runs:
+            if lo >= at and lo - at <= 60 and "\n" not in text[at:lo]:
+                found.add((lo, hi))
+                at = hi
+            elif lo >= at:
+                break
+    return sorted(found)
+
+
+def test_candidates_are_those_of_the_plain_form():
+    r = random.Random(3)
+    parts = ["secret", "TOKEN", "auth", " ", " ", "\n", ", ", "x" * 16, "Ab1" * 8, "long words in between ", "=", "é", "private_key_of_someone", "-----BEGIN", "ſecret "]
+    for _ in range(3000):
+        t = "".join(r.choices(parts, k=r.randint(1, 25)))
+        assert secrets._candidates(t, t.lower()) == plain_candidates(t), t
+
+
+def test_pairs_are_counted_over_whole_texts(spark):
+    texts = ["Ab1", "", "é-a", "zz"]
+    d = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    got = secrets.identifiers(d).pairs
+    sign = lambda c: "abcdefghijklmnopqrstuvwxyz0123456789".find(c.lower()) % 37 if c.isascii() and c.isalnum() else 36
+    assert got[sign("a") * 37 + sign("b")] == 1 and got[sign("b") * 37 + sign("1")] == 1 and got[sign("z") * 37 + sign("z")] == 1
