@@ -145,3 +145,11 @@ def truncated(subject: Column, n: int = 50) -> Column:
     raw = F.encode(subject, "utf-8")
     cut = F.make_valid_utf8(F.substring(raw, 1, n - 3).cast("string"))
     return F.when(F.octet_length(subject) > n, F.concat(F.regexp_replace(cut, "\ufffd+$", ""), F.lit("..."))).otherwise(subject)
+
+
+def chars_within(text: Column, most: Column) -> Column:
+    """How many whole characters the first `most` bytes hold: the place before a character that would be cut."""
+    cut = F.substring(F.encode(text, "utf-8"), F.lit(1), most.cast("int"))
+    # bytes that begin a character, but for the last one if it isn't whole
+    begun = F.length(F.translate(F.decode(cut, "iso-8859-1"), "".join(map(chr, range(0x80, 0xC0))), ""))
+    return F.when(F.is_valid_utf8(cut.cast("string")), begun).otherwise(begun - 1).cast("long")

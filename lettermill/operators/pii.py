@@ -38,8 +38,8 @@ def email_ok(text: Column) -> Column:
     for a, b in (("[at]", "@"), ("(at)", "@"), ("[dot]", "."), ("(dot)", ".")):
         clean = F.replace(clean, F.lit(a), F.lit(b))
     parts = F.split(clean, "@", -1)
-    labels = F.split(F.get(parts, 1), "[.]", -1)
-    return (F.size(parts) == 2) & F.octet_length(parts[0]).between(1, 64) & F.octet_length(parts[1]).between(1, 253) & (F.size(labels) > 1) & ~F.exists(labels, lambda x: x == "") & (F.length(F.element_at(labels, -1)) >= 2)
+    labels = F.split(F.coalesce(F.get(parts, 1), F.lit("")), "[.]", -1)
+    return (F.size(parts) == 2) & F.octet_length(parts[0]).between(1, 64) & F.coalesce(F.octet_length(F.get(parts, 1)).between(1, 253), F.lit(False)) & (F.size(labels) > 1) & ~F.exists(labels, lambda x: x == "") & (F.length(F.element_at(labels, -1)) >= 2)
 
 
 def location_ok(text: Column) -> Column:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import fake
+from ..functions import fake, registered
 from ..functions import text as X
 from ..operators import analysis, classify, known, names, pii, progress, route, spans
 from ..operators import rules as R
@@ -644,6 +645,126 @@ def content_buckets(spark, sf_dir):
     return m.groupBy(analysis.content_bucket().alias("bucket")).agg(F.count("*").alias("n"))
 
 
+# --- small operators over the tables ---
+@_query("SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS sent_at FROM events")
+def sent_dates(spark, sf_dir):
+    head = F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "EEE, d MMM yyyy HH:mm:ss '+0000'")).otherwise(F.date_format(F.col("ts") + F.expr("INTERVAL 2 HOURS"), "EEE, dd MMM yyyy HH:mm:ss '+0200 (CEST)'"))
+    rows = mime.sent_at(mail.table(spark, sf_dir, "events").select("event_id", head.alias("sent")))
+    return rows.select("event_id", F.date_format("sent_ts", "yyyy-MM-dd HH:mm:ss").alias("sent_at"))
+
+
+@_query(f"WITH {_MAIL}, d AS (SELECT doc_id, source FROM documents) SELECT m.id, 'Subject: ' || subject || chr(10) || 'From: ' || sender || chr(10) || 'To: Desk <' || source || '@List.example.com>' || chr(10) || 'Body: ' || body || chr(10) || 'Snippet: ' || snippet AS flat, CASE WHEN subject <> '' THEN subject END AS subject, sender FROM m JOIN d ON CAST(doc_id AS VARCHAR) = m.id")
+def flattened_messages(spark, sf_dir):
+    flat = mail.messages(spark, sf_dir).select("id", mail.flattened().alias("flat"))
+    return mail.rebuilt(flat, "flat").select("id", "flat", "subject", F.col("from").alias("sender"))
+
+
+@_query("SELECT CAST(doc_id AS VARCHAR) AS id, source AS subject, lang AS sender, 'a@b.example|c@d.example' AS recipients, CASE WHEN doc_id % 2 = 0 THEN 'Fri' END AS sent FROM documents")
+def header_projections(spark, sf_dir):
+    h = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
+    many = F.array(h("X-Other", F.lit("x")), h("SUBJECT", F.col("source")), h("subject", F.lit("second")), h("From", F.col("lang")), h("tO", F.lit(" a@b.example ,c@d.example")))
+    d = mail.table(spark, sf_dir, "documents").withColumn("headers", F.when(F.col("doc_id") % 2 == 0, F.concat(many, F.array(h("Date", F.lit("Fri"))))).otherwise(many))
+    return mail.headers(d).select(F.col("doc_id").cast("string").alias("id"), "subject", F.col("from").alias("sender"), F.array_join("to", "|").alias("recipients"), "sent")
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(messages, labels): conversations whose label ids are their roles' and a few of their own."""
+    c = mail.table(spark, sf_dir, "conversations")
+    own = F.concat(F.when(F.col("role") == "user", "Agentic/").when(F.col("role") == "assistant", "TEST_").otherwise(""), F.col("role"))
+    rows = c.select(F.col("conv_id").cast("string").alias("id"), F.concat(F.lit("label_"), F.col("role")).alias("label"), own.alias("name"))
+    m = rows.groupBy("id").agg(F.collect_set("label").alias("label_ids")).withColumn("label_ids", F.array_append("label_ids", F.lit("INBOX")))
+    dim = rows.select(F.col("label").alias("id"), "name").distinct().unionByName(spark.createDataFrame([("INBOX", "INBOX")], "id string, name string"))
+    return m, dim
+
+
+@_query("SELECT CAST(conv_id AS VARCHAR) AS id, array_to_string(list_sort(['INBOX'] || coalesce(list(DISTINCT 'label_' || role) FILTER (role NOT IN ('user', 'assistant')), [])), ',') AS labels FROM conversations GROUP BY conv_id")
+def label_cleanup(spark, sf_dir):
+    m, dim = _labelled(spark, sf_dir)
+    left, _ = route.drop_labels(m, dim, route.own_label(F.col("name")))
+    return left.select("id", F.array_join(F.sort_array("label_ids"), ",").alias("labels"))
+
+
+@_query("SELECT DISTINCT CAST(conv_id AS VARCHAR) AS id FROM conversations WHERE role = 'system'")
+def messages_by_label(spark, sf_dir):
+    m, dim = _labelled(spark, sf_dir)
+    return route.by_label(m, dim, "system")[0].select("id")
+
+
+_NUMBER = "CASE doc_id % 5 WHEN 0 THEN '+' || repeat('7', CAST(doc_id % 19 AS INTEGER)) WHEN 1 THEN '(' || CAST(100 + doc_id % 900 AS VARCHAR) || ') 555-0100' WHEN 2 THEN '1' || CAST(1000000000 + doc_id * 7919 % 9000000000 AS VARCHAR) WHEN 3 THEN CAST(doc_id AS VARCHAR) || '-22' ELSE CAST(200 + doc_id % 800 AS VARCHAR) || '-555-0100 ext 9' END"
+_ADDRESS = "CASE doc_id % 6 WHEN 0 THEN repeat('a', CAST(doc_id % 70 AS INTEGER)) || '@b.example' WHEN 1 THEN '<x@y.' || substr('abc', 1, CAST(doc_id % 4 AS INTEGER)) || '>' WHEN 2 THEN 'x [at] y [dot] zz' WHEN 3 THEN 'a@b@c.example' WHEN 4 THEN 'a@b..example' ELSE 'nobody' END"
+_PLACE = "CASE doc_id % 6 WHEN 0 THEN CAST(doc_id AS VARCHAR) || ' Bern' WHEN 1 THEN 'Hofweg ' || CAST(doc_id AS VARCHAR) WHEN 2 THEN 'A-' || CAST(doc_id AS VARCHAR) WHEN 3 THEN lpad(CAST(doc_id AS VARCHAR), 5, '0') || ' Ort' WHEN 4 THEN 'Ort' ELSE 'Bergstrasse ' || CAST(doc_id AS VARCHAR) || 'b' END"
+
+
+@_query(f"SELECT doc_id, {_PHONE_OK.replace('f.t', 'p')} AS phone, {_EMAIL_OK.replace('f.t', 'e')} AS email, {_LOCATION_OK.replace('f.t', 'l')} AS location FROM (SELECT doc_id, {_NUMBER} AS p, {_ADDRESS} AS e, {_PLACE} AS l FROM documents)")
+def validity_of_spans(spark, sf_dir):
+    as_spark = lambda sql: F.expr(sql.replace("VARCHAR", "STRING").replace("INTEGER", "INT").replace("substr('abc', 1,", "substring('abc', 1,"))
+    d = mail.table(spark, sf_dir, "documents").select("doc_id", as_spark(_NUMBER).alias("p"), as_spark(_ADDRESS).alias("e"), as_spark(_PLACE).alias("l"))
+    return d.select("doc_id", pii.phone_ok(F.col("p")).alias("phone"), pii.email_ok(F.col("e")).alias("email"), pii.location_ok(F.col("l")).alias("location"))
+
+
+@_query(f"SELECT doc_id, n, chars, CAST({_BYTES('substring(text, 1, chars)')} AS BIGINT) AS bytes FROM (SELECT doc_id, text, doc_id % 300 AS n, CAST(len(list_filter(range(1, least(length(text), 300) + 1), lambda k: {_BYTES('substring(text, 1, k)')} <= doc_id % 300)) AS BIGINT) AS chars FROM documents)")
+def byte_boundaries(spark, sf_dir):
+    d = mail.table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 300).alias("n"))
+    chars = X.chars_within(F.col("text"), F.col("n"))
+    return d.select("doc_id", "n", chars.alias("chars"), pii.byte_offset(F.col("text"), chars.cast("int")).alias("bytes"))
+
+
+@_query("SELECT s_suppkey, 'email_' || lpad(CAST(s_suppkey - (SELECT min(s_suppkey) FROM supplier) + 1 AS VARCHAR), CAST(greatest(3, length(CAST(s_suppkey AS VARCHAR))) AS INTEGER), '0') || '.json' AS filename, s_name AS subject FROM supplier WHERE s_suppkey % 10 <> 3")
+def message_files(spark, sf_dir):
+    """Suppliers as message files, written with a manifest and read back in its order; every tenth has failed and leaves a gap."""
+    s = mail.table(spark, sf_dir, "supplier").select(F.format_string("%09d", "s_suppkey").alias("id"), F.col("s_name").alias("subject"), *[F.lit(None).cast("string").alias(c) for c in ("snippet", "from")], F.lit(None).cast("array<string>").alias("to"), F.lit(None).cast("string").alias("sent"), F.lit(None).cast("string").alias("body"), F.when(F.col("s_suppkey") % 10 == 3, "down").alias("error"))
+    at = f"{store.shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    mailbox.register(spark)
+    mail.write_json(s, at)
+    back = mail.read_json(spark, f"{at}/email_*.json", mail.read_manifest(spark, at))
+    return back.select(F.col("id").cast("long").alias("s_suppkey"), "filename", "subject")
+
+
+@_query("SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN quality = 1 THEN 'Reference' ELSE 'Noise' END AS category, 'later' AS recorded_at FROM labels")
+def recordings_kept(spark, sf_dir):
+    """Answers recorded twice, written as files and read back: the last one stands."""
+    r = mail.table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"), F.lit("s").alias("subject"), F.lit(None).cast("string").alias("snippet"), F.lit("f").alias("from"), F.when(F.col("quality") == 1, "Reference").otherwise("Noise").alias("category"), F.lit(1.0).alias("score"), F.lit("r").alias("response"), F.lit("later").alias("recorded_at"))
+    at = f"{store.shared_dir(spark)}/recordings-{uuid.uuid4().hex}"
+    mail.write_recordings(r.unionByName(r.withColumns({"category": F.lit("Spam"), "recorded_at": F.lit("earlier")})), at, "model", "now")
+    return mail.read_recordings(spark, at).select("id", "category", "recorded_at")
+
+
+def _first_word(prompts: list[str]) -> list[str]:
+    """Stands in for a model that takes the first word of a text for a name."""
+    return [json.dumps([(p.split("\n---\n", 1)[1].split() or [""])[0]]) if "name" in p.split("\n", 1)[0] else "[]" for p in prompts]
+
+
+_NO_HTML = "NOT contains(text, '<') AND NOT contains(text, '&')"
+
+
+@_query(f"SELECT doc_id, w AS name, CAST(least(1000, len(string_split(text, w)) - 1) AS BIGINT) AS n FROM (SELECT doc_id, text, {_sql_words('text')}[1] AS w FROM documents WHERE {_NO_HTML}) WHERE regexp_full_match(w, '[A-Za-z]{{4,}}')")
+def model_names(spark, sf_dir):
+    docs = mail.table(spark, sf_dir, "documents").select("doc_id", "text").filter(_NO_HTML)
+    docs = docs.filter(F.get(X.words(F.col("text")), 0).rlike("^[A-Za-z]{4,}$"))
+    found = names.detect_all(docs, _first_word, patterns=False).select("doc_id", F.explode("entities").alias("e"))
+    return found.groupBy("doc_id", F.col("e.text").alias("name")).agg(F.count("*").alias("n"))
+
+
+# --- the functions of SQL ---
+@_query(f"WITH {cases.SQL} SELECT id, category, CAST(score AS DOUBLE) AS score, router_urgent AS urgent FROM m WHERE body IS NULL")
+def sql_rules(spark, sf_dir):
+    registered.register(spark)
+    f = classify.features(cases.messages(spark, sf_dir).filter("body IS NULL"))
+    return spark.sql("SELECT id, rule_category(_f.c, _f.d, _f.raw, _f.sub) AS category, rule_score(_f.c, _f.d, _f.raw, _f.sub) AS score, is_urgent(subject, snippet, body) AS urgent FROM {f}", f=f)
+
+
+@_query(f"SELECT doc_id, array_to_string(list_slice(list_filter({_sql_words('text')}, lambda w: NOT {_sql_noise('w')}), 1, 20), ' ') AS words, lower(split_part(source || '@' || lang || '.example.com', '@', 2)) AS domain FROM documents")
+def sql_words(spark, sf_dir):
+    registered.register(spark)
+    return spark.sql("SELECT doc_id, meaningful_words(text, 20) AS words, rule_domain(concat(source, '@', lang, '.example.com')) AS domain FROM {d}", d=mail.table(spark, sf_dir, "documents"))
+
+
+@_query(f"WITH {_sql_spans('documents', 'doc_id')}, {_EXPLODED}, {_sql_dictionary('x', '(doc_id, z.s)')} SELECT text, stand_in FROM d")
+def sql_stand_ins(spark, sf_dir):
+    registered.register(spark)
+    return spark.sql("SELECT text, stand_in(pii_type, text, seed) AS stand_in FROM {m}", m=pii.mapping(_detected(spark, sf_dir), "doc_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 

@@ -132,7 +132,7 @@ def rebuilt(df: DataFrame, column: str) -> DataFrame:
 def headers(df: DataFrame) -> DataFrame:
     """subject, from, sent, to from an array of (name, value) structs `headers`: the first of each name in any case."""
     first = lambda n: F.get(F.filter("headers", lambda h: F.lower(h["name"]) == n), 0)["value"]
-    return df.withColumns({"subject": first("subject"), "from": first("from"), "sent": first("date"), "to": F.transform(F.split(first("to"), ","), F.trim)})
+    return df.withColumns({"subject": first("subject"), "from": first("from"), "sent": first("date"), "to": F.transform(F.split(first("to"), ","), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))})
 
 
 def unread(df: DataFrame, most: int = 5) -> DataFrame:
