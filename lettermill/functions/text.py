@@ -1,14 +1,13 @@
-"""Text cleaning as column expressions; HTML alone needs a parser and so an Arrow function."""
+"""Text cleaning and HTML to text as column expressions; read_html is the same for the prompts of a model, which are made in Python."""
 
 from __future__ import annotations
 
 import re
+from html.entities import name2codepoint
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Patterns and words that results depend on.
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
@@ -135,9 +134,31 @@ def read_html(html: str | None) -> str | None:
     return "\n".join([text.strip(), *[f"[{k}]: {v}" for k, v in enumerate(r.links, 1)]])
 
 
-@F.pandas_udf(StringType())
-def html_text(html: pd.Series) -> pd.Series:
-    return html.map(read_html)
+# --- HTML to text ---
+_ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});"
+_BLOCKS = "br|p|div|li|tr|h1|h2|h3"
+
+
+def _entities(text: Column) -> Column:
+    """Numbers and the names of HTML 4 that end in a semicolon, as their characters; other names stay."""
+    names = F.create_map(*[F.lit(x) for k, v in name2codepoint.items() for x in (k, chr(v))])
+    number = lambda e: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(e, "^&#([0-9]+);$", 1), F.lit("")), F.lit("9999999")).cast("long"), F.conv(F.nullif(F.regexp_extract(e, "^&#[xX]([0-9a-fA-F]+);$", 1), F.lit("")), 16, 10).cast("long"))
+    # code points are spelt in UTF-8, as there is no function that makes a character above 255
+    code = lambda n: F.decode(F.unhex(F.format_string("%08x", n)), "utf-32")
+    fits = lambda n: n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+    one = lambda e: F.coalesce(F.get(F.array(F.try_element_at(names, F.btrim(e, F.lit("&;")))), 0), F.transform(F.array(number(e)), lambda n: F.when(fits(n), code(n)))[0], e)
+    pieces = F.transform(F.array(F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0))), lambda hits: F.concat(F.flatten(F.zip_with(F.slice(F.split(text, _ENTITY, -1), F.lit(1), F.size(hits)), hits, lambda gap, e: F.array(gap, one(e)))), F.slice(F.split(text, _ENTITY, -1), -1, 1)))[0]
+    return F.when(text.contains("&"), F.array_join(pieces, "")).otherwise(text)
+
+
+def html_text(html: Column) -> Column:
+    """Text of HTML, then its links by number: blocks begin a line, blanks run together, scripts, styles and comments are left out. Lines are as long as they are: whoever reads words sees no difference."""
+    t = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>|<!doctype[^>]*>", "")
+    links = F.filter(F.transform(F.regexp_extract_all(t, F.lit(r"""(?is)<a\b[^>]*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""), F.lit(1)), lambda x: _entities(F.regexp_replace(x, r"""^["']|["']$""", ""))), lambda x: x != "")
+    t = F.regexp_replace(t, rf"(?i)<(?:{_BLOCKS})\b[^>]*>|</(?:p|div|li|tr)\s*>", "\n")
+    t = F.btrim(F.regexp_replace(_entities(F.regexp_replace(t, r"</?[a-zA-Z][^>]*>", "")), r"(?U)[\s&&[^\n]]+", " "), F.lit(" \n"))
+    shown = F.transform(links, lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("]: "), x))
+    return F.when(html.isNotNull(), F.concat_ws("\n", t, F.when(F.size(shown) > 0, F.array_join(shown, "\n"))))
 
 
 def truncated(subject: Column, n: int = 50) -> Column:

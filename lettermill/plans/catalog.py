@@ -105,7 +105,23 @@ def strip_html_basic(spark, sf_dir):
     return mail.table(spark, sf_dir, "pages").select("page_id", X.strip_html(F.col("html")).alias("stripped"))
 
 
-@_query()
+def _sql_html(x: str) -> str:
+    for pattern, by in ((r"(?s)<!--.*?-->", ""), (r"(?is)<script\b[^>]*>.*?</script\s*>", ""), (r"(?is)<style\b[^>]*>.*?</style\s*>", ""), (r"(?is)<!doctype[^>]*>", "")):
+        x = f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
+    return x
+
+
+def _sql_entities(x: str) -> str:
+    for name, char in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&copy;", "chr(169)"), ("&middot;", "chr(183)"), ("&nbsp;", "chr(160)"), ("&amp;", "'&'")):
+        x = f"replace({x}, '{name}', {char})"
+    return x
+
+
+_LINK = r"""(?is)<a\b[^>]*?\shref\s*=\s*("[^"]*"|''[^'']*''|[^\s>]+)"""
+_HTML_TEXT = "trim(regexp_replace(" + _sql_entities(r"regexp_replace(regexp_replace(t, '(?i)<(?:br|p|div|li|tr|h1|h2|h3)\b[^>]*>|</(?:p|div|li|tr)\s*>', chr(10), 'g'), '</?[a-zA-Z][^>]*>', '', 'g')") + f", '{_BLANK.replace(chr(92) + 'x{09}-' + chr(92) + 'x{0d}', chr(92) + 'x{09}' + chr(92) + 'x{0b}-' + chr(92) + 'x{0d}')}+', ' ', 'g'), ' ' || chr(10))"
+
+
+@_query(f"WITH h AS (SELECT page_id, {_sql_html('html')} AS t FROM pages), l AS (SELECT page_id, {_HTML_TEXT} AS plain, list_filter(list_transform(regexp_extract_all(t, '{_LINK}', 1), lambda x: {_sql_entities('trim(x, chr(34) || chr(39))')}), lambda x: x <> '') AS links FROM h) SELECT page_id, plain || CASE WHEN len(links) > 0 THEN chr(10) || array_to_string(list_transform(links, lambda x, i: '[' || i || ']: ' || x), chr(10)) ELSE '' END AS plain FROM l")
 def html_to_text(spark, sf_dir):
     return mail.table(spark, sf_dir, "pages").select("page_id", X.html_text(F.col("html")).alias("plain"))
 

@@ -29,6 +29,14 @@ def test_html():
     assert X.read_html("<p>Hi <b>you</b></p><script>x()</script><a href='http://l.example'>go</a>") == "Hi you\ngo\n[1]: http://l.example"
 
 
+def test_html_in_columns_is_the_parsers(spark):
+    cases = ["<p>Hi <b>you</b></p><script>x()</script><a href='http://l.example'>go</a>", "a &amp; b &lt;c&gt; &#233;&#x20AC;&#128512; &nope; &copy;", "<!-- x > y --><DIV>A<br/>B</DIV>C", "<style>p{}</style>x  y\tz", "<a class='q' href=\"/x?a=1&amp;b=2\">l</a> 1 < 2", None, "", "no tags", "<ul><li>a</li><li>b</li></ul>", "<A HREF=x>u</A><a name=n>v</a>"]
+    df = spark.createDataFrame(list(enumerate(cases)), "k int, h string")
+    assert {r.k: r.t for r in df.select("k", X.html_text(F.col("h")).alias("t")).collect()} == {k: X.read_html(c) for k, c in enumerate(cases)}
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html", X.html_text(F.col("html")).alias("t")).collect():
+        assert r.t == X.read_html(r.html)
+
+
 def test_demo_messages_take_the_branches(spark):
     got = {r.id: (r.category, r.score) for r in classify.by_rules(mail.demo(spark)).collect()}
     assert got == {"1": ("Reference", 0.8), "2": ("ActionRequired", 0.9), "3": ("InterestingInfo", 0.85), "4": ("Spam", 0.95), "5": ("Reference", 0.6)}
