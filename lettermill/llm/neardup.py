@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from .common import mix, stored, tune
 
-SHINGLE, BANDS, KEPT, LEAST = 5, 48, 2, 0.8
+SHINGLE, BANDS, KEPT, LEAST = 5, 64, 2, 0.8
 #: A list of ids of at most so many rows is broadcast; a longer one is shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Texts and words of one block of a band.

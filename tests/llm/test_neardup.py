@@ -115,3 +115,34 @@ def test_odd_rows_and_clashing_columns(spark):
     assert neardup.keep_one(spark, d.limit(0)).count() == 0 and neardup.near_duplicates(spark, d.limit(0)).count() == 0
     clash = d.withColumnsRenamed({"gone": "_gone", "k": "_id", "i": "_key"})
     assert neardup.keep_one(spark, clash.unionByName(clash)).columns == clash.columns
+
+
+def edited(words, share, r):
+    """words with a share of them replaced, dropped or followed by a new one."""
+    out = []
+    for w in words:
+        kind = r.choice("rdi") if r.random() < share else ""
+        out += [f"n{r.random()}"] if kind == "r" else [] if kind == "d" else [w, f"n{r.random()}"] if kind == "i" else [w]
+    return out
+
+
+def test_recall_from_a_similarity_of_four_fifths(spark):
+    r = random.Random(12)
+    pairs = []
+    for k in range(480):
+        words = prose(r.choice([80, 200, 500]), 1000 + k).split()
+        words = [f"{w}{k}" for w in words]
+        pairs.append((words, edited(words, r.choice([0.03, 0.08, 0.12, 0.16, 0.19]), r)))
+    got = found(spark, [" ".join(w) for p in pairs for w in p])
+    read, hits = neardup.Words(), {}
+    for k, (a, b) in enumerate(pairs):
+        x, y = read(" ".join(a)), read(" ".join(b))
+        longer = max(len(x), len(y))
+        d = neardup.edit_distance_at_most(x, y, int(0.2 * longer + 1e-9))
+        joined = got[2 * k] == got[2 * k + 1]
+        assert d is not None or not joined
+        if d is not None:
+            hits.setdefault(min(19, int(20 * (1 - d / longer) + 1e-9)), []).append(joined)
+    assert sorted(hits) == [16, 17, 18, 19]
+    for step, joined in hits.items():
+        assert sum(joined) >= 0.9 * len(joined), (step / 20, sum(joined), len(joined))
