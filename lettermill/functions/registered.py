@@ -1,7 +1,7 @@
 """The text functions, rules and stand-ins for SQL: temporary functions whose bodies are SQL, so they run in the JVM like any other expression.
 
-The rule functions are written out from the rule tables. All of them take and give plain columns; `detect_pii` is a
-table function for LATERAL, which is an Arrow function over batches of texts, since a fold over matches has no SQL text of its own.
+The rule functions are written out from the rule tables. `spans_of` is a table function for LATERAL: the matches of a
+pattern with their positions.
 """
 
 from __future__ import annotations
@@ -39,7 +39,10 @@ def statements() -> dict[str, str]:
     phone = f"concat('(', {_picked(fake.AREAS, 11)}, ') ', CAST(1000 + seed % 900 AS STRING), '-', CAST(1000 + seed * 17 % 9000 AS STRING))"
     place = f"CASE WHEN original RLIKE '^[0-9]' THEN concat({_picked(fake.POSTAL, 7)}, ' ', {_picked(fake.CITIES, 11)}) WHEN original RLIKE 'mann|gasse|str' THEN concat(CAST(100 + seed % 900 AS STRING), ' ', {_picked(fake.STREETS, 13)}) ELSE {_picked(fake.PLACES, 17)} END"
     name = f"concat({_picked(fake.FIRST, 7)}, ' ', {_picked(fake.LAST, 13)})"
+    pieces = "zip_with(regexp_extract_all(body, pattern, 0), slice(split(body, pattern, -1), 1, size(regexp_extract_all(body, pattern, 0))), (h, g) -> named_struct('found', h, 'gap', length(g)))"
+    placed = f"aggregate({pieces}, named_struct('out', CAST(array() AS ARRAY<STRUCT<found: STRING, start: BIGINT, stop: BIGINT>>), 'at', 0L), (acc, x) -> named_struct('out', concat(acc.out, array(named_struct('found', x.found, 'start', acc.at + x.gap, 'stop', acc.at + x.gap + length(x.found)))), 'at', acc.at + x.gap + length(x.found)), acc -> acc.out)"
     return {
+        "spans_of(body STRING, pattern STRING) RETURNS TABLE (found STRING, start BIGINT, stop BIGINT)": f"SELECT inline({placed})",
         "meaningful_words(body STRING, n INT) RETURNS STRING": f"array_join(slice(filter(split(body, '(?U)\\\\s+'), w -> w != '' AND ((startswith(w, '[') AND endswith(w, ']')) OR NOT (lower(w) IN ({noise}) OR octet_length(lower(w)) < 2 OR NOT w RLIKE '\\\\p{{IsAlphabetic}}'))), 1, n), ' ')",
         "rule_domain(sender STRING) RETURNS STRING": "lower(coalesce(get(split(sender, '@'), 1), ''))",
         "rule_category(c STRING, d STRING, raw STRING, sub STRING) RETURNS STRING": _case(rules.DETERMINISTIC, "category", f"'{rules.DEFAULT[0]}'"),

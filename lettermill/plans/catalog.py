@@ -781,6 +781,13 @@ def sql_stand_ins(spark, sf_dir):
     return spark.sql("SELECT text, stand_in(pii_type, text, seed) AS stand_in FROM {m}", m=pii.mapping(_detected(spark, sf_dir), "doc_id"))
 
 
+@_query(f"SELECT doc_id, z.t AS found, CAST(z.s AS BIGINT) AS start, CAST(z.s + length(z.t) AS BIGINT) AS stop FROM (SELECT doc_id, unnest({_sql_places('text', pii.EMAIL[3], 'email')}) AS z FROM documents WHERE contains(text, '@'))")
+def sql_spans(spark, sf_dir):
+    registered.register(spark)
+    pattern = pii.EMAIL[3].replace("{", "{{").replace("}", "}}")
+    return spark.sql(f"SELECT doc_id, s.* FROM {{d}} d, LATERAL spans_of(d.text, r'(?U){pattern}') s", d=mail.table(spark, sf_dir, "documents").filter(F.col("text").contains("@")).select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 
