@@ -84,10 +84,15 @@ def random(messages: DataFrame, seed: int = 0) -> DataFrame:
     return messages.withColumns({"category": F.element_at(F.array(*map(F.lit, CATEGORIES)), (F.floor(u(1) * 5) + 1).cast("int")), "score": 0.5 + u(2) / 2})
 
 
+def result_text(category: Column, score: Column) -> Column:
+    """How a classification is shown."""
+    return F.when(score.isNull(), F.concat(F.lit("Category: "), category)).otherwise(F.format_string("Category: %s (score: %.2f)", category, score))
+
+
 def result(category: str, score: float | None = None) -> Column:
     """category, score, response of a single classification."""
-    text = f"Category: {category}" if score is None else f"Category: {category} (score: {score:.2f})"
-    return F.struct(F.lit(category).alias("category"), F.lit(score).cast("double").alias("score"), F.lit(text).alias("response"))
+    c, s = F.lit(category), F.lit(score).cast("double")
+    return F.struct(c.alias("category"), s.alias("score"), result_text(c, s).alias("response"))
 
 
 def prompt(n: int = 200, html: bool = False) -> Column:

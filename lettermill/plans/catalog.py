@@ -788,6 +788,28 @@ def sql_spans(spark, sf_dir):
     return spark.sql(f"SELECT doc_id, s.* FROM {{d}} d, LATERAL spans_of(d.text, r'(?U){pattern}') s", d=mail.table(spark, sf_dir, "documents").filter(F.col("text").contains("@")).select("doc_id", "text"))
 
 
+_WARNED = {"email": f"len(list_filter(regexp_extract_all(text, '{pii.REAL_EMAIL}'), lambda e: NOT contains(e, 'example.com') AND NOT (contains(e, 'user') AND length(e) - length(replace(e, '@', '')) = 1) AND NOT regexp_matches(e, '^user[0-9]'))) > 0", "phone": f"len(list_filter(regexp_extract_all(text, '{pii.REAL_PHONE}'), lambda p: NOT contains(p, '555'))) > 0", "name": "(" + " OR ".join(f"(contains(text, '{n}') AND list_contains({_TRIMMED}, '{n.lower()}'))" for n in pii.FIRST_NAMES) + ")"}
+
+
+@_query(f"WITH {_MAIL}, first AS (SELECT id FROM m ORDER BY id LIMIT 200), f AS (SELECT id, unnest(['subject', 'from', 'body', 'snippet']) AS field, unnest([subject, sender, body || CASE CAST(id AS BIGINT) % 4 WHEN 0 THEN ' Emily wrote' WHEN 1 THEN ' mail me@corp.io' WHEN 2 THEN ' call 415-222-3333' ELSE '' END, snippet]) AS text FROM m WHERE id IN (SELECT id FROM first)) " + " UNION ALL ".join(f"SELECT id, field, '{k}' AS warning FROM f WHERE {c}" for k, c in _WARNED.items()))
+def spot_check_fields(spark, sf_dir):
+    k = F.col("id").cast("long") % 4
+    said = F.when(k == 0, " Emily wrote").when(k == 1, " mail me@corp.io").when(k == 2, " call 415-222-3333").otherwise("")
+    return pii.spot_check(mail.messages(spark, sf_dir).withColumn("body", F.concat("body", said)), 200)
+
+
+@_query(f"WITH {cases.SQL}, j AS (SELECT category, CASE WHEN CAST(id AS BIGINT) % 9 = 4 THEN 'ActionRequired' ELSE category END AS truth FROM m), g AS (SELECT count(*) FILTER (truth = 'ActionRequired' AND category = truth) * 1.0 / count(*) FILTER (truth = 'ActionRequired') AS recall, count(*) FILTER (category = 'Spam' AND truth <> 'Spam') AS false_spam FROM j) SELECT CAST(round(recall, 9) AS DOUBLE) AS recall, false_spam, recall >= 0.75 AND false_spam <= 0 AS passed FROM g")
+def quality_gates(spark, sf_dir):
+    j = classify.by_rules(cases.messages(spark, sf_dir)).select("category", F.when(F.col("id").cast("long") % 9 == 4, "ActionRequired").otherwise(F.col("category")).alias("truth"))
+    return analysis.gates(j).withColumn("recall", F.round("recall", 9))
+
+
+@_query(f"WITH {cases.SQL} SELECT category, 'Category: ' || category || ' (score: ' || printf('%.2f', score) || ')' AS shown, count(*) AS n FROM m GROUP BY category, score")
+def result_texts(spark, sf_dir):
+    c = classify.by_rules(cases.messages(spark, sf_dir)).select("category", classify.result_text(F.col("category"), F.col("score")).alias("shown"))
+    return c.groupBy("category", "shown").agg(F.count("*").alias("n"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 
