@@ -119,10 +119,10 @@ class _Rows:
         self.at, self.col = np.array(at, np.int64), np.array(col, np.int64)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.at, w[self.col], self.n)
+        return np.bincount(self.at, w[self.col], self.n).astype(float)
 
     def back(self, r: np.ndarray) -> np.ndarray:
-        return np.bincount(self.col, r[self.at], self.m)
+        return np.bincount(self.col, r[self.at], self.m).astype(float)
 
 
 def fit(rows: list[set[str]], y: np.ndarray, lasso: float = LASSO, fair: float = COUNTERFACTUAL, rounds: int = 600, terms: Terms = _TERMS) -> tuple[float, dict[str, float]]:
