@@ -6,7 +6,7 @@ identifiers and the code around it. What it still costs, in bytes for each byte
 novelty: names, paths and repeated values nearly vanish, random keys stay as they are. What novelty is enough to be
 reported depends on how far the string's characters follow one another as in all the corpus' words: new words and names
 have to be more novel than random keys. No candidate is left out for its characters; digits alone follow no words
-and are held to the plain limit.
+and are asked for more only where they repeat.
 
 Defined results: a null or empty text has no spans; repeated rows are scanned each on their own; an empty
 table gives no rows; extra columns are ignored; where spans of two kinds tie they follow the order of KINDS.
@@ -36,6 +36,8 @@ DICTIONARY_WORDS = 2000
 LEAST_NOVELTY = 0.8
 #: Bits of a character behind the one before it, by the corpus' words: random strings cost more. Each bit less adds STEEP to the novelty asked for.
 RANDOM_BITS, STEEP = 5.0, 3.0
+#: Digits alone, which follow no words, are asked for more if they have fewer pairs of different kinds by their length.
+LEAST_PAIRS = 0.6
 #: Bits at most of one character, however rare it is behind the one before it.
 MOST_BITS = 8.0
 AROUND, REACH = 200, 60
@@ -123,13 +125,15 @@ def identifiers(docs: DataFrame, words: int = DICTIONARY_WORDS) -> Corpus:
                 if spans:
                     around = _blanked(t, spans)
                     for lo, hi in spans:
+                        # a candidate's own characters tell nothing of words
+                        np.subtract.at(pairs, _pairs(t[lo:hi]), 1)
                         seen.update(_WORD.findall(around[max(0, lo - AROUND) : lo]))
                         seen.update(_WORD.findall(around[hi : hi + AROUND]))
             if len(seen) > 200_000:
                 yield _counts(seen)
                 seen.clear()
         # a pair's name is no word
-        yield _counts(seen + Counter({f"-{k}": int(n) for k, n in enumerate(pairs) if n}))
+        yield _counts(seen + Counter({f"-{k}": int(n) for k, n in enumerate(pairs) if n > 0}))
 
     got = docs.select("text").mapInArrow(count, "word string, n long").groupBy(F.col("word").startswith("-").alias("pair"), "word").agg(F.sum("n").alias("n"))
     told = {int(r.word[1:]): r.n for r in got.filter("pair").collect()}
@@ -176,7 +180,9 @@ class Novelty:
 
     def enough(self, key: str, least: float) -> float:
         """The novelty from which key is reported."""
-        return least if key.isdigit() else least + STEEP * max(0.0, RANDOM_BITS - self.bits(key))
+        if key.isdigit():
+            return least + STEEP * max(0.0, LEAST_PAIRS - len(set(_pairs(key))) / len(key))
+        return least + STEEP * max(0.0, RANDOM_BITS - self.bits(key))
 
 
 def scan_text(text: str, novelty: Novelty, least: float = LEAST_NOVELTY) -> list[tuple[str, int, int]]:
