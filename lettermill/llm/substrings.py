@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import flat, mix, shared_dir, stored, tune
+from .common import flat, mix, shared_dir, shuffle_parts, stored, tune
 
 WINDOW = 400
 #: Bytes of a whole window's name that are sent; with its range's, 60 bits and more tell names apart.
@@ -152,7 +152,9 @@ def _chunks(spark: SparkSession, docs: DataFrame) -> tuple[str, int]:
     long = T.LongType()
     made = docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("data")).mapInArrow(pack, T.StructType([T.StructField("chunk", long), T.StructField("ids", T.ArrayType(field.dataType)), T.StructField("lengths", T.ArrayType(long)), T.StructField("data", T.BinaryType())]))
     name = f"chunks_{uuid.uuid4().hex}"
-    buckets = max(1, min(4096, docs.rdd.getNumPartitions()))
+    # where a bucketed table has fewer partitions than a shuffle, Spark shuffles it for a join all the same
+    least = int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or shuffle_parts(spark))
+    buckets = max(least, min(4096, docs.rdd.getNumPartitions()))
     made.write.bucketBy(buckets, "chunk").format("parquet").option("compression", "none").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     total = spark.table(name).agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     return name, total

@@ -69,6 +69,17 @@ def test_substrings_are_brute_force(spark):
     assert [got[k] for k in range(len(texts))] == substrings.brute_force(texts)
 
 
+def test_texts_are_not_shuffled_for_replies(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "tune", lambda s: s.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1"))
+    docs = spark.createDataFrame([(k, f"text {k} " * 90) for k in range(6)], "doc_id long, text string").coalesce(1)
+    try:
+        plan = substrings.repeated(spark, docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # both replies are gathered by chunk; the table of chunks stays as it lies
+    assert plan.count("Exchange hashpartitioning(chunk") == 2
+
+
 def test_whole_documents_are_brute_force(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = substrings.repeated(spark, d).collect()
