@@ -9,7 +9,8 @@ class already. Verified pairs make classes by connected components.
 A band's texts are dealt to blocks of at most about BLOCK texts and BLOCK_WORDS words, so neither a task nor a
 row holds a whole band. Blocks are first settled each on its own, by the first bands and then by the others,
 where classes have joined what they can; then blocks of one band are laid against each other, but for two of
-one class. Pairs are never rows: a task drops those whose word counts alone are too far apart (no alignment
+one class and those whose sizes no near pair can have. A text goes into a later band only where that holds another
+class of like size. Pairs are never rows: a task drops those whose word counts alone are too far apart (no alignment
 within the band is left), and those that an earlier band of theirs holds.
 
 Equal texts are one text throughout, so a group of copies costs one row. Defined results: a null text is an
@@ -20,6 +21,7 @@ empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -325,8 +327,8 @@ def classes(spark: SparkSession, docs: DataFrame, least: float = LEAST) -> tuple
     labels = components(spark, stored(spark, _settled(alone.filter(F.col("at") < FIRST).join(packed, "text"), least), "joined"))
     # of the other bands, those whose texts are not of one class yet
     later = _labelled(members.filter(F.col("at") >= FIRST), labels).withColumn("side", F.lit(0))
-    labels = _further(spark, labels, components(spark, stored(spark, _settled(_mixed(later).join(packed, "text"), least), "joined")))
-    crowded = _mixed(_labelled(members.filter("n_blocks > 1").drop("block"), labels))
+    labels = _further(spark, labels, components(spark, stored(spark, _settled(_mixed(later, least).join(packed, "text"), least), "joined")))
+    crowded = stored(spark, _mixed(_labelled(members.filter("n_blocks > 1").drop("block"), labels), least), "crowded")
     if crowded.limit(1).count():
         labels = _further(spark, labels, components(spark, stored(spark, _settled(_crossed(spark, crowded).join(packed, "text"), least), "joined")))
 
@@ -376,22 +378,33 @@ def _further(spark: SparkSession, labels: DataFrame, joined: DataFrame) -> DataF
     return stored(spark, moved.unionByName(alone), "labels")
 
 
-def _mixed(members: DataFrame) -> DataFrame:
-    """Members of the bands that hold more than one class."""
-    mixed = members.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("band")
-    return members.join(mixed, "band")
+def _near_sizes(least: float) -> Column:
+    """A number by size (words): those of two texts that are near differ by one at most. A step is a little more than the ratio that `least` leaves."""
+    return F.floor(F.log(F.col("size")) / F.lit(math.log(1.01 / least)))
+
+
+def _mixed(members: DataFrame, least: float) -> DataFrame:
+    """Members of the bands that hold another class among texts of like size."""
+    members = members.withColumn("step", _near_sizes(least))
+    held = members.groupBy("band", "step").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    around = held.select("band", F.explode(F.array(*[F.col("step") + k for k in (-1, 0, 1)])).alias("step"), "lo", "hi")
+    mixed = around.groupBy("band", "step").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("band", "step")
+    return members.join(mixed, ["band", "step"], "left_semi")
 
 
 def _crossed(spark: SparkSession, members: DataFrame) -> DataFrame:
-    """Rows of each two blocks of a band, as one block with two sides. A class that fills a block has blocks of its own, and two of them are not laid against each other."""
-    parts = members.groupBy("band", "label").agg(F.count("*").alias("n"), F.sum("size").alias("words")).withColumn("own", _blocks(F.col("n"), F.col("words")))
-    rest = parts.groupBy("band").agg(_blocks(F.sum(F.when(F.col("own") == 1, F.col("n")).otherwise(0)), F.sum(F.when(F.col("own") == 1, F.col("words")).otherwise(0))).alias("rest"))
-    dealt = members.join(parts.select("band", "label", "own"), ["band", "label"]).join(rest, "band")
+    """Rows of each two blocks of a band whose sizes are alike, as one block with two sides. A class that fills a block has blocks of its own, and two of them are not laid against each other."""
+    parts = members.groupBy("band", "step", "label").agg(F.count("*").alias("n"), F.sum("size").alias("words")).withColumn("own", _blocks(F.col("n"), F.col("words")))
+    rest = parts.groupBy("band", "step").agg(_blocks(F.sum(F.when(F.col("own") == 1, F.col("n")).otherwise(0)), F.sum(F.when(F.col("own") == 1, F.col("words")).otherwise(0))).alias("rest"))
+    dealt = members.join(parts.select("band", "step", "label", "own"), ["band", "step", "label"]).join(rest, ["band", "step"])
     pure = F.col("own") > 1
-    dealt = dealt.select("band", "at", "text", "label", F.when(pure, F.col("label")).alias("of"), F.when(pure, F.pmod(F.xxhash64("text"), F.col("own"))).otherwise(F.pmod(F.xxhash64("label"), F.col("rest"))).alias("part"))
-    dealt = stored(spark, dealt.withColumn("place", F.struct(F.coalesce("of", F.lit(-1)).alias("of"), "part")), "parts")
+    dealt = dealt.select("band", "at", "text", "label", "step", F.when(pure, F.col("label")).alias("of"), F.when(pure, F.pmod(F.xxhash64("text"), F.col("own"))).otherwise(F.pmod(F.xxhash64("label"), F.col("rest"))).alias("part"))
+    dealt = stored(spark, dealt.withColumn("place", F.struct("step", F.coalesce("of", F.lit(-1)).alias("of"), "part")).drop("step"), "parts")
     places = dealt.select("band", "place").distinct()
-    pairs = places.join(places.select("band", F.col("place").alias("other")), "band").filter("place <= other and not (place.of >= 0 and place.of = other.of)")
+    # each place meets those of its own step and of the next
+    others = places.select("band", F.col("place").alias("other"), F.explode(F.array("place.step", F.col("place.step") - 1)).alias("step"))
+    pairs = places.withColumn("step", F.col("place.step")).join(others, ["band", "step"]).drop("step")
+    pairs = pairs.filter("place <= other and not (place.of >= 0 and place.of = other.of)")
     pairs = stored(spark, pairs.withColumn("block", F.monotonically_increasing_id()), "pairs")
     sides = pairs.select("band", "place", "block", F.lit(0).alias("side")).union(pairs.filter("place != other").select("band", F.col("other").alias("place"), "block", F.lit(1).alias("side")))
     return dealt.join(sides, ["band", "place"]).drop("place", "of", "part")

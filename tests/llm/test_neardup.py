@@ -80,6 +80,22 @@ def test_blocks_of_a_band_are_laid_against_each_other(spark, monkeypatch, block)
     assert found(spark, texts) == brute_force(texts)
 
 
+def test_a_crowded_band_sends_no_text_to_blocks_of_other_sizes(spark, monkeypatch):
+    texts = []
+    for k in range(16):
+        one, other = (prose(int(12 * 1.3**k), 500 + 2 * k + i) for i in (0, 1))
+        texts += [one, changed(one, 0.05, k), other]
+    # at the edge: 80 words of 100
+    texts.append(" ".join(texts[-1].split()[: int(0.8 * len(texts[-1].split()) + 0.999)]))
+    sent, settled = [], neardup._settled
+    monkeypatch.setattr(neardup, "_settled", lambda rows, least: sent.append(rows.count()) or settled(rows, least))
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "sketch", lambda words: np.arange(1, neardup.BANDS + 1, dtype=np.uint64))
+    assert found(spark, texts) == brute_force(texts)
+    # 49 texts in 64 bands of a dozen blocks; each text meets the blocks of its own size and of the next ones
+    assert sent[-1] < 49 * 64 * 6
+
+
 def test_recall_on_one_large_group(spark):
     base = prose(150, 9)
     texts = [changed(base, 0.01 * (k % 8), k) for k in range(200)] + [prose(150, 400 + k) for k in range(40)]
