@@ -114,6 +114,19 @@ def test_counts_keep_their_ratio_and_do_not_depend_on_partitions(spark):
     assert (one == many).all() and max(lm._VALUE[one >> 8].max(), lm._VALUE[one & 255].max()) > 65_536
 
 
+def test_weights_are_learned_from_all_training_documents(spark):
+    train = spark.createDataFrame([(k, f"the cat{k % 7} sat on mat{k % 11} and x{k}".encode()) for k in range(1200)], "doc_id long, text binary").coalesce(1)
+    words = [b"", b"the", b"sat", b"on", b"and"]
+    coder = spark.sparkContext.broadcast(lm.Coder(words, [1200] * 5, 4000, 8))
+    tables = spark.sparkContext.broadcast(lm.context_tables(spark, train, coder))
+    whole = lm.mixing_weights(train, coder, tables)
+    # a third by the hash that once chose
+    third = train.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("mix")), F.lit(1 << 30)) < F.lit((1 << 30) // 3))
+    assert not np.allclose(whole, lm.mixing_weights(third, coder, tables))
+    # the last documents count too
+    assert not np.allclose(whole, lm.mixing_weights(train.filter("doc_id < 1199"), coder, tables), atol=0, rtol=0)
+
+
 def test_copies_are_told_apart_and_base_is_plain(spark):
     texts = [prose(300, k) for k in range(40)]
     texts += texts[:10] + [None, ""]
