@@ -7,11 +7,12 @@ pair is verified by aligning words inside the band that a similarity of 0.8 leav
 class already. Verified pairs make classes by connected components.
 
 A band's texts are dealt to blocks of at most about BLOCK texts and BLOCK_WORDS words, so neither a task nor a
-row holds a whole band. Blocks are first settled each on its own, by the first bands and then by the others,
-where classes have joined what they can; then blocks of one band are laid against each other, but for two of
+row holds a whole band. Blocks are first settled each on its own, by the bands of one round (ROUNDS) after the
+other, where classes have joined what they can; then blocks of one band are laid against each other, but for two of
 one class and those whose sizes no near pair can have. A text goes into a later band only where that holds another
-class of like size. Pairs are never rows: a task drops those whose word counts alone are too far apart (no alignment
-within the band is left), and those that an earlier band of theirs holds.
+class of like size, and into no band that holds the very texts of an earlier one. Pairs are never rows: a task drops
+those whose word counts alone are too far apart (no alignment within the band is left), and those that an earlier band
+of theirs holds.
 
 Equal texts are one text throughout, so a group of copies costs one row. Defined results: a null text is an
 empty one; texts without a word are near to nothing but equal texts; a text of fewer than five words is one
@@ -38,8 +39,8 @@ SHINGLE, BANDS, KEPT, LEAST = 5, 64, 2, 0.8
 BROADCAST_ROWS = 1_000_000
 #: Texts and words of one block of a band.
 BLOCK, BLOCK_WORDS = 512, 1 << 20
-#: Bands that are settled first: what they join need not be asked in the others.
-FIRST = 4
+#: Bands are settled in rounds, which end before these: what one joins need not be asked in the next.
+ROUNDS = (4, 12, 24, BANDS)
 #: Buckets of words, by which pairs are turned down together.
 BUCKETS = 256
 #: Edits up to which furthest-reaching points are followed; more are counted by whole columns.
@@ -324,10 +325,11 @@ def classes(spark: SparkSession, docs: DataFrame, least: float = LEAST) -> tuple
     packed = _packed(spark, keyed, texts, members)
 
     alone = members.withColumn("label", F.col("text")).withColumn("side", F.lit(0))
-    labels = components(spark, stored(spark, _settled(alone.filter(F.col("at") < FIRST).join(packed, "text"), least), "joined"))
-    # of the other bands, those whose texts are not of one class yet
-    later = _labelled(members.filter(F.col("at") >= FIRST), labels).withColumn("side", F.lit(0))
-    labels = _further(spark, labels, components(spark, stored(spark, _settled(_mixed(later, least).join(packed, "text"), least), "joined")))
+    labels = components(spark, stored(spark, _settled(alone.filter(F.col("at") < ROUNDS[0]).join(packed, "text"), least), "joined"))
+    for lo, hi in zip(ROUNDS[:-1], ROUNDS[1:], strict=True):
+        # of the other bands, those whose texts are not of one class yet
+        later = _labelled(members.filter((F.col("at") >= lo) & (F.col("at") < hi)), labels).withColumn("side", F.lit(0))
+        labels = _further(spark, labels, components(spark, stored(spark, _settled(_mixed(later, least).join(packed, "text"), least), "joined")))
     crowded = stored(spark, _mixed(_labelled(members.filter("n_blocks > 1").drop("block"), labels), least), "crowded")
     if crowded.limit(1).count():
         labels = _further(spark, labels, components(spark, stored(spark, _settled(_crossed(spark, crowded).join(packed, "text"), least), "joined")))
@@ -341,9 +343,10 @@ def classes(spark: SparkSession, docs: DataFrame, least: float = LEAST) -> tuple
 
 
 def _members(texts: DataFrame) -> DataFrame:
-    """band, at (its place among BANDS), text, size, n_blocks, block: texts of the bands that more than one has."""
+    """band, at (its place among BANDS), text, size, n_blocks, block: texts of the bands that more than one has. Of bands of the very same texts, the first alone: the others hold no other pair."""
     bands = texts.select("text", "size", F.posexplode("bands").alias("at", "band"))
-    shared = bands.groupBy("band").agg(F.count("*").alias("n"), F.sum("size").alias("words")).filter("n > 1")
+    shared = bands.groupBy("band").agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.min("at").alias("at"), F.min("text").alias("lo"), F.max("text").alias("hi"), F.bit_xor(F.xxhash64("text")).alias("all")).filter("n > 1")
+    shared = shared.groupBy("n", "words", "lo", "hi", "all").agg(F.min(F.struct("at", "band")).alias("first")).select("first.band", "n", "words")
     dealt = bands.join(shared.select("band", _blocks(F.col("n"), F.col("words")).alias("n_blocks")), "band")
     return dealt.withColumn("block", F.pmod(F.xxhash64("text", "band"), F.col("n_blocks")))
 

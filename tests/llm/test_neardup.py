@@ -96,6 +96,48 @@ def test_a_crowded_band_sends_no_text_to_blocks_of_other_sizes(spark, monkeypatc
     assert sent[-1] < 49 * 64 * 6
 
 
+def chosen(spark, monkeypatch, texts, sketch):
+    """Classes, and the rows that the choice of later bands' members leaves."""
+    left, mixed = [], neardup._mixed
+    monkeypatch.setattr(neardup, "_mixed", lambda members, least: (lambda got: left.append(got.count()) or got)(mixed(members, least)))
+    monkeypatch.setattr(neardup, "sketch", sketch)
+    return found(spark, texts), sum(left)
+
+
+def test_a_large_group_stays_out_of_bands_after_its_last_member_has_joined(spark, monkeypatch):
+    # one text shares none of the first four bands with its 40 near ones; each band has another text besides, of three times the size
+    base = prose(100, 5)
+    texts = [changed(base, 0.02, k) for k in range(41)] + [prose(300, 700 + k) for k in range(64)]
+    read = neardup.Words()
+    number = {read(t).tobytes(): k for k, t in enumerate(texts)}
+
+    def sketch(words):
+        k, keys = number[words.tobytes()], np.arange(1, neardup.BANDS + 1, dtype=np.uint64)
+        alone = keys + np.uint64(1000 * (k + 1))
+        return np.where(keys == k - 40, keys, alone) if k > 40 else np.where(keys <= 4, alone, keys) if k == 40 else keys
+
+    got, rows = chosen(spark, monkeypatch, texts, sketch)
+    assert got == brute_force(texts, sketch=sketch) == [0] * 41 + list(range(41, 105))
+    # in 8 bands, not in 60
+    assert rows == 8 * len(set(texts[:41]))
+
+
+def test_bands_of_the_same_texts_are_settled_once(spark, monkeypatch):
+    # pairs that share all bands and are not near
+    texts = [prose(100, 800 + k) for k in range(20)]
+    read = neardup.Words()
+    number = {read(t).tobytes(): k for k, t in enumerate(texts)}
+    sketch = lambda words: np.arange(1, neardup.BANDS + 1, dtype=np.uint64) + np.uint64(1000 * (number[words.tobytes()] // 2))
+    got, rows = chosen(spark, monkeypatch, texts, sketch)
+    assert got == list(range(20)) and rows == 0
+    # one that is near in the last band alone is found there
+    texts[1] = changed(texts[0], 0.02, 1)
+    number[read(texts[1]).tobytes()] = 1
+    last = lambda words: np.where(np.arange(neardup.BANDS) == neardup.BANDS - 1, sketch(words), np.uint64(1 << 40) + np.uint64(1000 * number[words.tobytes()]) + np.arange(neardup.BANDS, dtype=np.uint64))
+    got, rows = chosen(spark, monkeypatch, texts, last)
+    assert got == [0, 0, *range(2, 20)] == brute_force(texts, sketch=last) and rows == 20
+
+
 def test_recall_on_one_large_group(spark):
     base = prose(150, 9)
     texts = [changed(base, 0.01 * (k % 8), k) for k in range(200)] + [prose(150, 400 + k) for k in range(40)]
