@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +95,24 @@ def test_bits_are_plain():
     assert got == pytest.approx(want, rel=1e-3)
 
 
+def test_words_are_split_and_coded_by_columns():
+    texts = ["", " ", "A b\tC\n\n d ", "x", "É a b\x0b\x0cZ", "\n\nq", "a  b", "a\x1cb\x00 c \x85d"]
+    want = [lm.tokens(t.encode()) for t in texts]
+    column = pa.array([t.encode() for t in texts])
+    for lo, hi in ((0, 8), (2, 5), (3, 3)):
+        flat, sizes = lm.split(column[lo:hi])
+        assert flat.cast(pa.large_binary()).to_pylist() == [w for d in want[lo:hi] for w in d] and sizes.tolist() == [len(d) for d in want[lo:hi]]
+    coder = lm.Coder([b"", b"a", b"b"], [8, 4, 4], 9, lm.LEAST_BITS)
+    seen = []
+    for words, code, sizes, group, _ in lm._grouped(iter([pa.RecordBatch.from_pydict({"text": column})]), coder):
+        plain = [w for k in group for w in want[k]]
+        assert (code == coder.code(plain)).all() and sizes.tolist() == [len(want[k]) for k in group]
+        # a word of the dictionary is a number alone
+        assert list(words) == [None if w in coder.codes else w for w in plain]
+        seen += group
+    assert sorted(seen) == list(range(8))
+
+
 def test_classes_and_words_are_a_distribution():
     coder, _ = trained([prose(500, 1)])
     mass = sum(2.0 ** -coder.within[k] for k in range(coder.escape) if coder.cls[k] == coder.cls[0])
