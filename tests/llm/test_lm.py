@@ -100,8 +100,8 @@ def test_words_are_split_and_coded_by_columns():
     want = [lm.tokens(t.encode()) for t in texts]
     column = pa.array([t.encode() for t in texts])
     for lo, hi in ((0, 8), (2, 5), (3, 3)):
-        flat, sizes = lm.split(column[lo:hi])
-        assert flat.cast(pa.large_binary()).to_pylist() == [w for d in want[lo:hi] for w in d] and sizes.tolist() == [len(d) for d in want[lo:hi]]
+        flat, is_word, sizes = lm.split(column[lo:hi])
+        assert flat.cast(pa.large_binary()).take(pa.array(is_word)).to_pylist() == [w for d in want[lo:hi] for w in d[:-1]] and sizes.tolist() == [len(d) - 1 for d in want[lo:hi]]
     coder = lm.Coder([b"", b"a", b"b"], [8, 4, 4], 9, lm.LEAST_BITS)
     seen = []
     for words, code, sizes, group, _ in lm._grouped(iter([pa.RecordBatch.from_pydict({"text": column})]), coder):
